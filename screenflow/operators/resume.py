@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, Window
@@ -45,6 +46,28 @@ def hash_batches(df: DataFrame, n_batches: int, key: str = "url") -> DataFrame:
     return df.withColumn("batch_id", F.pmod(F.xxhash64(key), F.lit(n_batches)).cast("bigint"))
 
 
+def stage_batches(
+    rows: DataFrame, path: str, n_batches: int, key: str = "url"
+) -> DataFrame:
+    """Write the rows once, one folder per batch, and return the stored table.
+
+    Every batch then reads its own folder only. A batch is spread over several
+    tasks by a second hash of the key, so there is neither one writer per batch
+    nor a file per batch from every task.
+    """
+    total = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    writers = max(1, math.ceil(total / n_batches))
+    batched = hash_batches(rows, n_batches, key)
+    (
+        batched.withColumn("_writer", F.pmod(F.hash(key), F.lit(writers)))
+        .repartition(n_batches * writers, "batch_id", "_writer")
+        .drop("_writer")
+        .write.partitionBy("batch_id")
+        .parquet(path)
+    )
+    return rows.sparkSession.read.schema(batched.schema).parquet(path)
+
+
 def exact_batches(
     df: DataFrame, order_col: str, batch_size: int, n_ranges: int | None = None
 ) -> DataFrame:

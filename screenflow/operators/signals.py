@@ -20,51 +20,85 @@ from screenflow.spec import TEXT_COLS
 
 FIELD_WEIGHTS = {"description": 2.0}
 MANY_HASHTAGS = 5
-TRANSCRIPT = "transcript"
+# Looking for one substring costs about 1/25 of cutting the text into words.
+FEW_STEMS = 16
+DESCRIPTION, TRANSCRIPT = "description", "transcript"
+SILENT, TAGS = "_silent", "_tags"
 
 
 def _strings(values: Sequence[str]) -> Column:
-    return F.array(*[F.lit(v) for v in values]).cast("array<string>")
+    """An array literal; the split is folded when the query is optimised."""
+    if not values:
+        return F.array().cast("array<string>")
+    return F.split(F.lit("\n".join(values)), "\n")
 
 
-def _found_name(field: str) -> str:
-    return f"_found_{field}"
+def _low(field: str) -> Column:
+    return F.col(f"_low_{field}")
 
 
-def has_lyrics(transcript: Column) -> Column:
-    low = F.lower(transcript)
-    hits = [F.contains(low, F.lit(marker)) for marker in LYRIC_MARKERS]
-    return F.coalesce(reduce(lambda a, b: a | b, hits), F.lit(False))
+def _found(field: str) -> Column:
+    return F.col(f"_found_{field}")
+
+
+def has_lyrics(low: Column) -> Column:
+    """True when a lower-case transcript carries a lyrics marker."""
+    return reduce(lambda a, b: a | b, [F.contains(low, F.lit(x)) for x in LYRIC_MARKERS])
 
 
 def find_terms(df: DataFrame, lexicon: Lexicon, cols: Sequence[str] = TEXT_COLS) -> DataFrame:
-    """Add one array of distinct lexicon terms per field; lyrics do not count."""
+    """Replace the texts by what the rules need to know of them.
+
+    That is one array of distinct lexicon terms per field (lyrics do not
+    count), whether the transcript says nothing, and the description's hashtags.
+    The result goes through a one-row `inline`: Spark does not push a later
+    filter on a label below it, which would cut every text a second time.
+    """
     fields = [c for c in cols if c in df.columns]
     words = [t for t in lexicon.terms() if " " not in t]
     phrases = [t for t in lexicon.terms() if " " in t]
-    tokens = {
-        f"_tokens_{f}": F.split(F.lower(F.coalesce(F.col(f), F.lit(""))), "[^a-z]+") for f in fields
-    }
-
-    def found(field: str) -> Column:
-        token = F.col(f"_tokens_{field}")
-        terms = F.array_intersect(token, _strings(words))
+    stems = sorted({t.split(" ")[0] for t in lexicon.terms()})
+    lyrics = has_lyrics(_low(TRANSCRIPT)) if TRANSCRIPT in fields else F.lit(False)
+
+    def tokens(field: str) -> Column:
+        """The words of a field; none if, with a small lexicon, no term can be among them."""
+        cut = F.split(_low(field), "[^a-z]+")
+        if len(stems) > FEW_STEMS:
+            return cut
+        possible = reduce(lambda a, b: a | b, [F.contains(_low(field), F.lit(x)) for x in stems])
+        return F.when(possible, cut).otherwise(_strings([]))
+
+    def terms(field: str) -> Column:
+        found = F.array_intersect(F.col(f"_tokens_{field}"), _strings(words))
         if phrases:
-            line = F.concat(F.lit(" "), F.array_join(token, " "), F.lit(" "))
-            hits = F.filter(
-                _strings(phrases),
-                lambda p: F.contains(line, F.concat(F.lit(" "), p, F.lit(" "))),
-            )
-            terms = F.concat(terms, hits)
-        if field == TRANSCRIPT:
-            return F.when(has_lyrics(F.col(field)), _strings([])).otherwise(terms)
-        return terms
-
-    return (
-        df.withColumns(tokens)
-        .withColumns({_found_name(f): found(f) for f in fields})
-        .drop(*tokens)
-    )
+            line = F.col(f"_line_{field}")
+            hits = [F.when(F.contains(line, F.lit(f" {p} ")), F.lit(p)) for p in phrases]
+            found = F.concat(found, F.array_compact(F.array(*hits)))
+        return F.when(lyrics, _strings([])).otherwise(found) if field == TRANSCRIPT else found
+
+    facts = [terms(f).alias(f"_found_{f}") for f in fields]
+    silent = ~nonblank(F.col(TRANSCRIPT)) | lyrics if TRANSCRIPT in fields else F.lit(True)
+    facts.append(silent.alias(SILENT))
+    if lexicon.hashtag_signal and DESCRIPTION in fields:
+        tags = F.regexp_extract_all(_low(DESCRIPTION), F.lit("#([a-z0-9_]+)"), F.lit(1))
+        facts.append(tags.alias(TAGS))
+    cut = df.withColumns(
+        {f"_low_{f}": F.lower(F.coalesce(F.col(f), F.lit(""))) for f in fields}
+    ).withColumns({f"_tokens_{f}": tokens(f) for f in fields})
+    if phrases:
+        cut = cut.withColumns(
+            {
+                f"_line_{f}": F.concat(F.lit(" "), F.array_join(f"_tokens_{f}", " "), F.lit(" "))
+                for f in fields
+            }
+        )
+    kept = [c for c in df.columns if c not in fields]
+    return cut.select(*kept, F.inline(F.array(F.struct(*facts))))
+
+
+def found_columns(df: DataFrame) -> list[str]:
+    """The columns that `find_terms` added."""
+    return [c for c in df.columns if c.startswith("_found_") or c in (SILENT, TAGS)]
 
 
 def _n_terms(found: Column, terms: Sequence[str]) -> Column:
@@ -90,14 +124,14 @@ def score_terms(
     nothing, and it ignores a lone condition hashtag among many others. The
     probability also weighs the field in which a term occurs.
     """
-    fields = [c for c in cols if c in df.columns]
-    everywhere = F.array_distinct(F.concat(*[F.col(_found_name(f)) for f in fields]))
+    fields = [c for c in cols if f"_found_{c}" in df.columns]
+    everywhere = F.array_distinct(F.concat(*[_found(f) for f in fields]))
     positive = lexicon.terms(stage, 1)
 
     def side(sign: int) -> Column:
         return _total(
             [
-                F.lit(s.weight) * _n_terms(F.col("_found"), s.terms)
+                F.lit(s.weight) * _n_terms(F.col("_all"), s.terms)
                 for s in lexicon.signals
                 if s.polarity(stage) == sign
             ]
@@ -106,42 +140,35 @@ def score_terms(
     evidence = _total(
         [
             F.lit(FIELD_WEIGHTS.get(f, 1.0) * s.weight * s.polarity(stage))
-            * _n_terms(F.col(_found_name(f)), s.terms)
+            * _n_terms(_found(f), s.terms)
             for f in fields
             for s in lexicon.signals
             if s.polarity(stage)
         ]
     )
-    scored = df.withColumn("_found", everywhere).withColumns(
+    scored = df.withColumn("_all", everywhere).withColumns(
         {
             "support": side(1),
             "against": side(-1),
             "_evidence": evidence,
-            "_hits": F.array_sort(F.array_intersect(F.col("_found"), _strings(positive))),
+            "_hits": F.array_sort(F.array_intersect(F.col("_all"), _strings(positive))),
         }
     )
     support, against = F.col("support"), F.col("against")
     if stage == "screen":
         passes = (support >= threshold) & (support >= against)
     else:
-        silent = (
-            ~nonblank(F.col(TRANSCRIPT)) | has_lyrics(F.col(TRANSCRIPT))
-            if TRANSCRIPT in fields
-            else F.lit(True)
-        )
         agreeing = reduce(
-            add, [(_n_terms(F.col(_found_name(f)), positive) > 0).cast("int") for f in fields]
+            add, [(_n_terms(_found(f), positive) > 0).cast("int") for f in fields]
         )
         passes = (support - against >= threshold) | (
-            silent & (agreeing >= 2) & (support > against)
+            F.col(SILENT) & (agreeing >= 2) & (support > against)
         )
-        if lexicon.hashtag_signal and "description" in fields:
-            tags = F.regexp_extract_all(
-                F.lower(F.coalesce(F.col("description"), F.lit(""))), F.lit("#([a-z0-9_]+)"), F.lit(1)
-            )
+        if lexicon.hashtag_signal and TAGS in df.columns:
+            conditions = lexicon.signal(lexicon.hashtag_signal).words
             lone = (
-                (F.size(tags) >= MANY_HASHTAGS)
-                & (_n_terms(tags, lexicon.signal(lexicon.hashtag_signal).words) == 1)
+                (F.size(TAGS) >= MANY_HASHTAGS)
+                & (_n_terms(F.col(TAGS), conditions) == 1)
                 & (F.size("_hits") == 1)
             )
             passes = passes & ~lone
@@ -153,7 +180,7 @@ def score_terms(
                 F.size("_hits") > 0, F.concat(F.lit("signals: "), F.array_join("_hits", ", "))
             ),
         }
-    ).drop("_found", "_evidence", "_hits")
+    ).drop("_all", "_evidence", "_hits")
 
 
 def signal_scores(
@@ -165,6 +192,4 @@ def signal_scores(
 ) -> DataFrame:
     """Label every row of ``df`` for one stage; the text columns do not travel on."""
     found = find_terms(df, lexicon, cols)
-    scored = score_terms(found, lexicon, stage, threshold, cols)
-    drop = [c for c in cols] + [_found_name(c) for c in cols]
-    return scored.drop(*drop)
+    return score_terms(found, lexicon, stage, threshold, cols).drop(*found_columns(found))

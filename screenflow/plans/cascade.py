@@ -26,9 +26,12 @@ def signal_cascade(
     and every rule reads the terms found. Failed rows are ``SKIPPED`` in both
     stages; rows that the screen rejects stay null in the second.
     """
-    everything = Lexicon(tuple(s for _, scorer in models for s in scorer.lexicon.signals))
-    rows = find_terms(videos, everything, cols)
+    everything = Lexicon(
+        tuple(s for _, scorer in models for s in scorer.lexicon.signals),
+        next((x.lexicon.hashtag_signal for _, x in models if x.lexicon.hashtag_signal), None),
+    )
     failed = is_failed(videos)
+    rows = find_terms(videos, everything, cols)
     skipped = F.when(failed, F.lit(SKIPPED))
     results: list[Column] = []
     for i, (settings, scorer) in enumerate(models):

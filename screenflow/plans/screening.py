@@ -8,13 +8,13 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from screenflow.operators.resume import hash_batches, one_per_key, pending_rows, row_rank
+from screenflow.operators.resume import one_per_key, pending_rows, row_rank, stage_batches
 from screenflow.operators.rows import is_failed, matches
 from screenflow.operators.score import PRESET, Scorer
 from screenflow.sources.metadata import require_key
 from screenflow.sources.results import read_results, write_results
 from screenflow.sources.scratch import scratch_folder
-from screenflow.spec import CLASSIFY, SCREEN, SKIPPED, STAGES, Settings, StageSpec
+from screenflow.spec import CLASSIFY, SCREEN, SKIPPED, Settings, StageSpec
 
 
 def candidates(
@@ -88,11 +88,7 @@ def run_stage(
     if n_batches == 1:
         write(label(unique), 0)
         return run_id
-    staged_path = scratch_folder(spark, "pending")
-    hash_batches(unique, n_batches).write.partitionBy("batch_id").parquet(staged_path)
-    staged = spark.read.schema(
-        hash_batches(unique, n_batches).schema
-    ).parquet(staged_path)
+    staged = stage_batches(unique, scratch_folder(spark, "pending"), n_batches)
     for batch_id in range(n_batches):
         write(label(staged.filter(F.col("batch_id") == batch_id).drop("batch_id")), batch_id)
     return run_id
@@ -132,8 +128,3 @@ def labels_for_rows(
         F.col("prob_true").alias(settings.prob_name),
     )
     return videos.join(mine, "url", "left")
-
-
-__all__ = [
-    "STAGES", "candidates", "labels_for_rows", "run_stage", "run_two_pass",
-]
