@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from screenflow.operators.lookup import join_lookup
 from screenflow.operators.prompt import fingerprint
 from screenflow.operators.rows import ensure_result_columns
 from screenflow.operators.truth import held_out_rows
@@ -83,13 +84,14 @@ def confusion_matrix(counts: DataFrame) -> DataFrame:
     return counts.select(F.inline(rows)).filter(F.col("FALSE") + F.col("TRUE") > 0)
 
 
-def evaluation_detail(predictions: DataFrame, lookup: DataFrame) -> DataFrame:
+def evaluation_detail(
+    predictions: DataFrame, lookup: DataFrame, hot: Sequence[str] | None = None
+) -> DataFrame:
     """``url, predicted, ground_truth[, rationale]`` of the rows that got a label."""
     extra = ["rationale"] if "rationale" in predictions.columns else []
-    return (
-        predictions.filter(F.col("label").isin(*LABELS))
-        .join(lookup, "url")
-        .select("url", F.col("label").alias("predicted"), "ground_truth", *extra)
+    labelled = predictions.filter(F.col("label").isin(*LABELS))
+    return join_lookup(labelled, lookup, hot=hot).select(
+        "url", F.col("label").alias("predicted"), "ground_truth", *extra
     )
 
 

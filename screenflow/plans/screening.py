@@ -8,6 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from screenflow.operators.lookup import hot_keys, join_lookup
 from screenflow.operators.resume import one_per_key, pending_rows, row_rank, stage_batches
 from screenflow.operators.rows import is_failed, matches
 from screenflow.operators.score import PRESET, Scorer
@@ -23,6 +24,7 @@ def candidates(
     gate: DataFrame | None,
     settings: Settings,
     ord_col: str | None = None,
+    hot: Sequence[str] | None = None,
 ) -> DataFrame:
     """Pending rows with their texts, and failed ones marked ``SKIPPED``.
 
@@ -31,13 +33,15 @@ def candidates(
     """
     texts = [c for c in settings.cols if c in videos.columns]
     ranked = require_key(videos).withColumn("_rank", row_rank(videos, ord_col, texts))
-    pending = pending_rows(ranked, done)
+    if hot is None and not (gate is None and done.isEmpty()):
+        hot = hot_keys(videos)
+    pending = pending_rows(ranked, done, hot=hot)
     failed = is_failed(videos)
     preset = F.when(failed, F.lit(SKIPPED)).alias(PRESET)
     wanted = matches(videos, settings.row_filter)
     if gate is None:
         return pending.filter(failed | wanted).select("url", "_rank", *texts, preset)
-    live = pending.filter(~failed & wanted).join(gate.select("url"), "url", "left_semi")
+    live = join_lookup(pending.filter(~failed & wanted), gate.select("url"), "left_semi", hot=hot)
     skipped = pending.filter(failed).select("url", "_rank", preset)
     return live.select(
         "url", "_rank", *texts, F.lit(None).cast("string").alias(PRESET)
@@ -72,7 +76,8 @@ def run_stage(
     if stage.gate and settings.row_filter is None:
         passed = read_results(spark, results_path, stage.gate, settings.model_label)
         gate = passed.filter(F.col("label") == "TRUE")
-    rows = candidates(videos, done, gate, settings, ord_col)
+    hot = [] if unique_keys else None
+    rows = candidates(videos, done, gate, settings, ord_col, hot)
 
     def label(part: DataFrame) -> DataFrame:
         return scorer.label(part, stage, settings, system_prompt)
@@ -127,4 +132,4 @@ def labels_for_rows(
         F.col("label").alias(settings.output_name(stage)),
         F.col("prob_true").alias(settings.prob_name),
     )
-    return videos.join(mine, "url", "left")
+    return join_lookup(videos, mine, "left")

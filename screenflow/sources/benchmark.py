@@ -19,21 +19,25 @@ EVALUATION_COLS = (
 RESPONSE_COLS = ("response", "gpt-3.5-turbo")
 
 
+def select_tasks(records: DataFrame, tasks: Sequence[str] = BENCHMARK_TASKS) -> DataFrame:
+    """``(task, idx, query, response)`` of the wanted tasks."""
+    response = next(c for c in RESPONSE_COLS if c in records.columns)
+    return records.filter(F.col("task").isin(*tasks)).select(
+        F.col("task").cast("string").alias("task"),
+        F.col("idx").cast("bigint").alias("idx"),
+        "query",
+        F.col(f"`{response}`").alias("response"),
+    )
+
+
 def read_benchmark(
     spark: SparkSession,
     path: str,
     tasks: Sequence[str] = BENCHMARK_TASKS,
     file_format: str = "parquet",
 ) -> DataFrame:
-    """``(task, idx, query, response)`` of the wanted tasks; a task folder is pruned."""
-    staged = spark.read.format(file_format).load(path)
-    response = next(c for c in RESPONSE_COLS if c in staged.columns)
-    return staged.filter(F.col("task").isin(*tasks)).select(
-        F.col("task").cast("string").alias("task"),
-        F.col("idx").cast("bigint").alias("idx"),
-        "query",
-        F.col(f"`{response}`").alias("response"),
-    )
+    """Read a staged copy; where tasks are partition folders, only the wanted ones."""
+    return select_tasks(spark.read.format(file_format).load(path), tasks)
 
 
 def write_evaluation_file(rows: DataFrame, path: str) -> None:

@@ -20,11 +20,12 @@ from screenflow.functions.replies import (
 from screenflow.functions.strings import row_text
 from screenflow.operators import compare, convert, prompt, resume, rows, truth
 from screenflow.operators import evaluate as ev
+from screenflow.operators.lookup import hot_keys, join_lookup
 from screenflow.operators.score import BatchScorer, SignalScorer
 from screenflow.operators.signals import find_terms, score_terms, signal_scores
 from screenflow.plans.cascade import signal_cascade
 from screenflow.plans.screening import labels_for_rows, run_stage
-from screenflow.sources.benchmark import read_benchmark
+from screenflow.sources.benchmark import select_tasks
 from screenflow.sources.metadata import read_metadata, result_listing, sample_slice
 from screenflow.sources.results import read_results, write_results
 from screenflow.sources.runlog import append_run, read_runs
@@ -56,7 +57,7 @@ def _done(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _with_done(spark: SparkSession, folder: str) -> DataFrame:
-    return v.videos(spark, folder).join(_done(spark, folder), "url", "left")
+    return join_lookup(v.videos(spark, folder), _done(spark, folder), "left")
 
 
 def _predictions(spark: SparkSession, folder: str, scorer: SignalScorer = m.SCORER) -> DataFrame:
@@ -75,7 +76,9 @@ def _counts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _detail(spark: SparkSession, folder: str) -> DataFrame:
-    return ev.evaluation_detail(_predictions(spark, folder), _lookup(spark, folder))
+    # Frequent keys are looked for in the key column of the table, not in the scores.
+    hot = hot_keys(v.videos(spark, folder))
+    return ev.evaluation_detail(_predictions(spark, folder), _lookup(spark, folder), hot)
 
 
 def _train(spark: SparkSession, folder: str) -> DataFrame:
@@ -107,9 +110,9 @@ def _scores(spark: SparkSession, folder: str, stage) -> DataFrame:
 
 
 def scan_videos(spark: SparkSession, folder: str) -> DataFrame:
-    path = scratch_folder(spark, "videos")
-    v.videos(spark, folder).write.parquet(path)
-    return read_metadata(spark, path)
+    wanted = ["doc_id", "text", "lang", "source", "absent"]
+    documents = read_metadata(spark, f"{folder}/documents.parquet", wanted)
+    return documents.selectExpr(*[f"{e} as {c}" for c, e in v.VIDEOS.items() if c != "ord"])
 
 
 def ground_truth_load(spark: SparkSession, folder: str) -> DataFrame:
@@ -122,9 +125,9 @@ def ground_truth_load(spark: SparkSession, folder: str) -> DataFrame:
 def checkpoint_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
     """Three batches, one of them written twice as a replay would."""
     path = scratch_folder(spark, "results")
-    scored = resume.hash_batches(_predictions(spark, folder), 3)
+    staged = resume.stage_batches(_predictions(spark, folder), scratch_folder(spark, "batches"), 3)
     for batch_id in (0, 1, 2, 1):
-        part = scored.filter(F.col("batch_id") == batch_id)
+        part = staged.filter(F.col("batch_id") == batch_id)
         write_results(part, path, SCREEN.name, m.FULL.model_label, "first", batch_id)
     return _rounded(
         read_results(spark, path, SCREEN.name, m.FULL.model_label).select(
@@ -135,9 +138,7 @@ def checkpoint_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def benchmark_scan(spark: SparkSession, folder: str) -> DataFrame:
-    path = scratch_folder(spark, "benchmark")
-    v.benchmark(spark, folder).write.partitionBy("task").parquet(path)
-    return read_benchmark(spark, path, ["DR", "loneliness"])
+    return select_tasks(v.benchmark(spark, folder), ["DR", "loneliness"])
 
 
 def sample_rows(spark: SparkSession, folder: str) -> DataFrame:
