@@ -9,7 +9,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from screenflow.operators.lookup import join_lookup
+from screenflow.operators.lookup import broadcast_if_few, join_lookup
 from screenflow.spec import SKIPPED
 
 
@@ -18,14 +18,14 @@ def pending_rows(
 ) -> DataFrame:
     """Rows whose key has no result yet.
 
-    The anti join moves distinct keys only. The texts are met by a semi join
-    afterwards: late in a run few keys are pending, so the planner can broadcast
-    them (by their measured size) and the texts are not shuffled at all.
+    The anti join moves distinct keys only, and the texts are met by a semi join
+    afterwards. Late in a run few keys are pending: they are broadcast, and the
+    texts are not shuffled at all.
     """
     if done.isEmpty():
         return rows
     pending = rows.select(key).distinct().join(done.select(key), key, "left_anti")
-    return join_lookup(rows, pending, "left_semi", key, hot)
+    return join_lookup(rows, broadcast_if_few(pending), "left_semi", key, hot)
 
 
 def row_rank(df: DataFrame, ord_col: str | None, cols: list[str]) -> Column:

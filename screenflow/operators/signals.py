@@ -57,7 +57,8 @@ def find_terms(df: DataFrame, lexicon: Lexicon, cols: Sequence[str] = TEXT_COLS)
     fields = [c for c in cols if c in df.columns]
     words = [t for t in lexicon.terms() if " " not in t]
     phrases = [t for t in lexicon.terms() if " " in t]
-    stems = sorted({t.split(" ")[0] for t in lexicon.terms()})
+    # A phrase can only occur where its longest word does.
+    stems = sorted({max(t.split(" "), key=len) for t in lexicon.terms()})
     lyrics = has_lyrics(_low(TRANSCRIPT)) if TRANSCRIPT in fields else F.lit(False)
 
     def tokens(field: str) -> Column:

@@ -48,6 +48,10 @@ def evaluate_stage(
     """
     truth_cols = {s.truth_col for s in STAGES.values()} | {stage.truth_col}
     valid = validate_truth(normalise_truth(truth, sorted(truth_cols)), stage.truth_col)
+    # Stored once: several reports read parts of it, and a CSV has to be parsed whole.
+    truth_path = scratch_folder(spark, "truth")
+    valid.write.parquet(truth_path)
+    valid = spark.read.schema(valid.schema).parquet(truth_path)
     test = held_out_rows(valid)
     if test.isEmpty():
         raise ValueError("no rows with use=test in the truth table")

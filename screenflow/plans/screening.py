@@ -8,8 +8,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from screenflow.operators.lookup import hot_keys, join_lookup
-from screenflow.operators.resume import one_per_key, pending_rows, row_rank, stage_batches
+from screenflow.operators.lookup import MAX_BROADCAST_KEYS, hot_keys, join_lookup
+from screenflow.operators.resume import one_per_key, row_rank, stage_batches
 from screenflow.operators.rows import is_failed, matches
 from screenflow.operators.score import PRESET, Scorer
 from screenflow.sources.metadata import require_key
@@ -17,35 +17,61 @@ from screenflow.sources.results import read_results, write_results
 from screenflow.sources.scratch import scratch_folder
 from screenflow.spec import CLASSIFY, SCREEN, SKIPPED, Settings, StageSpec
 
+FAILED, WANTED, GATED = "_failed", "_wanted", "_gated"
 
-def candidates(
-    videos: DataFrame,
-    done: DataFrame,
-    gate: DataFrame | None,
-    settings: Settings,
-    ord_col: str | None = None,
-    hot: Sequence[str] | None = None,
-) -> DataFrame:
-    """Pending rows with their texts, and failed ones marked ``SKIPPED``.
 
-    Failed rows are marked before the filter and the gate are applied. They
-    need no text, so under a gate they come from a scan of the key columns.
-    """
+def prepare_rows(videos: DataFrame, settings: Settings, ord_col: str | None = None) -> DataFrame:
+    """The texts of every row with what decides about it: failed, wanted, rank among copies."""
     texts = [c for c in settings.cols if c in videos.columns]
-    ranked = require_key(videos).withColumn("_rank", row_rank(videos, ord_col, texts))
-    if hot is None and not (gate is None and done.isEmpty()):
-        hot = hot_keys(videos)
-    pending = pending_rows(ranked, done, hot=hot)
     failed = is_failed(videos)
-    preset = F.when(failed, F.lit(SKIPPED)).alias(PRESET)
-    wanted = matches(videos, settings.row_filter)
+    return require_key(videos).select(
+        "url",
+        *texts,
+        row_rank(videos, ord_col, texts).alias("_rank"),
+        failed.alias(FAILED),
+        matches(videos, settings.row_filter).alias(WANTED),
+        F.when(failed, F.lit(SKIPPED)).alias(PRESET),
+    )
+
+
+def open_keys(rows: DataFrame, done: DataFrame, gate: DataFrame | None) -> DataFrame:
+    """Keys without a result that this stage has to look at, and whether the gate let them in.
+
+    Failed rows are marked whatever the gate says. Only keys and flags move here.
+    """
+    keys = rows.groupBy("url").agg(F.bool_or(FAILED).alias(FAILED))
+    pending = keys.join(done.select("url"), "url", "left_anti")
     if gate is None:
-        return pending.filter(failed | wanted).select("url", "_rank", *texts, preset)
-    live = join_lookup(pending.filter(~failed & wanted), gate.select("url"), "left_semi", hot=hot)
-    skipped = pending.filter(failed).select("url", "_rank", preset)
-    return live.select(
-        "url", "_rank", *texts, F.lit(None).cast("string").alias(PRESET)
-    ).unionByName(skipped, allowMissingColumns=True)
+        return pending.select("url", F.lit(True).alias(GATED))
+    passed = gate.select("url", F.lit(True).alias(GATED))
+    return (
+        pending.join(passed, "url", "left")
+        .withColumn(GATED, F.coalesce(GATED, F.lit(False)))
+        .filter(F.col(FAILED) | F.col(GATED))
+        .select("url", GATED)
+    )
+
+
+def choose(
+    rows: DataFrame, keys: DataFrame | None, hot: Sequence[str] | None = None
+) -> DataFrame:
+    """The rows that are due: failed ones to be marked, and wanted ones behind the gate."""
+    if keys is None:
+        due = rows.filter(F.col(FAILED) | F.col(WANTED))
+    else:
+        known = join_lookup(rows, keys, "inner", hot=hot)
+        due = known.filter(F.col(FAILED) | (F.col(WANTED) & F.col(GATED))).drop(GATED)
+    return due.drop(FAILED, WANTED)
+
+
+def passed_gate(
+    spark: SparkSession, results_path: str, stage: StageSpec, settings: Settings
+) -> DataFrame | None:
+    """Keys this model's earlier stage labelled ``TRUE``; a row filter replaces the gate."""
+    if not stage.gate or settings.row_filter is not None:
+        return None
+    results = read_results(spark, results_path, stage.gate, settings.model_label)
+    return results.filter(F.col("label") == "TRUE")
 
 
 def run_stage(
@@ -72,12 +98,19 @@ def run_stage(
     done = read_results(spark, results_path, stage.name, settings.model_label)
     if not done.filter(F.col("run_id") == run_id).isEmpty():
         raise ValueError(f"run {run_id!r} exists; a new run needs a new id")
-    gate = None
-    if stage.gate and settings.row_filter is None:
-        passed = read_results(spark, results_path, stage.gate, settings.model_label)
-        gate = passed.filter(F.col("label") == "TRUE")
-    hot = [] if unique_keys else None
-    rows = candidates(videos, done, gate, settings, ord_col, hot)
+    gate = passed_gate(spark, results_path, stage, settings)
+    rows = prepare_rows(videos, settings, ord_col)
+    hot: Sequence[str] = []
+    keys, few = None, True
+    if gate is not None or not done.isEmpty():
+        path = scratch_folder(spark, "keys")
+        open_keys(rows, done, gate).write.parquet(path)
+        keys = spark.read.parquet(path)
+        few = keys.count() <= MAX_BROADCAST_KEYS
+        if few:
+            keys = F.broadcast(keys)
+        elif not unique_keys:
+            hot = hot_keys(videos)
 
     def label(part: DataFrame) -> DataFrame:
         return scorer.label(part, stage, settings, system_prompt)
@@ -86,10 +119,12 @@ def run_stage(
         write_results(scored, results_path, stage.name, settings.model_label, run_id, batch_id)
 
     if n_batches == 1 and scorer.row_function:
-        scored = label(rows)
+        # With many keys it is cheaper to score all rows than to shuffle their texts.
+        scored = label(choose(rows, keys, hot)) if few else choose(label(rows), keys, hot)
         write(scored if unique_keys else one_per_key(scored), 0)
         return run_id
-    unique = rows.drop("_rank") if unique_keys else one_per_key(rows)
+    due = choose(rows, keys, hot)
+    unique = due.drop("_rank") if unique_keys else one_per_key(due)
     if n_batches == 1:
         write(label(unique), 0)
         return run_id

@@ -14,11 +14,19 @@ METADATA_COLS = ("url", *TEXT_COLS, "scrape_status")
 
 
 def read_metadata(
-    spark: SparkSession, path: str, cols: Sequence[str] = METADATA_COLS
+    spark: SparkSession,
+    path: str,
+    cols: Sequence[str] = METADATA_COLS,
+    partitions: int | None = None,
 ) -> DataFrame:
-    """The wanted columns that exist; the scan reads nothing else."""
+    """The wanted columns that exist; the scan reads nothing else.
+
+    ``partitions`` spreads the rows of a file with a single row group, which
+    one task would read and score; large tables need no such shuffle.
+    """
     table = spark.read.parquet(path)
-    return table.select(*[c for c in cols if c in table.columns])
+    wanted = table.select(*[c for c in cols if c in table.columns])
+    return wanted.repartition(partitions) if partitions else wanted
 
 
 def require_key(df: DataFrame, key: str = "url") -> DataFrame:

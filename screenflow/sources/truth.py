@@ -12,11 +12,15 @@ NO_VALUE = (
 )
 
 
+ORD = "ord"
+
+
 def read_truth_csv(spark: SparkSession, path: str, multiline: bool = True) -> DataFrame:
     """Read a truth CSV with every column a string and header names stripped.
 
     ``multiline`` keeps line breaks inside quoted cells, at the price of one
-    task per file; switch it off for files known to have none.
+    task per file; switch it off for files known to have none. The rows of a
+    file are numbered in their order as ``ord``, unless it has that column.
     """
     raw = spark.read.csv(
         path,
@@ -30,9 +34,11 @@ def read_truth_csv(spark: SparkSession, path: str, multiline: bool = True) -> Da
         maxCharsPerColumn=-1,
     )
     named = raw.toDF(*[c.strip() for c in raw.columns])
-    return named.select(
+    cells = named.select(
         *[F.when(~F.col(c).isin(*NO_VALUE), F.col(c)).alias(c) for c in named.columns]
     )
+    in_file = F.col(ORD) if ORD in named.columns else F.monotonically_increasing_id()
+    return cells.withColumn(ORD, in_file.cast("bigint"))
 
 
 def write_csv(df: DataFrame, path: str, quote_all: bool = False) -> None:

@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from screenflow.operators.lookup import broadcast_if_few
 from screenflow.operators.resume import one_per_key
 from screenflow.operators.score import Scorer
-from screenflow.plans.screening import candidates
+from screenflow.plans.screening import choose, open_keys, passed_gate, prepare_rows
 from screenflow.sources.results import read_results, write_results
 from screenflow.spec import Settings, StageSpec
 
@@ -38,7 +39,8 @@ def run_incremental(
     batch id, so an epoch that is replayed after a failure replaces its own
     partition; its rows are compared with all results but that partition.
     ``run_id`` names the checkpoint and must stay with it. Files must arrive
-    under new names: one that is rewritten in place is not read again.
+    under new names: one that is rewritten in place is not read again. Rows a
+    scorer failed on are not stored; `run_stage` over the folder picks them up.
     """
     reader = spark.readStream.schema(source_schema).option("pathGlobFilter", glob)
     if max_files:
@@ -49,15 +51,14 @@ def run_incremental(
         videos = to_videos(arrived)
         results = read_results(session, results_path, stage.name, settings.model_label)
         own = (F.col("run_id") == run_id) & (F.col("batch_id") == epoch)
-        gate = None
-        if stage.gate and settings.row_filter is None:
-            passed = read_results(session, results_path, stage.gate, settings.model_label)
-            gate = passed.filter(F.col("label") == "TRUE")
-        rows = candidates(videos, results.filter(~own), gate, settings, ord_col)
+        rows = prepare_rows(videos, settings, ord_col)
+        gate = passed_gate(session, results_path, stage, settings)
+        keys = broadcast_if_few(open_keys(rows, results.filter(~own), gate))
+        due = choose(rows, keys)
         if scorer.row_function:
-            scored = one_per_key(scorer.label(rows, stage, settings, system_prompt))
+            scored = one_per_key(scorer.label(due, stage, settings, system_prompt))
         else:
-            scored = scorer.label(one_per_key(rows), stage, settings, system_prompt)
+            scored = scorer.label(one_per_key(due), stage, settings, system_prompt)
         write_results(scored, results_path, stage.name, settings.model_label, run_id, epoch)
 
     query = (

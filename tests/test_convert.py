@@ -78,7 +78,7 @@ def test_benchmark_file_round_trip(spark, tmp_path):
     assert balance["ALL"]["n_rows"] == 3 and balance["ALL"]["n_true"] == 1
     assert balance["CLP"]["share_true"] == 0.0
     loaded = read_truth_csv(spark, target)
-    assert loaded.columns == list(EVALUATION_COLS)
+    assert loaded.columns == [*EVALUATION_COLS, "ord"]
     rows = {r["url"]: r for r in loaded.collect()}
     key = "imhi:DR:0:" + hashlib.md5(b"p0").hexdigest()[:8]
     assert rows[key]["rationale"] == "r0" and rows[key]["use"] == "test"

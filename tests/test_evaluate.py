@@ -119,7 +119,7 @@ def test_evaluation_end_to_end(spark, data, tmp_path):
     assert result.detail.count() == counts["total"]
     assert result.mismatches.count() == counts["fp"] + counts["fn"]
     saved = read_truth_csv(spark, f"{detail}_classify")
-    assert saved.columns == ["url", "predicted", "ground_truth", "rationale"]
+    assert saved.columns == ["url", "predicted", "ground_truth", "rationale", "ord"]
     assert saved.count() == counts["total"]
     runs = {r["stage"]: r for r in read_runs(spark, log).collect()}
     assert set(runs) == {"screen", "classify"}

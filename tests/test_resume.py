@@ -131,6 +131,15 @@ def test_gate_and_skips(spark, data, path):
     }
 
 
+def test_a_failed_copy_does_not_open_the_gate_for_others(spark, path):
+    rows = spark.createDataFrame(
+        [("a", "idiot clown scum", "error", 2), ("a", "idiot clown scum", "ok", 1)], VIDEO
+    )
+    # No screen results: the good copy is behind the gate, the failed one is marked.
+    run_stage(spark, rows, path, CLASSIFY, ONE, SCORER, ord_col="ord")
+    assert [(u, x) for u, x, _ in stored(spark, path, CLASSIFY)] == [("a", "SKIPPED")]
+
+
 def test_failed_rows_are_skipped_before_gate_and_filter(spark, path):
     rows = spark.createDataFrame(
         [("a", "idiot clown scum", "error", 1), ("b", "idiot", "ok", 2), ("c", "x", None, 3)], VIDEO
@@ -197,14 +206,18 @@ def test_a_hot_key_is_spread_over_tasks(spark, conf, how):
         assert max(r["count"] for r in places) < 10_000
 
 
-def test_hot_key_runs(spark, tmp_path, conf):
+@pytest.mark.parametrize("limit", [200_000, 5], ids=["few keys", "many keys"])
+@pytest.mark.parametrize("n_batches", [1, 2])
+def test_hot_key_runs(spark, tmp_path, conf, monkeypatch, limit, n_batches):
     conf("spark.sql.autoBroadcastJoinThreshold", "-1")
+    monkeypatch.setattr("screenflow.plans.screening.MAX_BROADCAST_KEYS", limit)
     videos = spark.range(0, 6000, 1, 6).selectExpr(
         HOT, "id as ord", "case when id % 4 = 0 then 'idiot clown scum' else 'x' end as description"
     )
     path = str(tmp_path / "r")
-    run_two_pass(spark, videos.filter("ord < 3000"), path, ONE, SCORER, ord_col="ord")
-    run_two_pass(spark, videos, path, ONE, SCORER, ord_col="ord")
+    options = {"ord_col": "ord", "n_batches": n_batches}
+    run_two_pass(spark, videos.filter("ord < 3000"), path, ONE, SCORER, **options)
+    run_two_pass(spark, videos, path, ONE, SCORER, **options)
     expected = {"hot": "TRUE"} | {
         str(i): "FALSE" if i % 4 else "TRUE" for i in range(6000) if i % 3
     }

@@ -20,6 +20,7 @@ def test_csv_dialect(spark, tmp_path):
     assert rows["a"]["rationale"] == 'line one\nline "two", end'
     assert rows["b"]["rationale"] == "  spaced  " and rows["b"][COL] == " true "
     assert rows["c"]["rationale"] == "\\back"
+    assert rows["a"]["ord"] < rows["b"]["ord"] < rows["c"]["ord"]
 
 
 def test_no_value_strings_become_null(spark, tmp_path):

@@ -118,8 +118,7 @@ def scan_videos(spark: SparkSession, folder: str) -> DataFrame:
 def ground_truth_load(spark: SparkSession, folder: str) -> DataFrame:
     path = scratch_folder(spark, "truth")
     write_csv(v.truth_rows(spark, folder), path, quote_all=True)
-    loaded = truth.normalise_truth(read_truth_csv(spark, path), TRUTH_COLS)
-    return loaded.withColumn("ord", F.col("ord").cast("bigint"))
+    return truth.normalise_truth(read_truth_csv(spark, path), TRUTH_COLS)
 
 
 def checkpoint_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
@@ -435,7 +434,7 @@ def mismatches(spark: SparkSession, folder: str) -> DataFrame:
 def eval_detail(spark: SparkSession, folder: str) -> DataFrame:
     path = scratch_folder(spark, "detail")
     write_csv(_detail(spark, folder), path)
-    return read_truth_csv(spark, path)
+    return read_truth_csv(spark, path).drop("ord")
 
 
 def run_comparison(spark: SparkSession, folder: str) -> DataFrame:
