@@ -105,9 +105,14 @@ def run_row(
     settings: Settings,
     n_examples: int = 0,
     elapsed_sec: float | None = None,
+    system_prompt: str = "",
 ) -> DataFrame:
-    """The log row of an evaluation run."""
+    """The log row of an evaluation run.
+
+    ``prompt_hash`` identifies the template, ``assembled_hash`` the prompt sent.
+    """
     elapsed = F.lit(elapsed_sec).cast("double")
+    assembled = fingerprint(system_prompt) if system_prompt else None
     return with_metrics(counts).select(
         F.current_timestamp().alias("timestamp"),
         F.lit(stage.name).alias("stage"),
@@ -119,6 +124,7 @@ def run_row(
         F.lit(n_examples).cast("bigint").alias("n_examples"),
         F.lit(fingerprint(stage.template)).alias("prompt_hash"),
         F.lit(settings.concurrency).cast("bigint").alias("concurrency"),
+        F.lit(assembled).cast("string").alias("assembled_hash"),
     )
 
 

@@ -88,7 +88,7 @@ def prompt_pieces(
     segments = template.split(EXAMPLES_SLOT)
     if rationale:
         segments[-1] += RATIONALE_REQUEST
-    if block is not None and len(segments) == 1:
+    if block is not None and len(segments) == 1 and not block.isEmpty():
         warnings.warn("template has no examples slot; examples are left out", stacklevel=2)
     pieces = spark.range(1).select(
         F.inline(

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import time
+import warnings
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -69,15 +70,19 @@ def evaluate_stage(
     lookup = ev.truth_lookup(test, stage.truth_col, ord_col)
     counts = ev.confusion_counts(predictions, lookup)
     first = counts.first()
-    if first["total"] == 0:
-        raise ValueError(f"no row got a label ({first['left_out']} unknown, skipped or too long)")
     elapsed = time.perf_counter() - started
+    if first["total"] == 0:
+        warnings.warn(
+            f"no row got a label ({first['left_out']} unknown, skipped or too long); nothing is logged",
+            stacklevel=2,
+        )
+        detail_path = log_path = None
 
     detail = ev.evaluation_detail(
         predictions if settings.rationale else predictions.drop("rationale"), lookup
     )
     n_examples = train_rows(valid).count() if use_examples else 0
-    run = ev.run_row(counts, stage, settings, n_examples, elapsed)
+    run = ev.run_row(counts, stage, settings, n_examples, elapsed, system_prompt)
     if detail_path:
         write_csv(detail, detail_path)
     if log_path:

@@ -8,7 +8,7 @@ RUN_LOG_SCHEMA = (
     "timestamp timestamp, stage string, model string, backend string, accuracy double, "
     "total bigint, tp bigint, tn bigint, fp bigint, fn bigint, precision double, recall double, "
     "rows_per_sec double, elapsed_sec double, n_examples bigint, prompt_hash string, "
-    "concurrency bigint"
+    "concurrency bigint, assembled_hash string"
 )
 
 

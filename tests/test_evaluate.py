@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from screenflow.operators import evaluate as ev
 from screenflow.operators.score import BatchScorer, SignalScorer
+from screenflow.plans.conversion import convert_benchmark
 from screenflow.plans.evaluation import evaluate_stage
 from screenflow.sources.runlog import append_run, read_runs
 from screenflow.sources.truth import read_truth_csv
@@ -156,7 +157,7 @@ def test_evaluation_scores_each_row_once(spark, data, tmp_path):
     assert "rationale" not in result.detail.columns
 
 
-def test_evaluation_errors(spark):
+def test_evaluation_errors(spark, tmp_path):
     schema = f"url string, {CLASSIFY.truth_col} string, use string, ord bigint, description string"
     only_train = spark.createDataFrame([("a", "TRUE", "train", 1, "x")], schema)
     with pytest.raises(ValueError, match="no rows with use=test"):
@@ -164,8 +165,10 @@ def test_evaluation_errors(spark):
     failed = spark.createDataFrame([("a", "TRUE", "test", 1, "x")], schema).withColumn(
         "scrape_status", F.lit("error")
     )
-    with pytest.raises(ValueError, match="no row got a label"):
-        evaluate_stage(spark, failed, CLASSIFY, ONE, SignalScorer())
+    log = tmp_path / "log"
+    with pytest.warns(UserWarning, match="no row got a label"):
+        report = evaluate_stage(spark, failed, CLASSIFY, ONE, SignalScorer(), log_path=str(log))
+    assert report.counts.first()["left_out"] == 1 and not log.exists()
 
 
 def test_evaluation_can_be_narrowed_by_another_truth_column(spark, data):
@@ -196,3 +199,21 @@ def test_best_runs(spark):
     best = {r["model"]: r for r in ev.best_runs(log).collect()}
     assert (best["m"]["best_prompt"], best["m"]["n_runs"]) == ("c", 3)
     assert best["n"]["best_accuracy"] == 0.1
+
+
+def test_a_converted_benchmark_can_be_evaluated(spark, tmp_path):
+    records = [
+        ("DR", i, f'Consider this post: "post {i} {w}" Question: x', f"{r}. Reasoning: r")
+        for i, (w, r) in enumerate([("depression", "Yes"), ("cake", "No"), ("cake", "Yes"), ("adhd, ptsd", "Yes")])
+    ]
+    source, target = str(tmp_path / "in"), str(tmp_path / "out")
+    spark.createDataFrame(records, "task string, idx bigint, query string, response string").write.parquet(source)
+    convert_benchmark(spark, source, target)
+    report = evaluate_stage(
+        spark, read_truth_csv(spark, target), CLASSIFY, ONE, SignalScorer(classify_threshold=1.0),
+        system_prompt="prompt", log_path=str(tmp_path / "log"),
+    )
+    got = report.metrics.first()
+    assert (got["tp"], got["tn"], got["fp"], got["fn"]) == (2, 1, 0, 1)
+    run = read_runs(spark, str(tmp_path / "log")).first()
+    assert run["assembled_hash"] and run["assembled_hash"] != run["prompt_hash"]

@@ -1,4 +1,5 @@
 import hashlib
+import warnings
 
 import pytest
 from pyspark.sql import functions as F
@@ -59,6 +60,9 @@ def test_own_template(spark, train):
 def test_template_without_a_slot_warns(spark, train):
     with pytest.warns(UserWarning, match="no examples slot"):
         assert p.build_prompt(spark, CLASSIFY, SETTINGS, train, template="fixed") == "fixed"
+    with warnings.catch_warnings():
+        warnings.simplefilter("error", UserWarning)
+        p.build_prompt(spark, CLASSIFY, SETTINGS, train.limit(0), template="fixed")
 
 
 def test_size_is_known_before_the_text_is_built(spark, train):

@@ -297,7 +297,8 @@ ORACLE = {
         select 'screen' as stage, 'insult words' as model, 'signals' as backend, tp, tn, fp, fn, total,
             {METRICS}, (select count(*) from truth where use = 'train') as n_examples,
             '{hashlib.md5(SCREEN.template.encode()).hexdigest()[:8]}' as prompt_hash,
-            cast(4 as bigint) as concurrency
+            cast(4 as bigint) as concurrency,
+            '{hashlib.md5(SCREEN_PROMPT.encode()).hexdigest()[:8]}' as assembled_hash
         from counts""",
     "with_result_columns": f"""{with_(VIDEOS)}
         select url, description, transcript, suggested_words, scrape_status,

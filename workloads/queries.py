@@ -155,7 +155,8 @@ def listing(spark: SparkSession, folder: str) -> DataFrame:
 def experiment_row(spark: SparkSession, folder: str) -> DataFrame:
     path = scratch_folder(spark, "log")
     n_examples = truth.train_rows(_clean_truth(spark, folder)).count()
-    append_run(ev.run_row(_counts(spark, folder), SCREEN, m.FULL, n_examples, 1.0), path)
+    sent = SCREEN.template.replace(prompt.EXAMPLES_SLOT, "")
+    append_run(ev.run_row(_counts(spark, folder), SCREEN, m.FULL, n_examples, 1.0, sent), path)
     return _rounded(
         read_runs(spark, path).drop("timestamp", "rows_per_sec", "elapsed_sec"),
         "accuracy", "precision", "recall",
