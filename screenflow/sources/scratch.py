@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -11,12 +10,12 @@ from pyspark.sql import SparkSession
 def scratch_folder(spark: SparkSession, name: str) -> str:
     """A new folder below ``spark.checkpoint.dir``, the storage all executors share.
 
-    Only a local session without that setting falls back to a machine-local
-    folder; a cluster without it is an error.
+    A local session without that setting uses its warehouse folder; a cluster
+    without it is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
-        base = tempfile.mkdtemp(prefix="screenflow-")
+        base = f"{spark.conf.get('spark.sql.warehouse.dir')}/_scratch"
     return f"{base.rstrip('/')}/screenflow/{name}-{uuid.uuid4().hex[:12]}"
