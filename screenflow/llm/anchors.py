@@ -25,6 +25,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,19 +35,22 @@ from screenflow.llm.common import binary_column, col, joined_rows, mixed, packed
 PIECE = 1 << 17
 _POSITION = np.uint64((1 << 18) - 1)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
+#: Bytes of text whose units are laid out at once.
+TOGETHER_BYTES = 1 << 20
 #: Stretches confirmed at once; those of one anchor stay together.
 TOGETHER = 1 << 13
 ASKED, KNOWN, TOLD = 0, 1, 2
-PAIRS = "shard int, state byte, hashes binary, docs binary"
+PAIRS = "shard int, state byte, low binary, high binary, docs binary"
 STRETCHES = "shard int, state byte, docs binary, firsts binary, sizes binary, text binary, anchors binary"
-HITS = "doc_id bigint, first bigint, n bigint"
+HITS = "doc_id bigint, hit bigint"
 
 
 class Rule(NamedTuple):
     """What an operator looks for: ``window`` units, anchored by grams of ``gram`` units.
 
-    ``units`` turns the bytes of a batch and its row offsets into a hash for each
-    unit, the units' row offsets, and each unit's first and end byte.
+    ``units`` turns the bytes of some rows and their offsets into a hash for each
+    unit, the units' row offsets, and each unit's first and end byte. ``cut``:
+    bytes are units, so that long rows can be read in parts.
     ``confirm`` gets the texts of stretches, their documents and anchors, and
     returns (stretch, window) of every window that an earlier
     document has.
@@ -56,6 +60,7 @@ class Rule(NamedTuple):
     gram: int
     units: Callable
     confirm: Callable
+    cut: bool
 
 
 def _power(n: int) -> np.uint64:
@@ -97,36 +102,44 @@ def anchors(units: np.ndarray, ends: np.ndarray, window: int, gram: int):
     return first, np.flatnonzero(last), hashes[at[first]]
 
 
-def pieces(offsets: np.ndarray, window: int) -> Iterator[tuple[int, int]]:
-    """Unit ranges of bounded size that hold every window once; long documents are cut with overlap."""
+def parts(offsets: np.ndarray, window: int, cut: bool) -> Iterator[tuple[int, int, int, int]]:
+    """Rows i to j and their bytes, about ``TOGETHER_BYTES`` at once; a longer row comes alone, cut with overlap if it may be."""
     i, rows = 0, len(offsets) - 1
     while i < rows:
-        j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + PIECE, side="right")) - 1)
+        j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + TOGETHER_BYTES, side="right")) - 1)
         start, stop = int(offsets[i]), int(offsets[j])
-        if stop - start <= PIECE:
-            yield start, stop
+        if cut and stop - start > TOGETHER_BYTES:
+            for at in range(start, stop - window + 1, TOGETHER_BYTES - window + 1):
+                yield i, j, at, min(stop, at + TOGETHER_BYTES)
         else:
-            for at in range(start, stop - window + 1, PIECE - window + 1):
-                yield at, min(stop, at + PIECE)
+            yield i, j, start, stop
         i = j
 
 
-def batch_anchors(rule: Rule, units: np.ndarray, offsets: np.ndarray):
-    """Anchors of a whole batch: row, first and last window as unit positions, hash."""
-    ends = np.repeat(offsets[1:], np.diff(offsets))
-    found = [[], [], []]
-    for start, stop in pieces(offsets, rule.window):
-        first, last, hashes = anchors(units[start:stop], np.minimum(ends[start:stop], stop) - start, rule.window, rule.gram)
-        for out, values in zip(found, (first + start, last + start, hashes), strict=True):
-            out.append(values)
-    if not found[0]:
-        return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),)
-    first, last, hashes = map(np.concatenate, found)
-    return np.searchsorted(offsets, first, side="right") - 1, first, last, hashes
+def batch_anchors(rule: Rule, data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
+    """Runs of windows with one anchor in a batch: row, first window in the row, windows, first byte, end byte, hash."""
+    found: list[list[np.ndarray]] = [[np.zeros(0, np.int64)] for _ in range(5)] + [[np.zeros(0, np.uint64)]]
+    for i, j, start, stop in parts(offsets, rule.window, rule.cut):
+        units, at, begin, end = rule.units(data[start:stop], np.clip(offsets[i : j + 1], start, stop) - start)
+        ends = np.repeat(at[1:], np.diff(at))
+        for k in range(0, max(len(units) - rule.window + 1, 0), PIECE - rule.window + 1):
+            stop_unit = min(len(units), k + PIECE)
+            first, last, hashes = anchors(units[k:stop_unit], np.minimum(ends[k:stop_unit], stop_unit) - k, rule.window, rule.gram)
+            first, last = first + k, last + k
+            row = np.searchsorted(at, first, side="right") - 1
+            before = start - int(offsets[i])
+            values = (row + i, first - at[row] + before, last - first + 1, begin[first] + start, end[last + rule.window - 1] + start, hashes)
+            for out, value in zip(found, values, strict=True):
+                out.append(value)
+    return [np.concatenate(x) for x in found]
 
 
 def shard_of(hashes: np.ndarray, n: int) -> np.ndarray:
-    return ((hashes >> np.uint64(20)) % np.uint64(n)).astype(np.int32)
+    """The shard comes from the upper bits; the lower 40 tell anchors of a shard apart.
+
+    Anchors only propose, so two that fall together cost a comparison, no more.
+    """
+    return ((hashes >> np.uint64(40)) % np.uint64(n)).astype(np.int32)
 
 
 def find_pairs(rule: Rule, n_shards: int):
@@ -135,9 +148,8 @@ def find_pairs(rule: Rule, n_shards: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = binary_column(batch.column("body"))
-            ids = batch.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
-            units, unit_offsets, _, _ = rule.units(data, offsets)
-            row, _, _, hashes = batch_anchors(rule, units, unit_offsets)
+            ids = batch.column("doc_id").fill_null(0).to_numpy(zero_copy_only=False)
+            row, *_, hashes = batch_anchors(rule, data, offsets)
             docs = ids[row]
             order = np.lexsort((docs, hashes))
             hashes, docs = hashes[order], docs[order]
@@ -151,34 +163,56 @@ def find_pairs(rule: Rule, n_shards: int):
                 h, d = hashes[keep], docs[keep]
                 shard = shard_of(h, n_shards)
                 order = np.lexsort((d, shard))
-                keys, (packed_h, packed_d) = packed_by(shard[order], [h[order], d[order]])
+                low, high = h.astype(np.uint32), (h >> np.uint64(32)).astype(np.uint8)
+                keys, packed = packed_by(shard[order], [low[order], high[order], d[order]])
                 if state == KNOWN:
-                    packed_d = [b""] * len(keys)
+                    packed[2] = [b""] * len(keys)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys, pa.int32()), pa.array([state] * len(keys), pa.int8()), pa.array(packed_h, pa.binary()), pa.array(packed_d, pa.binary())],
-                    ["shard", "state", "hashes", "docs"],
+                    [pa.array(keys, pa.int32()), pa.array([state] * len(keys), pa.int8()), *(pa.array(x, pa.binary()) for x in packed)],
+                    ["shard", "state", "low", "high", "docs"],
                 )
 
     return run
 
 
+def unpacked(table: pa.Table) -> np.ndarray:
+    """The 40 bits of all packed anchors."""
+    return joined_rows(table.column("low"), np.uint32).astype(np.uint64) | joined_rows(table.column("high"), np.uint8).astype(np.uint64) << np.uint64(32)
+
+
 def share(table: pa.Table) -> pa.Table:
-    """The pairs of one shard whose anchor another document has too."""
+    """The pairs of one shard whose anchor another document has too.
+
+    The result names an anchor by its shard and 40 bits, in one number.
+    """
     state = table.column("state").to_numpy()
     asked, known, told = (table.filter(pa.array(state == s)) for s in (ASKED, KNOWN, TOLD))
-    hashes, docs = joined_rows(asked.column("hashes"), np.uint64), joined_rows(asked.column("docs"), np.int64)
+    hashes, docs = unpacked(asked), joined_rows(asked.column("docs"), np.int64)
     order = np.argsort(hashes)
     hashes, docs = hashes[order], docs[order]
     twin = np.zeros(len(hashes), bool)
     twin[1:] = hashes[1:] == hashes[:-1]
     twin[:-1] |= twin[1:].copy()
-    elsewhere = np.sort(joined_rows(known.column("hashes"), np.uint64))
+    elsewhere = np.sort(unpacked(known))
     if len(elsewhere):
         at = np.minimum(np.searchsorted(elsewhere, hashes), len(elsewhere) - 1)
         twin |= elsewhere[at] == hashes
     docs = np.concatenate([docs[twin], joined_rows(told.column("docs"), np.int64)])
-    hashes = np.concatenate([hashes[twin], joined_rows(told.column("hashes"), np.uint64)])
-    return pa.table({"doc_id": pa.array(docs), "anchor": pa.array(hashes.view(np.int64))})
+    hashes = np.concatenate([hashes[twin], unpacked(told)])
+    shard = np.uint64(table.column("shard")[0].as_py())
+    return pa.table({"doc_id": pa.array(docs), "anchor": pa.array((hashes | shard << np.uint64(40)).view(np.int64))})
+
+
+def squeezed(rows: list[bytes]) -> list[bytes]:
+    """The packed rows compressed, as these texts are most of what is shuffled."""
+    press = zstandard.ZstdCompressor(level=3)
+    return [press.compress(x) for x in rows]
+
+
+def spread(column: pa.ChunkedArray, dtype) -> np.ndarray:
+    """All numbers packed and compressed into the rows of a binary column."""
+    open_ = zstandard.ZstdDecompressor()
+    return np.frombuffer(b"".join([open_.decompress(x) for x in column.to_pylist()]), dtype)
 
 
 def find_stretches(rule: Rule, n_shards: int):
@@ -191,40 +225,38 @@ def find_stretches(rule: Rule, n_shards: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = binary_column(batch.column("body"))
-            ids = batch.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
+            ids = batch.column("doc_id").fill_null(0).to_numpy(zero_copy_only=False)
             lists = batch.column("anchors")
             wanted = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
-            owner = np.repeat(np.arange(len(ids), dtype=np.uint64), np.diff(lists.offsets.to_numpy()))
-            units, unit_offsets, unit_first, unit_end = rule.units(data, offsets)
-            row, first, last, hashes = batch_anchors(rule, units, unit_offsets)
+            lengths = np.asarray(lists.value_lengths().fill_null(0))
+            owner = np.repeat(np.arange(len(ids), dtype=np.uint64), lengths)
+            row, first, n, begin, end, hashes = batch_anchors(rule, data, offsets)
+            shard = shard_of(hashes, n_shards)
+            named = hashes & np.uint64((1 << 40) - 1) | shard.astype(np.uint64) << np.uint64(40)
             shared = np.sort(wanted ^ mixed(owner + _STEP))
-            mine = hashes ^ mixed(row.astype(np.uint64) + _STEP)
+            mine = named ^ mixed(row.astype(np.uint64) + _STEP)
             keep = np.zeros(len(mine), bool)
             if len(shared):
                 keep = shared[np.minimum(np.searchsorted(shared, mine), len(shared) - 1)] == mine
-            row, first, last, hashes = row[keep], first[keep], last[keep], hashes[keep]
+            kept = np.flatnonzero(keep)
+            kept = kept[np.argsort(ids[row[kept]], kind="stable")]
+            row, first, n, begin, end, hashes, shard = (x[kept] for x in (row, first, n, begin, end, hashes, shard))
             docs = ids[row]
-            order = np.argsort(docs, kind="stable")
-            row, first, last, hashes, docs = (x[order] for x in (row, first, last, hashes, docs))
             raw = data.tobytes()
-            begin, end = unit_first[first], unit_end[last + rule.window - 1]
             earliest: dict[bytes, int] = {}
             texts = [raw[i:j] for i, j in zip(begin.tolist(), end.tolist(), strict=True)]
             told = np.fromiter((earliest.setdefault(t, d) < d for t, d in zip(texts, docs.tolist(), strict=True)), bool, len(texts))
-            where = (first - unit_offsets[row]).astype(np.int64)
-            n = (last - first + 1).astype(np.int32)
-            shard = shard_of(hashes, n_shards)
             for state, keep in ((ASKED, ~told), (TOLD, told)):
                 at = np.flatnonzero(keep)
                 at = at[np.argsort(shard[at], kind="stable")]
-                sizes = n[at] if state == TOLD else (end - begin)[at].astype(np.int32)
-                keys, (d, f, s, h) = packed_by(shard[at], [docs[at], where[at], sizes, hashes[at]])
+                sizes = (n if state == TOLD else end - begin)[at].astype(np.int32)
+                keys, (d, f, s, h) = packed_by(shard[at], [docs[at], first[at].astype(np.uint32), sizes, hashes[at].astype(np.uint32)])
                 cuts = np.flatnonzero(np.diff(shard[at], prepend=-1))
                 blobs = [b"".join([texts[k] for k in part]) if state == ASKED else b"" for part in np.split(at, cuts[1:])] if len(at) else []
                 if state == TOLD:
                     h = [b""] * len(keys)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys, pa.int32()), pa.array([state] * len(keys), pa.int8()), *(pa.array(x, pa.binary()) for x in (d, f, s, blobs, h))],
+                    [pa.array(keys, pa.int32()), pa.array([state] * len(keys), pa.int8()), *(pa.array(squeezed(x), pa.binary()) for x in (d, f, s, blobs, h))],
                     ["shard", "state", "docs", "firsts", "sizes", "text", "anchors"],
                 )
 
@@ -235,10 +267,10 @@ def confirm_shard(rule: Rule):
     def run(table: pa.Table) -> pa.Table:
         state = table.column("state").to_numpy()
         asked, told = (table.filter(pa.array(state == s)) for s in (ASKED, TOLD))
-        docs, firsts = joined_rows(asked.column("docs"), np.int64), joined_rows(asked.column("firsts"), np.int64)
-        sizes = joined_rows(asked.column("sizes"), np.int32).astype(np.int64)
-        anchor = joined_rows(asked.column("anchors"), np.uint64)
-        text = binary_column(asked.column("text"))[0].tobytes()
+        docs, firsts = spread(asked.column("docs"), np.int64), spread(asked.column("firsts"), np.uint32).astype(np.int64)
+        sizes = spread(asked.column("sizes"), np.int32).astype(np.int64)
+        anchor = spread(asked.column("anchors"), np.uint32)
+        text = spread(asked.column("text"), np.uint8).tobytes()
         begins = np.cumsum(sizes) - sizes
         order = np.argsort(anchor, kind="stable")
         cuts = np.flatnonzero(np.diff(anchor[order], prepend=anchor[order][:1]) != 0)
@@ -259,19 +291,18 @@ def confirm_shard(rule: Rule):
         new[1:] = (which[1:] != which[:-1]) | (window[1:] != window[:-1] + 1)
         starts = np.flatnonzero(new)
         runs = np.diff([*starts, len(which)]).astype(np.int64)
-        return pa.table({
-            "doc_id": np.concatenate([docs[which[starts]], joined_rows(told.column("docs"), np.int64)]),
-            "first": np.concatenate([firsts[which[starts]] + window[starts], joined_rows(told.column("firsts"), np.int64)]),
-            "n": np.concatenate([runs, joined_rows(told.column("sizes"), np.int32).astype(np.int64)]),
-        })
+        doc = np.concatenate([docs[which[starts]], spread(told.column("docs"), np.int64)])
+        first = np.concatenate([firsts[which[starts]] + window[starts], spread(told.column("firsts"), np.uint32).astype(np.int64)])
+        n = np.concatenate([runs, spread(told.column("sizes"), np.int32).astype(np.int64)])
+        return pa.table({"doc_id": doc, "hit": first << 24 | n})
 
     return run
 
 
-def covered(hits: list | None, window: int) -> list[tuple[int, int]]:
-    """Maximal runs of units that hit windows cover, as (start, end)."""
+def covered(hits: list[int] | None, window: int) -> list[tuple[int, int]]:
+    """Maximal runs of units that hit windows cover, as (start, end). A hit is its first window and 24 bits of their number."""
     runs: list[tuple[int, int]] = []
-    for first, n in sorted((h["first"], h["n"]) for h in hits or ()):
+    for first, n in sorted((h >> 24, h & 0xFFFFFF) for h in hits or ()):
         end = first + n - 1 + window
         if runs and first <= runs[-1][1]:
             runs[-1] = (runs[-1][0], max(runs[-1][1], end))
@@ -291,9 +322,10 @@ def earlier_windows(docs: DataFrame, rule: Rule, id_col: str = "doc_id", text_co
     asked = bodies.filter("doc_id is not null").mapInArrow(find_pairs(rule, n), PAIRS)
     shared = asked.groupBy("shard").applyInArrow(share, "doc_id bigint, anchor bigint")
     lists = shared.groupBy("doc_id").agg(F.collect_list("anchor").alias("anchors"))
-    stretches = (
-        bodies.join(lists.hint("merge"), "doc_id").mapInArrow(find_stretches(rule, n), STRETCHES)
-    )
+    # Left joins both, so that the exchange of the texts is the same one and is reused.
+    candidates = bodies.join(lists.hint("merge"), "doc_id", "left")
+    body = F.when(F.col("anchors").isNotNull(), F.col("body"))
+    stretches = candidates.select("doc_id", body.alias("body"), "anchors").mapInArrow(find_stretches(rule, n), STRETCHES)
     hits = stretches.groupBy("shard").applyInArrow(confirm_shard(rule), HITS)
-    by_doc = hits.groupBy("doc_id").agg(F.collect_list(F.struct("first", "n")).alias("hits"))
+    by_doc = hits.groupBy("doc_id").agg(F.collect_list("hit").alias("hits"))
     return bodies.join(by_doc.hint("merge"), "doc_id", "left")

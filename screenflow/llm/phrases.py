@@ -85,7 +85,7 @@ def confirm(texts: list[bytes], docs: np.ndarray, anchors: np.ndarray):
     return np.array(which, np.int64), np.array(window, np.int64)
 
 
-RULE = Rule(WORDS, 5, word_units, confirm)
+RULE = Rule(WORDS, 5, word_units, confirm, cut=False)
 
 
 def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -20,7 +20,7 @@ from screenflow.llm.common import GAP, WORD, col, free_name, stored
 
 SYMBOLS = "#*$%&|<>"
 #: What a metric may exceed its adaptive threshold by: thousandths, and tenths of a character for word length.
-SLACK = {"symbols": 30, "capitals": 100, "dup_lines": 300, "word_length": 50}
+SLACK = {"symbols": 30, "capitals": 100, "dup_lines": 500, "word_length": 50}
 METRICS = tuple(SLACK)
 #: Distances from the lower decile to the median that a document may be above the median.
 REACH = 6

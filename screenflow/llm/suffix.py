@@ -104,7 +104,7 @@ def confirm(texts: list[bytes], docs: np.ndarray, anchors: np.ndarray):
     return which[hit], window[hit]
 
 
-RULE = Rule(LENGTH, 24, byte_units, confirm)
+RULE = Rule(LENGTH, 24, byte_units, confirm, cut=True)
 
 
 def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
