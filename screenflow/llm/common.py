@@ -62,7 +62,7 @@ def joined_rows(column: pa.ChunkedArray, dtype) -> np.ndarray:
 def packed_by(shard: np.ndarray, arrays: list[np.ndarray]) -> tuple[np.ndarray, list[list[bytes]]]:
     """The arrays cut into one packed value for each shard; rows must be sorted by shard."""
     starts = np.flatnonzero(np.diff(shard, prepend=-1))
-    ends = [*starts[1:], len(shard)]
+    ends = [*starts[1:], len(shard)][: len(starts)]
     return shard[starts], [[a[i:j].tobytes() for i, j in zip(starts, ends, strict=True)] for a in arrays]
 
 
