@@ -36,10 +36,15 @@ def nonblank(c: Column) -> Column:
     return F.coalesce(~is_blank(c), F.lit(False))
 
 
+def named(name: str) -> Column:
+    """The column with exactly this name, whatever characters it holds."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def row_text(available: Sequence[str], cols: Sequence[str]) -> Column:
     """``col: value`` lines of the non-blank fields; fields the table lacks are ignored."""
     parts = [
-        F.when(nonblank(F.col(c)), F.concat(F.lit(f"{c}: "), F.col(c)))
+        F.when(nonblank(named(c)), F.concat(F.lit(f"{c}: "), named(c)))
         for c in cols
         if c in available
     ]

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from screenflow.functions.strings import named
 from screenflow.spec import Settings, StageSpec
 
 
@@ -48,9 +49,9 @@ def long_results(
         for stage in reversed(stages):
             if settings.output_name(stage) not in wide.columns:
                 continue
-            label = F.col(settings.output_name(stage))
+            label = named(settings.output_name(stage))
             has_prob = settings.prob_name in wide.columns
-            prob = F.col(settings.prob_name) if has_prob else F.lit(None)
+            prob = named(settings.prob_name) if has_prob else F.lit(None)
             reason = settings.rationale_name(stage)
             cells.append(
                 F.struct(
@@ -58,7 +59,7 @@ def long_results(
                     F.lit(settings.model_label).alias("model_label"),
                     label.alias("label"),
                     F.when(~later, prob).cast("double").alias("prob_true"),
-                    (F.col(reason) if reason in wide.columns else F.lit(None))
+                    (named(reason) if reason in wide.columns else F.lit(None))
                     .cast("string")
                     .alias("rationale"),
                 )
@@ -71,7 +72,7 @@ def model_agreement(
     wide: DataFrame, models: Sequence[Settings], stage: StageSpec
 ) -> DataFrame:
     """Add how many models labelled the row and how many said ``TRUE``."""
-    labels = F.array_compact(F.array(*[F.col(m.output_name(stage)) for m in models]))
+    labels = F.array_compact(F.array(*[named(m.output_name(stage)) for m in models]))
     n_true = F.size(F.filter(labels, lambda x: x == "TRUE")).cast("bigint")
     n_models = F.size(labels).cast("bigint")
     return wide.withColumns(

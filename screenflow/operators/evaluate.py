@@ -129,7 +129,7 @@ def run_row(
 
 
 def best_runs(log: DataFrame) -> DataFrame:
-    """Most accurate run per stage and model; ties go to the earlier prompt hash."""
+    """Most accurate run per stage and model; ties go to the larger recall, then the later prompt hash."""
     rank = F.struct("accuracy", "recall", "prompt_hash")
     return log.groupBy("stage", "model").agg(
         F.count(F.lit(1)).alias("n_runs"),

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from screenflow.functions.strings import named
 from screenflow.spec import FAILED_STATUS, SKIPPED, Settings, StageSpec
 
 
@@ -29,7 +30,7 @@ def is_failed(df: DataFrame) -> Column:
 
 def skip_failed(df: DataFrame, label_col: str) -> DataFrame:
     """Mark pending rows that failed upstream as final, so they are never scored."""
-    label = F.col(label_col)
+    label = named(label_col)
     marked = F.when(label.isNull() & is_failed(df), F.lit(SKIPPED)).otherwise(label)
     return df.withColumn(label_col, marked)
 
@@ -65,7 +66,7 @@ def drop_model_columns(df: DataFrame, model_label: str) -> DataFrame:
 
 def pending_counts(df: DataFrame, label_col: str, expression: str | None = None) -> DataFrame:
     """Rows pending, done and in total, in one aggregate after `skip_failed`."""
-    pending = F.count_if(F.col(label_col).isNull() & matches(df, expression))
+    pending = F.count_if(named(label_col).isNull() & matches(df, expression))
     total = F.count(F.lit(1))
     return df.agg(
         pending.alias("pending"), (total - pending).alias("done"), total.alias("total")

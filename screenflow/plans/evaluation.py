@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from screenflow.operators import evaluate as ev
 from screenflow.operators.rows import is_failed, row_filter
 from screenflow.operators.score import PRESET, Scorer
-from screenflow.operators.truth import held_out_rows, normalise_truth, train_rows, validate_truth
+from screenflow.operators.truth import held_out_rows, normalise_truth, train_rows, validate_truth, require_columns
 from screenflow.sources.runlog import append_run
 from screenflow.sources.scratch import scratch_folder
 from screenflow.sources.truth import write_csv
@@ -48,6 +48,7 @@ def evaluate_stage(
     There is no gate here; ``settings.row_filter`` narrows the rows if asked to.
     """
     truth_cols = {s.truth_col for s in STAGES.values()} | {stage.truth_col}
+    require_columns(truth, stage.truth_col)
     valid = validate_truth(normalise_truth(truth, sorted(truth_cols)), stage.truth_col)
     # Stored once: several reports read parts of it, and a CSV has to be parsed whole.
     truth_path = scratch_folder(spark, "truth")

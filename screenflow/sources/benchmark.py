@@ -21,7 +21,9 @@ RESPONSE_COLS = ("response", "gpt-3.5-turbo")
 
 def select_tasks(records: DataFrame, tasks: Sequence[str] = BENCHMARK_TASKS) -> DataFrame:
     """``(task, idx, query, response)`` of the wanted tasks."""
-    response = next(c for c in RESPONSE_COLS if c in records.columns)
+    response = next((c for c in RESPONSE_COLS if c in records.columns), None)
+    if response is None:
+        raise ValueError(f"benchmark records lack a reply column: one of {', '.join(RESPONSE_COLS)}")
     return records.filter(F.col("task").isin(*tasks)).select(
         F.col("task").cast("string").alias("task"),
         F.col("idx").cast("bigint").alias("idx"),

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from screenflow.functions.strings import named
 from screenflow.operators.rows import drop_model_columns, exclude_failed
 from screenflow.spec import TEXT_COLS, Settings, StageSpec
 
@@ -52,4 +53,4 @@ def result_listing(
         settings.output_name(classify),
         settings.rationale_name(classify),
     ]
-    return wide.select(*[c for c in wanted if c in wide.columns])
+    return wide.select(*[named(c) for c in wanted if c in wide.columns])

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from screenflow.functions.strings import named
+
 # Cell contents that stand for "no value" in a truth file.
 NO_VALUE = (
     "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND",
@@ -33,11 +35,11 @@ def read_truth_csv(spark: SparkSession, path: str, multiline: bool = True) -> Da
         ignoreTrailingWhiteSpace=False,
         maxCharsPerColumn=-1,
     )
-    named = raw.toDF(*[c.strip() for c in raw.columns])
-    cells = named.select(
-        *[F.when(~F.col(c).isin(*NO_VALUE), F.col(c)).alias(c) for c in named.columns]
+    table = raw.toDF(*[c.strip() for c in raw.columns])
+    cells = table.select(
+        *[F.when(~named(c).isin(*NO_VALUE), named(c)).alias(c) for c in table.columns]
     )
-    in_file = F.col(ORD) if ORD in named.columns else F.monotonically_increasing_id()
+    in_file = F.col(ORD) if ORD in table.columns else F.monotonically_increasing_id()
     return cells.withColumn(ORD, in_file.cast("bigint"))
 
 
