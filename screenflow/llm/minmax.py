@@ -10,12 +10,12 @@ Equal sets form a class first, whose smallest document id stands for it. Links
 are found without listing the pairs of a bucket: each member is checked against
 the bucket's smallest member, in a first round against one such hub only, then
 against the hub and three random pivots of each of its buckets, as long as it is
-not connected with them already. Buckets of up to 32 members that still hold
-several components compare the rest of their members too, so there no proposed
-link is lost. In larger buckets a document that is linked to a share f of its
-bucket mates, and to nothing else of its group, is missed with a probability of
-about (1 - f)^(4 b), b being the buckets it shares with the group (13 of 40 at a
-similarity of 0.8).
+not connected with them already. That leaves few buckets with several components.
+Of those, buckets of up to 32 members compare all members of different
+components. The members of larger ones meet by prefix filtering, which is exact:
+with the shingles of each set ordered from the rarest on, two sets of the asked
+similarity share a shingle among the first n - ceil(0.8 n) + 1 of each. So no
+link that the bands propose is lost, whatever the size of a bucket.
 """
 
 from __future__ import annotations
@@ -26,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from screenflow.llm.anchors import parts
 from screenflow.llm.common import binary_column, col, free_name, mixed, stored
@@ -35,7 +36,7 @@ PERMUTATIONS, BAND_ROWS = 100, 5
 BANDS = 2 * PERMUTATIONS // BAND_ROWS
 #: Random members of a bucket that all its members are compared with, besides the smallest.
 PIVOTS = 3
-#: Buckets up to this size compare all members that are still in different components.
+#: Buckets up to this size compare all members that are still in different components; larger ones use prefixes.
 SMALL_BUCKET = 32
 #: Similarity of linked documents, in percent.
 PERCENT = 80
@@ -132,6 +133,37 @@ def whole_sets(size: int):
     return run
 
 
+def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row for each shingle of packed sets, with the set's size."""
+    for batch in batches:
+        data, offsets = binary_column(batch.column("shingles"))
+        sizes = np.diff(offsets) // 8
+        rows = np.repeat(np.arange(len(sizes)), sizes)
+        shingles = data[offsets[0] : offsets[-1]].copy().view(np.int64)
+        for at in range(0, len(rows), PIECE):
+            part = pa.array(rows[at : at + PIECE])
+            columns = [batch.column(c).take(part) for c in ("rep", "set", "label")]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(sizes).take(part), pa.array(shingles[at : at + PIECE])], ["rep", "set", "label", "n", "shingle"])
+
+
+def prefix_pairs(sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b), a > b, of different labels that can be similar enough, of ``sets`` (rep, label, shingles).
+
+    A document with several rows has several sets; each has its own prefix.
+    """
+    each = sets.select("rep", "label", "shingles", F.xxhash64("shingles").alias("set")).dropDuplicates(["rep", "set"])
+    tokens = each.mapInArrow(unpacked, "rep bigint, set bigint, label bigint, n bigint, shingle bigint")
+    frequency = tokens.groupBy("shingle").agg(F.count("*").alias("docs"))
+    place = F.row_number().over(Window.partitionBy("rep", "set").orderBy("docs", "shingle"))
+    ranked = tokens.join(frequency, "shingle").withColumn("place", place)
+    # A shingle of one document alone takes its place in the order, but joins nothing.
+    first = ranked.filter((F.col("place") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1) & (F.col("docs") > 1))
+    left = stored(first.select("shingle", F.col("rep").alias("a"), F.col("label").alias("label_a"), F.col("n").alias("n_a")), "prefixes")
+    right = left.toDF("shingle", "b", "label_b", "n_b")
+    size = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
+    return left.join(right, "shingle").filter((F.col("a") > F.col("b")) & (F.col("label_a") != F.col("label_b")) & size).select("a", "b").distinct()
+
+
 def linked(percent: int):
     """Keeps the pairs (a, b) whose sets are similar enough."""
 
@@ -226,13 +258,19 @@ def near_duplicates(
         asked = buckets.select("rep", pivot).distinct()
         apart = asked.join(labelled("rep"), "rep").join(labelled(pivot), pivot).filter(F.col("rep_label") != F.col(f"{pivot}_label"))
         labels = components(labels, confirm(apart.select(F.greatest("rep", pivot).alias("a"), F.least("rep", pivot).alias("b")).distinct()))
-    # Buckets of few members that are still not one component: every member against every other component's.
-    small = buckets.filter(F.col("n") <= SMALL_BUCKET).select("band", "value", "rep").join(labelled("rep"), "rep")
-    open_ = small.groupBy("band", "value").agg(F.min("rep_label").alias("low"), F.max("rep_label").alias("high")).filter("low < high")
-    left = stored(small.join(open_.select("band", "value"), ["band", "value"]), "open-buckets")
-    right = left.select("band", "value", F.col("rep").alias("b"), F.col("rep_label").alias("b_label"))
-    rest = left.withColumnRenamed("rep", "a").join(right, ["band", "value"]).filter("a > b and rep_label != b_label").select("a", "b").distinct()
+    # Buckets that are still not one component: small ones compare every member with every other component's.
+    open_members = buckets.select("band", "value", "n", "rep").join(labelled("rep"), "rep")
+    apart = open_members.groupBy("band", "value").agg(F.min("rep_label").alias("low"), F.max("rep_label").alias("high")).filter("low < high")
+    left = stored(open_members.join(apart.select("band", "value"), ["band", "value"]), "open-buckets")
+    small = left.filter(F.col("n") <= SMALL_BUCKET).drop("n")
+    right = small.select("band", "value", F.col("rep").alias("b"), F.col("rep_label").alias("b_label"))
+    rest = small.withColumnRenamed("rep", "a").join(right, ["band", "value"]).filter("a > b and rep_label != b_label").select("a", "b").distinct()
     labels = components(labels, confirm(rest))
+    # The members of large ones meet by the rarest shingles of their sets.
+    large = left.filter(F.col("n") > SMALL_BUCKET).select("rep").distinct()
+    if not large.isEmpty():
+        waiting = large.join(labelled("rep").withColumnRenamed("rep_label", "label"), "rep").join(sets, F.col("rep") == sets["doc_id"])
+        labels = components(labels, confirm(prefix_pairs(waiting, percent)))
     result = sketch.join(labels.select(F.col("id").alias("doc_id"), "label"), "doc_id", "left")
     component = F.coalesce("label", "doc_id")
     return result.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
