@@ -14,14 +14,26 @@ REPLY_SCHEMA = "label string, rationale string"
 
 
 def parse_label(raw: Column, labels: Sequence[str] = LABELS) -> Column:
-    """The exact label, else the first declared label at the start or after a space."""
+    """The exact label, else the earliest one at the start or after a space.
+
+    Of labels that start at the same place the first declared one counts.
+    """
     names = [label.upper() for label in labels]
     text = F.upper(strip(F.coalesce(raw, F.lit(""))))
     padded = F.concat(F.lit(" "), text)
-    out = F.when(text.isin(names), text)
-    for name in names:
-        out = out.when(F.contains(padded, F.lit(f" {name}")), F.lit(name))
-    return out.otherwise(F.lit(UNKNOWN))
+    found = [
+        F.when(
+            F.contains(padded, F.lit(f" {name}")),
+            F.struct(
+                F.instr(padded, F.lit(f" {name}")).alias("at"),
+                F.lit(i).alias("place"),
+                F.lit(name).alias("name"),
+            ),
+        )
+        for i, name in enumerate(names)
+    ]
+    earliest = F.array_min(F.array(*found))["name"]
+    return F.when(text.isin(names), text).otherwise(F.coalesce(earliest, F.lit(UNKNOWN)))
 
 
 def _is_object(raw: Column) -> Column:

@@ -7,6 +7,7 @@ and which way it counts in each stage. The same list feeds the signal scorer
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
 from dataclasses import dataclass
 
@@ -14,9 +15,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def normal_term(term: str) -> str:
+    """A term as texts are read: lower-case runs of letters and digits of any script, one space between them."""
+    words = " ".join(re.findall(r"[^\W_]+", term.lower()))
+    if not words:
+        raise ValueError(f"term {term!r} has neither letters nor digits")
+    return words
+
+
 @dataclass(frozen=True)
 class Signal:
-    """One criterion. ``screen`` / ``classify`` are +1, -1 or 0."""
+    """One criterion. ``screen`` / ``classify`` are +1, -1 or 0; ``terms`` are normalised."""
 
     name: str
     terms: tuple[str, ...]
@@ -25,6 +34,9 @@ class Signal:
     weight: float = 1.0
     criterion: str = ""
 
+    def __post_init__(self) -> None:
+        object.__setattr__(self, "terms", tuple(dict.fromkeys(normal_term(t) for t in self.terms)))
+
     def polarity(self, stage: str) -> int:
         return self.screen if stage == "screen" else self.classify
 
@@ -93,8 +105,8 @@ def words_lexicon(name: str, terms: Iterable[str]) -> Lexicon:
 LYRIC_MARKERS = ("♪", "♫", "(singing)", "(music)")
 
 # The conditions, treatments and counter-examples that the
-# screening criteria name. Terms are lower-case runs of a-z; a space joins the
-# words of a phrase, and any other character in the text separates words.
+# screening criteria name. A space joins the words of a phrase; any character
+# of a text that is neither a letter nor a digit separates words.
 MENTAL_HEALTH = Lexicon(
     (
         Signal(

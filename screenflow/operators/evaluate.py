@@ -30,31 +30,25 @@ def confusion_counts(
 ) -> DataFrame:
     """``tp, tn, fp, fn, total, left_out``: one row, or one per group of ``by``.
 
-    Predictions are counted per key before the join, so a key with many rows is
-    one row by then; without groups both sides are already hashed by the key.
+    The truth is joined first: a small one is broadcast by the planner, and the
+    predictions are counted where they are. Beside a large one, the rows of a
+    frequent key are split by the adaptive skew join.
     """
-    label = F.col("label")
-    per_key = predictions.groupBy("url", *by).agg(
-        F.count_if(label == "TRUE").alias("n_true"),
-        F.count_if(label == "FALSE").alias("n_false"),
-        F.count_if(~F.coalesce(label, F.lit("")).isin(*LABELS)).alias("n_other"),
-    )
-    actual = F.col("ground_truth")
+    label, actual = F.col("label"), F.col("ground_truth")
 
-    def total(n: str, truth: str | None = None) -> Column:
-        value = F.col(n) if truth is None else F.when(actual == truth, F.col(n))
-        return F.coalesce(F.sum(value), F.lit(0)).cast("bigint")
+    def cell(predicted: str, truth: str) -> Column:
+        return F.count_if((label == predicted) & (actual == truth))
 
     return (
-        per_key.join(lookup, "url")
+        predictions.join(lookup, "url")
         .groupBy(*by)
         .agg(
-            total("n_true", "TRUE").alias("tp"),
-            total("n_false", "FALSE").alias("tn"),
-            total("n_true", "FALSE").alias("fp"),
-            total("n_false", "TRUE").alias("fn"),
-            (total("n_true") + total("n_false")).alias("total"),
-            total("n_other").alias("left_out"),
+            cell("TRUE", "TRUE").alias("tp"),
+            cell("FALSE", "FALSE").alias("tn"),
+            cell("TRUE", "FALSE").alias("fp"),
+            cell("FALSE", "TRUE").alias("fn"),
+            F.count_if(label.isin(*LABELS)).alias("total"),
+            F.count_if(~F.coalesce(label, F.lit("")).isin(*LABELS)).alias("left_out"),
         )
     )
 

@@ -7,8 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MAX_HOT_KEYS = 100
+LEAST_HOT_KEYS = 100
 SAMPLE_ROWS = 200_000
+SAMPLE_PER_KEY = 100
 MAX_BROADCAST_KEYS = 200_000
 
 
@@ -22,20 +23,23 @@ def broadcast_if_few(keys: DataFrame, limit: int = MAX_BROADCAST_KEYS) -> DataFr
 
 
 def hot_keys(rows: DataFrame, key: str = "url") -> list[str]:
-    """Keys that hold more than 1 / ``MAX_HOT_KEYS`` of the rows, so fewer than that many.
+    """Keys that hold more than half of an even shuffle partition, so at most two for each partition.
 
-    The shares come from a sample of the key column. They only decide how a
-    join is spread over tasks; the join itself sees every row.
+    With few partitions a key counts from a hundredth of the rows on. The shares
+    come from a sample of the key column, which grows with the partitions. They
+    only decide how a join is spread over tasks; the join itself sees every row.
     """
+    partitions = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    most = max(LEAST_HOT_KEYS, 2 * partitions)
     total = rows.count()
     if total == 0:
         return []
     keys = rows.select(key).filter(F.col(key).isNotNull())
-    share = min(1.0, SAMPLE_ROWS / total)
+    share = min(1.0, max(SAMPLE_ROWS, SAMPLE_PER_KEY * most) / total)
     sampled = keys if share == 1.0 else keys.sample(share, seed=17)
-    expected = total * share / MAX_HOT_KEYS
+    expected = total * share / most
     frequent = sampled.groupBy(key).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > max(expected, 1.0))
-    return [r[key] for r in frequent.orderBy(F.desc("n"), key).limit(MAX_HOT_KEYS).collect()]
+    return [r[key] for r in frequent.orderBy(F.desc("n"), key).limit(most).collect()]
 
 
 def join_lookup(

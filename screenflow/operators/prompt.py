@@ -161,7 +161,9 @@ def estimated_tokens(text: Column, system_chars: int) -> Column:
 
 
 def is_oversize(text: Column, system_chars: int, settings: Settings) -> Column:
-    """True when the request plus its reply does not fit the context."""
+    """True when the request plus its reply does not fit the context; never without a limit."""
+    if settings.context_limit is None:
+        return F.lit(False)
     tokens = estimated_tokens(text, system_chars)
     return tokens + F.lit(settings.output_budget()) > F.lit(settings.context_limit)
 

@@ -9,7 +9,9 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from screenflow.functions.strings import named
 from screenflow.operators.lookup import broadcast_if_few, join_lookup
+from screenflow.operators.rows import is_failed
 from screenflow.spec import SKIPPED
 
 
@@ -29,10 +31,13 @@ def pending_rows(
 
 
 def row_rank(df: DataFrame, ord_col: str | None, cols: list[str]) -> Column:
-    """Which row of a key counts: the lowest ``ord``, else the lowest content hash."""
-    if ord_col is not None:
-        return F.col(ord_col).cast("bigint")
-    return F.xxhash64(*[F.col(c) for c in cols if c in df.columns])
+    """Which row of a key counts: usable before failed, then the lowest ``ord``, then the content hash."""
+    last = F.lit(2**63 - 1)
+    place = last if ord_col is None else F.coalesce(named(ord_col).cast("bigint"), last)
+    content = F.xxhash64(F.lit(0), *[named(c) for c in cols if c in df.columns])
+    return F.struct(
+        is_failed(df).alias("failed"), place.alias("ord"), content.alias("content")
+    )
 
 
 def one_per_key(df: DataFrame, key: str = "url", rank: str = "_rank") -> DataFrame:
@@ -55,12 +60,13 @@ def stage_batches(
 ) -> DataFrame:
     """Write the rows once, one folder per batch, and return the stored table.
 
-    Every batch then reads its own folder only. A batch is spread over several
-    tasks by a second hash of the key, so there is neither one writer per batch
-    nor a file per batch from every task.
+    Every batch then reads its own folder only. Batches run one after another, so
+    each is spread by a second hash of the key over as many files as the cluster
+    has cores, and not over a file from every task.
     """
-    total = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    writers = max(1, math.ceil(total / n_batches))
+    session = rows.sparkSession
+    total = int(session.conf.get("spark.sql.shuffle.partitions"))
+    writers = max(math.ceil(total / n_batches), session.sparkContext.defaultParallelism)
     batched = hash_batches(rows, n_batches, key)
     (
         batched.withColumn("_writer", F.pmod(F.hash(key), F.lit(writers)))

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from screenflow.functions.strings import named
-from screenflow.spec import FAILED_STATUS, SKIPPED, Settings, StageSpec
+from screenflow.spec import FAILED_STATUS, SKIPPED, TEXT_COLS, Settings, StageSpec
 
 
 def ensure_result_columns(
@@ -28,6 +30,19 @@ def is_failed(df: DataFrame) -> Column:
     return F.col("scrape_status").eqNullSafe(F.lit(FAILED_STATUS))
 
 
+def content_key(df: DataFrame, cols: Sequence[str] = TEXT_COLS, key: str = "url") -> DataFrame:
+    """``key`` extended by a digest of the texts and the status: ``key#digest``.
+
+    For tables whose key repeats, is null or is absent: rows of a key that differ
+    then get a result each, and only equal rows share one.
+    """
+    texts = [F.coalesce(named(c), F.lit("\0")) for c in cols if c in df.columns]
+    status = F.when(is_failed(df), F.lit("failed")).otherwise(F.lit("usable"))
+    digest = F.md5(F.concat_ws("\x1f", status, *texts))
+    known = [named(key).cast("string")] if key in df.columns else []
+    return df.withColumn(key, F.concat_ws("#", *known, digest))
+
+
 def skip_failed(df: DataFrame, label_col: str) -> DataFrame:
     """Mark pending rows that failed upstream as final, so they are never scored."""
     label = named(label_col)

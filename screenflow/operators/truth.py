@@ -56,15 +56,17 @@ def truth_issues(truth: DataFrame, truth_col: str) -> DataFrame:
 def validate_truth(truth: DataFrame, truth_col: str) -> DataFrame:
     """Rows with a label, or an error that names the most frequent bad values."""
     require_columns(truth, truth_col)
+    issues = truth_issues(truth, truth_col)
     worst = (
-        truth_issues(truth, truth_col)
-        .orderBy((F.col("check") != "missing_label").cast("int"), F.desc("n"), "check", "value")
-        .limit(MAX_REPORTED)
+        issues.orderBy((F.col("check") != "missing_label").cast("int"), F.desc("n"), "check", "value")
+        .limit(MAX_REPORTED + 1)
         .collect()
     )
     errors = [f"{r['check']} {r['value']!r} ({r['n']} rows)" for r in worst if r["check"] != "missing_label"]
     if errors:
-        raise ValueError(f"truth table is invalid: {'; '.join(errors)}")
+        more = issues.filter(F.col("check") != "missing_label").count() - len(errors)
+        rest = f"; and {more} more values" if more else ""
+        raise ValueError(f"truth table is invalid: {'; '.join(errors)}{rest}")
     for r in worst:
         warnings.warn(f"dropping {r['n']} rows with missing {truth_col}", stacklevel=2)
     return truth.filter(F.col(truth_col).isNotNull())

@@ -17,7 +17,7 @@ from screenflow.sources.results import read_results, write_results
 from screenflow.sources.scratch import scratch_folder
 from screenflow.spec import CLASSIFY, SCREEN, SKIPPED, Settings, StageSpec
 
-FAILED, WANTED, GATED = "_failed", "_wanted", "_gated"
+FAILED, WANTED, GATED, ALL_FAILED = "_failed", "_wanted", "_gated", "_all_failed"
 
 
 def prepare_rows(videos: DataFrame, settings: Settings, ord_col: str | None = None) -> DataFrame:
@@ -37,30 +37,36 @@ def prepare_rows(videos: DataFrame, settings: Settings, ord_col: str | None = No
 def open_keys(rows: DataFrame, done: DataFrame, gate: DataFrame | None) -> DataFrame:
     """Keys without a result that this stage has to look at, and whether the gate let them in.
 
-    Failed rows are marked whatever the gate says. Only keys and flags move here.
+    A key is marked as failed, whatever the gate says, if all its rows failed.
+    Only keys and flags move here.
     """
-    keys = rows.groupBy("url").agg(F.bool_or(FAILED).alias(FAILED))
+    keys = rows.groupBy("url").agg(F.bool_and(FAILED).alias(ALL_FAILED))
     pending = keys.join(done.select("url"), "url", "left_anti")
     if gate is None:
-        return pending.select("url", F.lit(True).alias(GATED))
+        return pending.select("url", ALL_FAILED, F.lit(True).alias(GATED))
     passed = gate.select("url", F.lit(True).alias(GATED))
     return (
         pending.join(passed, "url", "left")
         .withColumn(GATED, F.coalesce(GATED, F.lit(False)))
-        .filter(F.col(FAILED) | F.col(GATED))
-        .select("url", GATED)
+        .filter(F.col(ALL_FAILED) | F.col(GATED))
+        .select("url", ALL_FAILED, GATED)
     )
 
 
 def choose(
     rows: DataFrame, keys: DataFrame | None, hot: Sequence[str] | None = None
 ) -> DataFrame:
-    """The rows that are due: failed ones to be marked, and wanted ones behind the gate."""
+    """The rows that are due: those of failed keys to be marked, and wanted ones behind the gate.
+
+    Without ``keys`` every row is looked at; a key's failed rows rank last there.
+    """
     if keys is None:
         due = rows.filter(F.col(FAILED) | F.col(WANTED))
     else:
         known = join_lookup(rows, keys, "inner", hot=hot)
-        due = known.filter(F.col(FAILED) | (F.col(WANTED) & F.col(GATED))).drop(GATED)
+        marked = F.col(FAILED) & F.col(ALL_FAILED)
+        due = known.filter(marked | (~F.col(FAILED) & F.col(WANTED) & F.col(GATED)))
+        due = due.drop(GATED, ALL_FAILED)
     return due.drop(FAILED, WANTED)
 
 
@@ -102,7 +108,7 @@ def run_stage(
     rows = prepare_rows(videos, settings, ord_col)
     hot: Sequence[str] = []
     keys, few = None, True
-    if gate is not None or not done.isEmpty():
+    if gate is not None or settings.row_filter is not None or not done.isEmpty():
         path = scratch_folder(spark, "keys")
         open_keys(rows, done, gate).write.parquet(path)
         keys = spark.read.parquet(path)

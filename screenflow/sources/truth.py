@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from screenflow.functions.strings import named
@@ -15,14 +15,18 @@ NO_VALUE = (
 
 
 ORD = "ord"
+FILE, BLOCK, RANK = "_truth_file", "_truth_block", "_truth_rank"
+# The lower bits of an increasing id count the rows of a task.
+ROWS_OF_TASK = 2**33 - 1
 
 
 def read_truth_csv(spark: SparkSession, path: str, multiline: bool = True) -> DataFrame:
     """Read a truth CSV with every column a string and header names stripped.
 
     ``multiline`` keeps line breaks inside quoted cells, at the price of one
-    task per file; switch it off for files known to have none. The rows of a
-    file are numbered in their order as ``ord``, unless it has that column.
+    task per file; switch it off for files known to have none. Rows are
+    numbered as ``ord`` by the path of their file and their place in it, unless
+    there is such a column.
     """
     raw = spark.read.csv(
         path,
@@ -35,12 +39,19 @@ def read_truth_csv(spark: SparkSession, path: str, multiline: bool = True) -> Da
         ignoreTrailingWhiteSpace=False,
         maxCharsPerColumn=-1,
     )
-    table = raw.toDF(*[c.strip() for c in raw.columns])
-    cells = table.select(
-        *[F.when(~named(c).isin(*NO_VALUE), named(c)).alias(c) for c in table.columns]
+    cells = [F.when(~named(c).isin(*NO_VALUE), named(c)).alias(c.strip()) for c in raw.columns]
+    if ORD in (c.strip() for c in raw.columns):
+        table = raw.select(*cells)
+        return table.withColumn(ORD, F.col(ORD).cast("bigint"))
+    # A task may read its blocks of files in any order, but each of them from start to end.
+    place = [F.col("_metadata.file_path").alias(FILE), F.col("_metadata.file_block_start").alias(BLOCK)]
+    blocks = raw.select(*place).distinct()
+    rank = F.row_number().over(Window.orderBy(FILE, BLOCK)).cast("bigint")
+    in_block = F.monotonically_increasing_id().bitwiseAND(ROWS_OF_TASK)
+    numbered = raw.select(*cells, *place, in_block.alias(ORD)).join(
+        blocks.withColumn(RANK, rank), [FILE, BLOCK]
     )
-    in_file = F.col(ORD) if ORD in table.columns else F.monotonically_increasing_id()
-    return cells.withColumn(ORD, in_file.cast("bigint"))
+    return numbered.withColumn(ORD, F.col(RANK) * (ROWS_OF_TASK + 1) + F.col(ORD)).drop(FILE, BLOCK, RANK)
 
 
 def write_csv(df: DataFrame, path: str, quote_all: bool = False) -> None:

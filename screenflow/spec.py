@@ -40,6 +40,32 @@ class StageSpec:
         return replace(self, template=template)
 
 
+# Criteria that no list of terms can express, by stage and direction.
+FURTHER_CRITERIA = {
+    "screen": {
+        1: ("its hashtags or search terms hint at such a topic, even if its text does not",),
+        -1: ("the words belong to song lyrics, and nothing else points to the topic",),
+    },
+    "classify": {
+        1: (
+            "nobody speaks in it (silence or music alone), and several other fields agree on one "
+            "condition as its main subject",
+            "it is about physical illness, but also names or clearly describes a mental health "
+            "condition that comes with it",
+        ),
+        -1: (
+            "one condition hashtag stands among many that have nothing to do with it, and the rest "
+            "is about something else",
+            "the words belong to song lyrics, and the speaker says nothing of the kind outside them",
+            "the topic is mentioned in passing, in a video about something else",
+            "it tells of another person's or a fictional character's condition, without a personal "
+            "tie or solidarity",
+            "it shows everyday stress or conflict that no condition explains",
+        ),
+    },
+}
+
+
 def default_template(stage: str, lexicon: Lexicon = MENTAL_HEALTH) -> str:
     """Render a stage's prompt from the signals that count in it."""
     opening = {
@@ -50,14 +76,13 @@ def default_template(stage: str, lexicon: Lexicon = MENTAL_HEALTH) -> str:
     }[stage]
 
     def bullets(sign: int) -> str:
-        return "\n".join(
-            f"- it {s.criterion}" for s in lexicon.signals if s.polarity(stage) == sign and s.criterion
-        )
+        named = [f"it {s.criterion}" for s in lexicon.signals if s.polarity(stage) == sign and s.criterion]
+        return "\n".join(f"- {line}" for line in [*named, *FURTHER_CRITERIA[stage][sign]])
 
     return (
-        f"{opening}\n\nAnswer TRUE if any of these holds:\n{bullets(1)}\n\n"
-        f"Answer FALSE if the topic appears only because:\n{bullets(-1)}\n"
-        f"- it occurs in song lyrics\n\n"
+        f"{opening} Read the fields together; the description counts most.\n\n"
+        f"Answer TRUE if any of these holds:\n{bullets(1)}\n\n"
+        f"Answer FALSE if the topic appears only because:\n{bullets(-1)}\n\n"
         f"Answer with one token, TRUE or FALSE.\n\n{EXAMPLES_SLOT}"
     )
 
@@ -92,7 +117,7 @@ class Settings:
     rationale: bool = False
     row_filter: str | None = None
     output_col: str | None = None
-    context_limit: int = CONTEXT_LIMIT
+    context_limit: int | None = None  # tokens; with it, rows estimated to be longer are not scored
     concurrency: int = 4
 
     def label_set(self) -> tuple[str, ...]:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,13 +22,14 @@ def run_incremental(
     source_schema: StructType | str,
     results_path: str,
     checkpoint: str,
-    stage: StageSpec,
+    stage: StageSpec | Sequence[StageSpec],
     settings: Settings,
     scorer: Scorer,
     *,
     run_id: str,
     to_videos: Callable[[DataFrame], DataFrame] = lambda df: df,
     system_prompt: str = "",
+    prompts: dict[str, str] | None = None,
     ord_col: str | None = None,
     glob: str = "*.parquet",
     max_files: int | None = None,
@@ -41,25 +42,48 @@ def run_incremental(
     ``run_id`` names the checkpoint and must stay with it. Files must arrive
     under new names: one that is rewritten in place is not read again. Rows a
     scorer failed on are not stored; `run_stage` over the folder picks them up.
+
+    With several stages, each epoch goes through all of them in turn, so a later
+    stage sees what the earlier one has just labelled. A gated stage alone fails
+    on rows that the earlier stage has not looked at, and reads them again in the
+    next run. ``prompts`` has a system prompt for each stage by name.
     """
+    stages = [stage] if isinstance(stage, StageSpec) else list(stage)
+    together = {s.name for s in stages}
     reader = spark.readStream.schema(source_schema).option("pathGlobFilter", glob)
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
 
     def score_epoch(arrived: DataFrame, epoch: int) -> None:
-        session = arrived.sparkSession
-        videos = to_videos(arrived)
-        results = read_results(session, results_path, stage.name, settings.model_label)
+        rows = prepare_rows(to_videos(arrived), settings, ord_col)
+        # The history meets the keys of the epoch before anything else.
+        arrived_keys = broadcast_if_few(rows.select("url").distinct())
+        for each in stages:
+            score_stage(arrived.sparkSession, rows, arrived_keys, each, epoch)
+
+    def score_stage(
+        session: SparkSession, rows: DataFrame, arrived_keys: DataFrame, each: StageSpec, epoch: int
+    ) -> None:
+        def known(name: str) -> DataFrame:
+            results = read_results(session, results_path, name, settings.model_label)
+            return results.join(arrived_keys, "url", "left_semi")
+
         own = (F.col("run_id") == run_id) & (F.col("batch_id") == epoch)
-        rows = prepare_rows(videos, settings, ord_col)
-        gate = passed_gate(session, results_path, stage, settings)
-        keys = broadcast_if_few(open_keys(rows, results.filter(~own), gate))
-        due = choose(rows, keys)
+        done = known(each.name).filter(~own)
+        gate = passed_gate(session, results_path, each, settings)
+        if gate is not None:
+            if each.gate not in together:
+                seen = known(each.gate).select("url").union(done.select("url"))
+                if not rows.select("url").distinct().join(seen, "url", "left_anti").isEmpty():
+                    raise RuntimeError(f"rows that stage {each.gate!r} has not looked at; run it first")
+            gate = gate.join(arrived_keys, "url", "left_semi")
+        prompt = (prompts or {}).get(each.name, system_prompt)
+        due = choose(rows, broadcast_if_few(open_keys(rows, done, gate)))
         if scorer.row_function:
-            scored = one_per_key(scorer.label(due, stage, settings, system_prompt))
+            scored = one_per_key(scorer.label(due, each, settings, prompt))
         else:
-            scored = scorer.label(one_per_key(due), stage, settings, system_prompt)
-        write_results(scored, results_path, stage.name, settings.model_label, run_id, epoch)
+            scored = scorer.label(one_per_key(due), each, settings, prompt)
+        write_results(scored, results_path, each.name, settings.model_label, run_id, epoch)
 
     query = (
         reader.parquet(source_folder)

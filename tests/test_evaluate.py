@@ -8,6 +8,7 @@ from screenflow.plans.evaluation import evaluate_stage
 from screenflow.sources.runlog import append_run, read_runs
 from screenflow.sources.truth import read_truth_csv
 from screenflow.spec import CLASSIFY, SCREEN, Settings
+from tests.conftest import plan_of
 from workloads import views
 from workloads.models import INSULTS
 
@@ -72,6 +73,14 @@ def test_counts_keep_multiplicity_and_leave_others_out(spark):
     assert [tuple(r) for r in ev.mismatches(detail).collect()] == [("a", "FALSE", "TRUE", "x")]
 
 
+def test_predictions_are_counted_without_a_shuffle(spark):
+    pred = spark.range(1000).selectExpr("cast(id as string) as url", "'TRUE' as label")
+    truth = lookup(spark, [("1", "TRUE"), ("2", "FALSE")])
+    plan = plan_of(ev.confusion_counts(pred, truth))
+    below = plan.split("BroadcastHashJoin", 1)[1]
+    assert "hashpartitioning" not in below and "SortMergeJoin" not in plan
+
+
 def test_zero_denominators_are_null(spark):
     counts = ev.confusion_counts(
         predictions(spark, [("a", "FALSE", None)]), lookup(spark, [("a", "FALSE")])

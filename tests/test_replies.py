@@ -14,7 +14,8 @@ LABEL_CASES = [
     ("untrue", "UNKNOWN"),
     ("answer:\nTRUE", "UNKNOWN"),
     ("answer:\tTRUE", "UNKNOWN"),
-    ("not FALSE but TRUE", "TRUE"),
+    ("not FALSE but TRUE", "FALSE"),
+    ("TRUE, not FALSE", "TRUE"),
     ("", "UNKNOWN"),
     (None, "UNKNOWN"),
 ]

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from screenflow.operators import resume
 from screenflow.operators.compare import long_results, wide_results
 from screenflow.operators.lookup import hot_keys, join_lookup
-from screenflow.operators.rows import pending_counts, row_filter
+from screenflow.operators.rows import content_key, pending_counts, row_filter
 from screenflow.operators.score import SignalScorer
 from screenflow.plans.sample import sample_run
 from screenflow.plans.screening import labels_for_rows, run_stage, run_two_pass
@@ -91,13 +91,13 @@ def test_results_scan_reads_one_stage_and_model(spark, data, path):
 VIDEO = "url string, description string, scrape_status string, ord bigint"
 
 
-def test_copies_of_a_key_are_scored_once_by_lowest_ord(spark, path):
+def test_copies_of_a_key_are_scored_once_usable_rows_first(spark, path):
     rows = spark.createDataFrame(
         [("a", "idiot", "ok", 2), ("a", "fine", "ok", 1), ("b", "idiot", "error", 1), ("b", "idiot", "ok", 2)],
         VIDEO,
     )
     run_stage(spark, rows, path, SCREEN, ONE, SCORER, ord_col="ord")
-    assert [(u, label) for u, label, _ in stored(spark, path)] == [("a", "FALSE"), ("b", "SKIPPED")]
+    assert [(u, label) for u, label, _ in stored(spark, path)] == [("a", "FALSE"), ("b", "TRUE")]
     back = labels_for_rows(rows, read_results(spark, path), SCREEN, ONE)
     assert back.count() == 4
 
@@ -135,9 +135,46 @@ def test_a_failed_copy_does_not_open_the_gate_for_others(spark, path):
     rows = spark.createDataFrame(
         [("a", "idiot clown scum", "error", 2), ("a", "idiot clown scum", "ok", 1)], VIDEO
     )
-    # No screen results: the good copy is behind the gate, the failed one is marked.
+    # No screen results: the good copy is behind the gate, so its key stays pending.
     run_stage(spark, rows, path, CLASSIFY, ONE, SCORER, ord_col="ord")
-    assert [(u, x) for u, x, _ in stored(spark, path, CLASSIFY)] == [("a", "SKIPPED")]
+    assert stored(spark, path, CLASSIFY) == []
+    run_two_pass(spark, rows, path, ONE, SCORER, ord_col="ord")
+    assert [(u, x) for u, x, _ in stored(spark, path, CLASSIFY)] == [("a", "TRUE")]
+
+
+@pytest.mark.parametrize("first", ["error", "ok"])
+@pytest.mark.parametrize("order", [None, "ord"])
+def test_equal_copies_give_the_usable_label_in_any_order(spark, path, first, order):
+    second = "ok" if first == "error" else "error"
+    rows = spark.createDataFrame([("a", "idiot", first, 1), ("a", "idiot", second, 1)], VIDEO)
+    run_stage(spark, rows.coalesce(1), path, SCREEN, ONE, SCORER, ord_col=order)
+    assert [(u, x) for u, x, _ in stored(spark, path)] == [("a", "TRUE")]
+
+
+def test_a_filtered_good_copy_stays_pending(spark, path):
+    rows = spark.createDataFrame([("a", "x", "error", 1), ("a", "idiot", "ok", 2)], VIDEO)
+    run_stage(spark, rows, path, SCREEN, Settings("m", "one", row_filter="description=x"), SCORER)
+    assert stored(spark, path) == []
+    run_stage(spark, rows, path, SCREEN, ONE, SCORER)
+    assert [(u, x) for u, x, _ in stored(spark, path)] == [("a", "TRUE")]
+
+
+def test_content_keys_score_every_different_row(spark, path):
+    rows = spark.createDataFrame(
+        [("a", "idiot", "ok", 1), ("a", "x", "ok", 2), (None, "idiot", "ok", 3), ("a", "x", "error", 4), ("a", "x", "ok", 5)],
+        VIDEO,
+    )
+    keyed = content_key(rows)
+    run_stage(spark, keyed, path, SCREEN, ONE, SCORER)
+    back = labels_for_rows(keyed, read_results(spark, path), SCREEN, ONE).orderBy("ord")
+    labels = [r["is_mental_health_broad_one"] for r in back.collect()]
+    assert labels == ["TRUE", "FALSE", "TRUE", "SKIPPED", "FALSE"]
+    assert len(stored(spark, path)) == 4
+
+
+def test_every_batch_has_many_files(spark, data, path):
+    staged = resume.stage_batches(views.videos(spark, data), path, 8)
+    assert staged.filter("batch_id = 3").select(F.input_file_name()).distinct().count() > 2
 
 
 def test_failed_rows_are_skipped_before_gate_and_filter(spark, path):

@@ -10,7 +10,7 @@ from screenflow.spec import SCREEN, Settings
 
 ROWS = [(f"u{i}", f"text {i}", "ok") for i in range(30)]
 SCHEMA = "url string, description string, scrape_status string"
-PLAIN = Settings("m", "m")
+PLAIN = Settings("m", "m", context_limit=4096)
 
 
 def replying(reply):

@@ -50,7 +50,7 @@ def brute_force(row, lexicon, stage, threshold):
     silent = True
     for field in TEXT_COLS:
         low = (row[field] or "").lower()
-        tokens = re.split("[^a-z]+", low)
+        tokens = re.split(r"[\W_]+", low)
         line = " " + " ".join(tokens) + " "
         terms = {t for t in lexicon.terms() if f" {t} " in line}
         if field == "transcript":
@@ -80,7 +80,7 @@ def brute_force(row, lexicon, stage, threshold):
             silent and agreeing >= 2 and support > against
         )
         if lexicon.hashtag_signal:
-            tags = re.findall("#([a-z0-9_]+)", (row["description"] or "").lower())
+            tags = re.findall(r"#(\w+)", (row["description"] or "").lower())
             words = set(lexicon.signal(lexicon.hashtag_signal).words)
             if len(tags) >= 5 and len(words & set(tags)) == 1 and len(union & positive) == 1:
                 passes = False
@@ -119,6 +119,17 @@ def test_rules_against_brute_force(spark, lexicon, stage):
         assert g["prob_true"] == pytest.approx(prob)
 
 
+def test_terms_of_any_script(spark):
+    lexicon = Lexicon((Signal("s", ("Self-harm", "C-PTSD", "Ängste", "тревога", "covid19")),))
+    assert lexicon.signals[0].terms == ("self harm", "c ptsd", "ängste", "тревога", "covid19")
+    texts = ["my self-harm", "C-PTSD!", "ÄNGSTE", "о тревога.", "#covid19", "angste", "covid 19", "selfharm"]
+    rows = spark.createDataFrame([(t,) for t in texts], "description string")
+    got = [r["label"] for r in signal_scores(rows, lexicon, "screen", 1.0).collect()]
+    assert got == ["TRUE"] * 5 + ["FALSE"] * 3
+    with pytest.raises(ValueError, match="neither letters nor digits"):
+        Signal("s", ("--",))
+
+
 def test_both_tokenising_paths_are_covered():
     def stems(lexicon):
         return len({max(t.split(" "), key=len) for t in lexicon.terms()})

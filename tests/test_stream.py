@@ -1,5 +1,7 @@
 import shutil
 
+import pytest
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from screenflow.operators.score import BatchScorer
@@ -60,3 +62,24 @@ def test_a_replayed_epoch_gives_the_same_table(spark, tmp_path):
         )
     assert read_results(spark, str(out)).count() == 2
     assert results(spark, out) == {"u1": "TRUE", "u2": "FALSE"}
+
+
+def test_both_stages_in_one_stream(spark, tmp_path):
+    inbox, out = tmp_path / "inbox", tmp_path / "out"
+
+    def run(stages, name):
+        run_incremental(
+            spark, str(inbox), SCHEMA, str(out), str(tmp_path / f"cp-{name}"), stages, ONE, SCORER,
+            run_id=name, ord_col="ord", max_files=1,
+        )
+
+    drop_file(spark, inbox, "a", [("u1", "idiot clown scum", "ok", 1), ("u2", "x", "error", 2)])
+    # Alone, the second stage must not drain a file that the first has not seen.
+    with pytest.raises(StreamingQueryException, match="has not looked at"):
+        run(CLASSIFY, "early")
+    run([SCREEN, CLASSIFY], "both")
+    drop_file(spark, inbox, "b", [("u3", "idiot", "ok", 3), ("u4", "nice", "ok", 4)])
+    run([SCREEN, CLASSIFY], "both")
+    run(CLASSIFY, "early")
+    assert results(spark, out) == {"u1": "TRUE", "u2": "SKIPPED", "u3": "TRUE", "u4": "FALSE"}
+    assert results(spark, out, CLASSIFY) == {"u1": "TRUE", "u2": "SKIPPED", "u3": "FALSE"}

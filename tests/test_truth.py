@@ -23,6 +23,17 @@ def test_csv_dialect(spark, tmp_path):
     assert rows["a"]["ord"] < rows["b"]["ord"] < rows["c"]["ord"]
 
 
+@pytest.mark.parametrize("multiline", [True, False])
+def test_later_files_come_later(spark, tmp_path, multiline):
+    head = f"url,{COL},use\n"
+    (tmp_path / "a.csv").write_text(head + "k,FALSE,test\n")
+    (tmp_path / "b.csv").write_text(head + "".join(f"u{i},TRUE,test\n" for i in range(200)) + "k,TRUE,test\nk,FALSE,test\nk,TRUE,test\n")
+    rows = read_truth_csv(spark, str(tmp_path), multiline).orderBy("ord")
+    assert [r[COL] for r in rows.filter("url = 'k'").collect()] == ["FALSE", "TRUE", "FALSE", "TRUE"]
+    assert [r["url"] for r in rows.collect()] == ["k", *(f"u{i}" for i in range(200)), "k", "k", "k"]
+    assert rows.columns == ["url", COL, "use", "ord"]
+
+
 def test_no_value_strings_become_null(spark, tmp_path):
     path = str(tmp_path / "t")
     kept = [" ", "na", "NAN", "none", "0", "N/A ", "nul"]

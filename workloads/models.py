@@ -8,7 +8,7 @@ import pandas as pd
 
 from screenflow.lexicon import Lexicon, Signal, words_lexicon
 from screenflow.operators.score import SignalScorer
-from screenflow.spec import Settings
+from screenflow.spec import CONTEXT_LIMIT, Settings
 
 INSULT_WORDS = (
     "trash", "clown", "scum", "idiot", "worthless",
@@ -26,11 +26,14 @@ INSULTS_AND_NOTICES = Lexicon(
     )
 )
 
+OTHER_LABELS = ("true", "answer", "second")
 SCREEN_AT, CLASSIFY_AT = 1.0, 3.0
 SCORER = SignalScorer(INSULTS, SCREEN_AT, CLASSIFY_AT)
 FEW_SCORER = SignalScorer(FEW_INSULTS, SCREEN_AT, CLASSIFY_AT)
-FULL = Settings(model="insult words", model_label="full", rationale=True)
-FEW = Settings(model="few insult words", model_label="few")
+FULL = Settings(
+    model="insult words", model_label="full", rationale=True, context_limit=CONTEXT_LIMIT
+)
+FEW = Settings(model="few insult words", model_label="few", context_limit=CONTEXT_LIMIT)
 
 
 def word_scorer(words: tuple[str, ...]):
@@ -38,7 +41,7 @@ def word_scorer(words: tuple[str, ...]):
 
     def make(system_prompt: str):
         known = frozenset(words)
-        cut = re.compile("[^a-z]+")
+        cut = re.compile(r"[\W_]+")
 
         def score(texts: pd.Series) -> pd.DataFrame:
             hits = texts.map(lambda t: len(known.intersection(cut.split(t.lower()))))

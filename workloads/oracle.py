@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
-
 from screenflow.spec import CLASSIFY, SCREEN, StageSpec
 from workloads import models as m
 from workloads import views as v
@@ -13,6 +11,9 @@ T_SCREEN, T_CLASSIFY = SCREEN.truth_col, CLASSIFY.truth_col
 BLANKS = "concat(' ', chr(9), chr(10), chr(11), chr(12), chr(13))"
 
 
+NOT_WORD = r"[^\p{L}\p{N}]+"
+
+
 def lit(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
@@ -26,7 +27,7 @@ def with_(*ctes: str) -> str:
 
 
 VIDEOS = v.cte("videos", "documents", v.VIDEOS)
-REPLIES = v.cte("replies", "conversations", v.REPLIES, "where role = 'assistant'")
+REPLIES = v.cte("replies", "conversations", v.REPLIES)
 RECORDS = v.cte("records", "benchmark", v.BENCHMARK)
 
 
@@ -59,7 +60,7 @@ def words_found(field: str, words: tuple[str, ...]) -> str:
     items = ", ".join(lit(w) for w in words)
     return (
         f"list_intersect(list_distinct(regexp_split_to_array(lower(coalesce({field}, '')), "
-        f"'[^a-z]+')), [{items}])"
+        f"'{NOT_WORD}')), [{items}])"
     )
 
 
@@ -138,7 +139,7 @@ def notices() -> str:
     for c in cols:
         line = (
             "concat(' ', array_to_string(regexp_split_to_array(lower(coalesce("
-            f"{c}, '')), '[^a-z]+'), ' '), ' ')"
+            f"{c}, '')), '{NOT_WORD}'), ' '), ' ')"
         )
         for p in (*m.NOTICE_PHRASES, "copyright"):
             parts.append((c, p, f"contains({line}, {lit(f' {p} ')})"))
@@ -203,9 +204,8 @@ def prompt_sizes() -> str:
     parts = []
     for stage in (SCREEN, CLASSIFY):
         fixed = len(stage.template) - len("{examples}")
-        digest = hashlib.md5(stage.template.encode()).hexdigest()[:8]
         parts.append(
-            f"select {lit(stage.name)} as stage, {lit(digest)} as prompt_hash, "
+            f"select {lit(stage.name)} as stage, substr(md5({lit(stage.template)}), 1, 8) as prompt_hash, "
             f"cast(sum(length({example(stage)})) + {fixed + len('Examples:') + 2} as bigint) as n_chars, "
             "count(*) as n_examples from train where text <> ''"
         )
@@ -223,12 +223,16 @@ TOKENS = f"""{with_(VIDEOS)},
 # --- replies and benchmark --------------------------------------------------
 
 
-def label_of(x: str) -> str:
+def label_of(x: str, labels: tuple[str, ...] = ("TRUE", "FALSE")) -> str:
     t = f"upper({strip(f'coalesce({x}, chr(0))')})"
+    names = [lit(name.upper()) for name in labels]
+    places = ", ".join(
+        f"{{'at': strpos(concat(' ', {t}), concat(' ', {name})), 'place': {i}, 'name': {name}}}"
+        for i, name in enumerate(names)
+    )
     return (
-        f"case when {t} in ('TRUE', 'FALSE') then {t} "
-        f"when contains(concat(' ', {t}), ' TRUE') then 'TRUE' "
-        f"when contains(concat(' ', {t}), ' FALSE') then 'FALSE' else 'UNKNOWN' end"
+        f"case when {t} in ({', '.join(names)}) then {t} "
+        f"else coalesce(list_sort(list_filter([{places}], lambda p: p.at > 0))[1].name, 'UNKNOWN') end"
     )
 
 
@@ -296,9 +300,9 @@ ORACLE = {
     "experiment_row": f"""{COUNTS}
         select 'screen' as stage, 'insult words' as model, 'signals' as backend, tp, tn, fp, fn, total,
             {METRICS}, (select count(*) from truth where use = 'train') as n_examples,
-            '{hashlib.md5(SCREEN.template.encode()).hexdigest()[:8]}' as prompt_hash,
+            substr(md5({lit(SCREEN.template)}), 1, 8) as prompt_hash,
             cast(4 as bigint) as concurrency,
-            '{hashlib.md5(SCREEN_PROMPT.encode()).hexdigest()[:8]}' as assembled_hash
+            substr(md5({lit(SCREEN_PROMPT)}), 1, 8) as assembled_hash
         from counts""",
     "with_result_columns": f"""{with_(VIDEOS)}
         select url, description, transcript, suggested_words, scrape_status,
@@ -355,8 +359,25 @@ ORACLE = {
     "classify": f"{with_(VIDEOS, S_CLASSIFY)} select url, label, prob_true, rationale from strict",
     "cascade": f"{CASCADE} select * from full_wide",
     "two_pass": f"{CASCADE} select * from full_wide",
-    "prob_true": """select doc_id, case when doc_id % 4 <> 0
-        then round(exp(-(doc_id % 10) / 10.0), 9) end as prob_true from documents""",
+    "prob_true": """select doc_id, case doc_id % 4 when 1 then round(exp(-(doc_id % 10) / 10.0), 9)
+        when 2 then round(exp(-0.5), 9) end as prob_true from documents""",
+    "parse_other_labels": f"""{with_(REPLIES)}
+        select conv_id, turn, {label_of('raw', m.OTHER_LABELS)} as label from replies""",
+    "copied_keys": f"""with videos as (
+            select {', '.join(f'{e} as {c}' for c, e in v.VIDEOS.items())} from documents
+            union all select {', '.join(f'{e} as {c}' for c, e in v.COPIES.items())} from documents),
+        {S_SCREEN}, {PREDICTIONS} select url, label from predictions""",
+    "incremental_two_pass": f"{CASCADE} select * from full_wide",
+    "evaluate_run": f"""{with_(VIDEOS, S_SCREEN, TRUTH, LOOKUP)},
+        joined as (select s.label, l.ground_truth from screened s join lookup l on s.url = l.url),
+        counts as (select count(*) filter (label = 'TRUE' and ground_truth = 'TRUE') as tp,
+                count(*) filter (label = 'FALSE' and ground_truth = 'FALSE') as tn,
+                count(*) filter (label = 'TRUE' and ground_truth = 'FALSE') as fp,
+                count(*) filter (label = 'FALSE' and ground_truth = 'TRUE') as fn, count(*) as total from joined)
+        select tp, tn, fp, fn, total, {METRICS}, true as timed from counts""",
+    "benchmark_file": f"""{CONVERTED} select {', '.join(loaded(c) for c in
+            ('url', 'description', 'transcript', 'suggested_words', T_CLASSIFY, 'rationale', 'use'))}
+        from converted""",
     "parse_label": f"{with_(REPLIES)} select conv_id, turn, {label_of('raw')} as label from replies",
     "parse_json_reply": f"""{with_(REPLIES)}
         select conv_id, turn, case when {IS_JSON} then {JSON_LABEL} end as label,

@@ -24,8 +24,9 @@ from screenflow.operators.lookup import hot_keys, join_lookup
 from screenflow.operators.score import BatchScorer, SignalScorer
 from screenflow.operators.signals import find_terms, score_terms, signal_scores
 from screenflow.plans.cascade import signal_cascade
+from screenflow.plans.evaluation import evaluate_stage
 from screenflow.plans.screening import labels_for_rows, run_stage
-from screenflow.sources.benchmark import select_tasks
+from screenflow.sources.benchmark import select_tasks, write_evaluation_file
 from screenflow.sources.metadata import read_metadata, result_listing, sample_slice
 from screenflow.sources.results import read_results, write_results
 from screenflow.sources.runlog import append_run, read_runs
@@ -60,11 +61,13 @@ def _with_done(spark: SparkSession, folder: str) -> DataFrame:
     return join_lookup(v.videos(spark, folder), _done(spark, folder), "left")
 
 
-def _predictions(spark: SparkSession, folder: str, scorer: SignalScorer = m.SCORER) -> DataFrame:
-    """Screen labels of every video, ``SKIPPED`` for failed ones."""
+def _predictions(spark: SparkSession, folder: str, only: DataFrame | None = None) -> DataFrame:
+    """Screen labels of every video, or of those in ``only``; ``SKIPPED`` for failed ones."""
     videos = v.videos(spark, folder)
+    if only is not None:
+        videos = videos.join(only.select("url"), "url", "left_semi")
     preset = F.when(rows.is_failed(videos), F.lit(SKIPPED)).alias("preset")
-    return scorer.label(videos.select("url", *TEXT_COLS, preset), SCREEN, m.FULL)
+    return m.SCORER.label(videos.select("url", *TEXT_COLS, preset), SCREEN, m.FULL)
 
 
 def _lookup(spark: SparkSession, folder: str) -> DataFrame:
@@ -72,13 +75,15 @@ def _lookup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _counts(spark: SparkSession, folder: str) -> DataFrame:
-    return ev.confusion_counts(_predictions(spark, folder), _lookup(spark, folder))
+    lookup = _lookup(spark, folder)
+    return ev.confusion_counts(_predictions(spark, folder, lookup), lookup)
 
 
 def _detail(spark: SparkSession, folder: str) -> DataFrame:
     # Frequent keys are looked for in the key column of the table, not in the scores.
     hot = hot_keys(v.videos(spark, folder))
-    return ev.evaluation_detail(_predictions(spark, folder), _lookup(spark, folder), hot)
+    lookup = _lookup(spark, folder)
+    return ev.evaluation_detail(_predictions(spark, folder, lookup), lookup, hot)
 
 
 def _train(spark: SparkSession, folder: str) -> DataFrame:
@@ -309,7 +314,14 @@ def token_prob_true(spark: SparkSession, folder: str) -> DataFrame:
         F.lit(" true").alias("token"), (-(F.col("doc_id") % 10) / 10.0).alias("logprob")
     )
     second = F.struct(F.lit("FALSE").alias("token"), F.lit(-1.0).alias("logprob"))
-    tokens = F.when(F.col("doc_id") % 4 == 0, F.array(second)).otherwise(F.array(first, second))
+    third = F.struct(F.lit("TRUE").alias("token"), F.lit(-0.5).alias("logprob"))
+    kind = F.col("doc_id") % 4
+    tokens = (
+        F.when(kind == 0, F.array(second))
+        .when(kind == 1, F.array(first, second))
+        .when(kind == 2, F.array(first, third, second))
+        .otherwise(F.filter(F.array(second), lambda t: F.lit(False)))
+    )
     return _rounded(documents.select("doc_id", prob_true(tokens).alias("prob_true")), "prob_true")
 
 
@@ -330,6 +342,12 @@ def parse_label_query(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def parse_other_labels(spark: SparkSession, folder: str) -> DataFrame:
+    return v.replies(spark, folder).select(
+        "conv_id", "turn", parse_label(F.col("raw"), m.OTHER_LABELS).alias("label")
+    )
+
+
 def parse_json_reply_query(spark: SparkSession, folder: str) -> DataFrame:
     return _parsed(spark, folder, parse_json_reply(F.col("raw")))
 
@@ -396,6 +414,32 @@ def incremental_screen(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def incremental_two_pass(spark: SparkSession, folder: str) -> DataFrame:
+    """Both stages in one stream over the folder."""
+    path = scratch_folder(spark, "results")
+    schema = spark.read.parquet(f"{folder}/documents.parquet").schema
+    columns = [f"{e} as {c}" for c, e in v.VIDEOS.items()]
+    run_incremental(
+        spark, folder, schema, path, scratch_folder(spark, "stream"), [SCREEN, CLASSIFY], m.FULL,
+        m.SCORER, run_id="stream", ord_col="ord", glob="documents.parquet",
+        to_videos=lambda arrived: arrived.selectExpr(*columns),
+    )
+    wide = compare.wide_results(read_results(spark, path), [m.FULL], [SCREEN, CLASSIFY])
+    return _rounded(wide.drop(m.FULL.rationale_name(SCREEN)), m.FULL.prob_name)
+
+
+def copied_keys(spark: SparkSession, folder: str) -> DataFrame:
+    """Labels of all rows of a table that holds each key twice, with other texts and failures."""
+    path = scratch_folder(spark, "results")
+    keyed = rows.content_key(v.videos_with_copies(spark, folder))
+    run_stage(spark, keyed, path, SCREEN, m.FULL, m.SCORER)
+    labelled = labels_for_rows(keyed, read_results(spark, path), SCREEN, m.FULL)
+    return labelled.select(
+        F.substring_index("url", "#", 1).alias("url"),
+        F.col(m.FULL.output_name(SCREEN)).alias("label"),
+    )
+
+
 def label_summary(spark: SparkSession, folder: str) -> DataFrame:
     return resume.label_summary(_predictions(spark, folder))
 
@@ -438,9 +482,23 @@ def eval_detail(spark: SparkSession, folder: str) -> DataFrame:
     return read_truth_csv(spark, path).drop("ord")
 
 
+def evaluate_run(spark: SparkSession, folder: str) -> DataFrame:
+    """A whole evaluation of the truth rows; the times are only checked to be there."""
+    report = evaluate_stage(spark, v.truth_rows(spark, folder), SCREEN, m.FULL, m.SCORER)
+    timed = (F.col("rows_per_sec") > 0) & (F.col("elapsed_sec") > 0)
+    return _rounded(
+        report.run.select("tp", "tn", "fp", "fn", "total", "accuracy", "precision", "recall", timed.alias("timed")),
+        "accuracy", "precision", "recall",
+    )
+
+
 def run_comparison(spark: SparkSession, folder: str) -> DataFrame:
     """Two models at three thresholds each, scored in one pass over the texts."""
-    found = find_terms(v.videos(spark, folder).select("url", *TEXT_COLS), m.INSULTS)
+    lookup = ev.truth_lookup(
+        truth.held_out_rows(_clean_truth(spark, folder)), CLASSIFY.truth_col
+    )
+    videos = v.videos(spark, folder).join(lookup.select("url"), "url", "left_semi")
+    found = find_terms(videos.select("url", *TEXT_COLS), m.INSULTS)
     runs = []
     for settings, scorer in ((m.FULL, m.SCORER), (m.FEW, m.FEW_SCORER)):
         for at in RUN_THRESHOLDS:
@@ -458,9 +516,6 @@ def run_comparison(spark: SparkSession, folder: str) -> DataFrame:
                 )
             )
     predictions = found.select("url", F.inline(F.array(*runs)))
-    lookup = ev.truth_lookup(
-        truth.held_out_rows(_clean_truth(spark, folder)), CLASSIFY.truth_col
-    )
     counts = ev.confusion_counts(predictions, lookup, ["stage", "model", "prompt_hash"])
     return _rounded(ev.best_runs(ev.with_metrics(counts)), "best_accuracy", "best_recall")
 
@@ -526,6 +581,13 @@ def benchmark_eval(spark: SparkSession, folder: str) -> DataFrame:
     return convert.convert_records(v.benchmark(spark, folder)).drop("task")
 
 
+def benchmark_file(spark: SparkSession, folder: str) -> DataFrame:
+    """The evaluation file, written and read again as a truth file."""
+    path = scratch_folder(spark, "evaluation")
+    write_evaluation_file(convert.convert_records(v.benchmark(spark, folder)), path)
+    return read_truth_csv(spark, path).drop("ord")
+
+
 QUERIES = {
     "scan_videos": scan_videos,
     "ground_truth_load": ground_truth_load,
@@ -581,4 +643,9 @@ QUERIES = {
     "capped_tasks": capped_tasks,
     "label_balance": label_balance,
     "benchmark_eval": benchmark_eval,
+    "benchmark_file": benchmark_file,
+    "copied_keys": copied_keys,
+    "evaluate_run": evaluate_run,
+    "incremental_two_pass": incremental_two_pass,
+    "parse_other_labels": parse_other_labels,
 }

@@ -17,6 +17,10 @@ VIDEOS = {
     "scrape_status": "case doc_id % 17 when 0 then 'error' when 1 then null else 'ok' end",
     "ord": "doc_id",
 }
+COPIES = VIDEOS | {
+    "description": "case when doc_id % 2 = 0 then 'an idiot' when doc_id % 3 <> 2 then text end",
+    "scrape_status": "case when doc_id % 5 = 0 then 'error' else 'ok' end",
+}
 TRUTH = {
     "url": "concat('doc:', doc_id)",
     "is_superficial_mental_health_handcoded": "case when toxic = 1 then 'TRUE' else 'FALSE' end",
@@ -80,6 +84,11 @@ def videos(spark: SparkSession, folder: str) -> DataFrame:
     return _view(spark, folder, "documents", VIDEOS)
 
 
+def videos_with_copies(spark: SparkSession, folder: str) -> DataFrame:
+    """Every key twice; every other copy has another description, and some copies failed."""
+    return videos(spark, folder).unionByName(_view(spark, folder, "documents", COPIES))
+
+
 def truth(spark: SparkSession, folder: str) -> DataFrame:
     return _view(spark, folder, "labels", TRUTH)
 
@@ -100,8 +109,7 @@ def truth_rows(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def replies(spark: SparkSession, folder: str) -> DataFrame:
-    rows = spark.read.parquet(f"{folder}/conversations.parquet").filter("role = 'assistant'")
-    return rows.selectExpr(*[f"{e} as {c}" for c, e in REPLIES.items()])
+    return _view(spark, folder, "conversations", REPLIES)
 
 
 def benchmark(spark: SparkSession, folder: str) -> DataFrame:
