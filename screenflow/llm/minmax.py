@@ -14,7 +14,8 @@ not connected with them already. That leaves few buckets with several components
 Of those, buckets of up to 32 members compare all members of different
 components. The members of larger ones meet by prefix filtering, which is exact:
 with the shingles of each set ordered from the rarest on, two sets of the asked
-similarity share a shingle among the first n - ceil(0.8 n) + 1 of each. So no
+similarity share a shingle among the first n - ceil(0.8 n) + 1 of each, and the
+places of the first shared one leave room for the overlap that is asked. So no
 link that the bands propose is lost, whatever the size of a bucket.
 """
 
@@ -158,10 +159,18 @@ def prefix_pairs(sets: DataFrame, percent: int) -> DataFrame:
     ranked = tokens.join(frequency, "shingle").withColumn("place", place)
     # A shingle of one document alone takes its place in the order, but joins nothing.
     first = ranked.filter((F.col("place") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1) & (F.col("docs") > 1))
-    left = stored(first.select("shingle", F.col("rep").alias("a"), F.col("label").alias("label_a"), F.col("n").alias("n_a")), "prefixes")
-    right = left.toDF("shingle", "b", "label_b", "n_b")
-    size = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
-    return left.join(right, "shingle").filter((F.col("a") > F.col("b")) & (F.col("label_a") != F.col("label_b")) & size).select("a", "b").distinct()
+    first = stored(first.select("shingle", "rep", "label", "n", (F.col("n") - F.col("place")).alias("after")), "prefixes")
+    # Pairs inside a shingle's most frequent component are never formed: one side of each pair is outside it.
+    tally = first.groupBy("shingle", "label").agg(F.count("*").alias("times")).groupBy("shingle")
+    open_ = tally.agg(F.max_by("label", F.struct("times", "label")).alias("main"), F.count("*").alias("labels")).filter("labels > 1").drop("labels")
+    right = stored(first.join(open_, "shingle"), "open-prefixes")
+    left = right.filter("label != main").drop("main").toDF("shingle", "a", "label_a", "n_a", "after_a")
+    other = (F.col("label_a") != F.col("label")) & ((F.col("label") == F.col("main")) | (F.col("a") > F.col("rep")))
+    # What two sets can share from their first common shingle on must be enough.
+    most = 1 + F.least("after_a", "after")
+    enough = (100 + percent) * most >= percent * (F.col("n_a") + F.col("n"))
+    pairs = left.join(right, "shingle").filter(other & enough)
+    return pairs.select(F.greatest("a", "rep").alias("a"), F.least("a", "rep").alias("b")).distinct()
 
 
 def linked(percent: int):
@@ -258,10 +267,22 @@ def near_duplicates(
         asked = buckets.select("rep", pivot).distinct()
         apart = asked.join(labelled("rep"), "rep").join(labelled(pivot), pivot).filter(F.col("rep_label") != F.col(f"{pivot}_label"))
         labels = components(labels, confirm(apart.select(F.greatest("rep", pivot).alias("a"), F.least("rep", pivot).alias("b")).distinct()))
-    # Buckets that are still not one component: small ones compare every member with every other component's.
-    open_members = buckets.select("band", "value", "n", "rep").join(labelled("rep"), "rep")
-    apart = open_members.groupBy("band", "value").agg(F.min("rep_label").alias("low"), F.max("rep_label").alias("high")).filter("low < high")
-    left = stored(open_members.join(apart.select("band", "value"), ["band", "value"]), "open-buckets")
+
+    def open_buckets() -> DataFrame:
+        """Members of the buckets that are still not one component."""
+        now = buckets.select("band", "value", "n", "rep").join(labelled("rep"), "rep")
+        apart = now.groupBy("band", "value").agg(F.min("rep_label").alias("low"), F.max("rep_label").alias("high")).filter("low < high")
+        return stored(now.join(apart.select("band", "value"), ["band", "value"]), "open-buckets")
+
+    # Their members meet the most central one, which meets most others in its buckets.
+    left = open_buckets()
+    met = left.groupBy("rep").agg(F.sum("n").alias("met"))
+    central = left.join(met, "rep").groupBy("band", "value").agg(F.max_by("rep", F.struct("met", "rep")).alias("centre"))
+    asked = left.join(central, ["band", "value"]).select("rep", "rep_label", "centre").distinct()
+    apart = asked.join(labelled("centre"), "centre").filter("rep_label != centre_label")
+    labels = components(labels, confirm(apart.select(F.greatest("rep", "centre").alias("a"), F.least("rep", "centre").alias("b")).distinct()))
+    # Of those still open, small ones compare every member with every other component's.
+    left = open_buckets()
     small = left.filter(F.col("n") <= SMALL_BUCKET).drop("n")
     right = small.select("band", "value", F.col("rep").alias("b"), F.col("rep_label").alias("b_label"))
     rest = small.withColumnRenamed("rep", "a").join(right, ["band", "value"]).filter("a > b and rep_label != b_label").select("a", "b").distinct()
