@@ -7,8 +7,12 @@ an encoding (hexadecimal, base32, base64). A candidate is a secret if
 * the battery does not tell it from uniform draws of its alphabet: chi-squared
   over the alphabet, runs above and below its middle, serial correlation, with
   the smallest of the three p-values corrected for three tests, and
-* it changes between letter cases and digits more often than an ordinary token
-  of its length would. These p-values (binomial tails) go through
+* its symbols and its changes between capitals, small letters and digits, which
+  the battery reads against uniform draws, don't fit an ordinary token. Each
+  encoding has a null model of ordinary tokens: how often they have each symbol
+  and how often they change class. A token's p-value is the inverse of the
+  likelihood ratio of uniform draws to that model, which bounds the chance that
+  an ordinary token looks as uniform, at every length. These p-values go through
   Benjamini-Hochberg false-discovery control over all documents, separately for
   each doubling of length, as short tokens carry less evidence than long ones.
 
@@ -45,8 +49,14 @@ ALPHABETS = {
     "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567",
     "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/",
 }
-#: How often ordinary tokens change between capitals, small letters and digits.
-ORDINARY_CHANGES = 0.25
+#: The null models, in thousandths: how often ordinary tokens have a letter (English, German, French and Spanish
+#: prose) and a digit, how often they change class, and the share of symbols that follow no such habit.
+LETTERS = dict(zip("abcdefghijklmnopqrstuvwxyz", (80, 17, 30, 43, 140, 15, 18, 40, 72, 4, 8, 45, 26, 77, 58, 24, 6, 66, 70, 72, 45, 13, 12, 3, 8, 8), strict=True))
+DIGITS = dict(zip("0123456789", (220, 180, 150, 80, 70, 70, 60, 50, 50, 70), strict=True))
+CHANGES = {"hex": 150, "base32": 100, "base64": 250}
+NO_HABIT = 100
+#: How often classes (digits, capitals, small letters, the rest) follow a change, against each other.
+CLASS_WEIGHTS = (30, 30, 60, 20)
 #: A candidate below this battery p-value is not random; the share of false discoveries allowed.
 BATTERY_LEVEL, FALSE_SHARE = 0.001, 0.01
 BINS = 256
@@ -107,17 +117,41 @@ def battery(codes: np.ndarray, size: int) -> float:
     return min(1.0, 3 * min(p_chi, p_runs, p_serial))
 
 
-def ordinary(token: str) -> float:
-    """The chance that an ordinary token of this length changes character class as often."""
-    classes = [0 if c <= "9" else 1 if c <= "Z" else 2 for c in token if c.isalnum()]
-    n = max(len(classes) - 1, 1)
-    changes = sum(a != b for a, b in zip(classes, classes[1:], strict=False))
-    if changes <= n * ORDINARY_CHANGES:
-        return 1.0
-    # The Chernoff bound of the binomial tail, which is right at every length.
-    share = changes / n
-    rest = (1 - share) * math.log((1 - share) / (1 - ORDINARY_CHANGES)) if share < 1 else 0.0
-    return math.exp(-n * (share * math.log(share / ORDINARY_CHANGES) + rest))
+def symbol_class(c: str) -> int:
+    return 0 if "0" <= c <= "9" else 1 if "A" <= c <= "Z" else 2 if "a" <= c <= "z" else 3
+
+
+def null_model(kind: str) -> dict[str, float]:
+    """Log-likelihood ratios of uniform draws to ordinary tokens: of a first symbol, and of a symbol after another."""
+    alphabet = ALPHABETS[kind]
+    # Ordinary tokens in capitals may have any digit, also those that base32 leaves out.
+    symbols = sorted({*alphabet, *DIGITS})
+    classes = sorted({symbol_class(c) for c in alphabet})
+    within = {}
+    for k in classes:
+        members = [c for c in symbols if symbol_class(c) == k]
+        weight = {c: DIGITS.get(c) or LETTERS.get(c.lower(), 1) for c in members}
+        total = sum(weight.values())
+        within |= {c: (1 - NO_HABIT / 1000) * weight[c] / total + NO_HABIT / 1000 / len(members) for c in members}
+    change, every = CHANGES[kind] / 1000, sum(CLASS_WEIGHTS[k] for k in classes)
+    out = {}
+    for c in alphabet:
+        k = symbol_class(c)
+        out[c] = -math.log(len(alphabet) * within[c] * CLASS_WEIGHTS[k] / every)
+        for before in alphabet:
+            j = symbol_class(before)
+            step = 1 - change if j == k else change * CLASS_WEIGHTS[k] / (every - CLASS_WEIGHTS[j])
+            out[before + c] = -math.log(len(alphabet) * within[c] * step)
+    return out
+
+
+NULL_MODELS = {kind: null_model(kind) for kind in ALPHABETS}
+
+
+def ordinary(plain: str, kind: str) -> float:
+    """A bound of the chance that an ordinary token of the encoding looks as uniform (Markov's inequality)."""
+    ratio = NULL_MODELS[kind]
+    return math.exp(-max(0.0, ratio[plain[0]] + sum(map(ratio.__getitem__, map(str.__add__, plain, plain[1:])))))
 
 
 def candidates(text: str, base: list[tuple[str, int, int]]) -> list[tuple[int, int, int, int]]:
@@ -134,7 +168,7 @@ def candidates(text: str, base: list[tuple[str, int, int]]) -> list[tuple[int, i
             continue
         plain = token.lower() if kind == "hex" else token.replace("-", "+").replace("_", "/")
         codes = np.array([ALPHABETS[kind].index(c) for c in plain])
-        p = ordinary(token) if battery(codes, len(ALPHABETS[kind])) >= BATTERY_LEVEL else 1.0
+        p = ordinary(plain, kind) if battery(codes, len(ALPHABETS[kind])) >= BATTERY_LEVEL else 1.0
         out.append((m.start(), m.end(), min(31, len(token).bit_length()), p_bin(p)))
     return out
 
