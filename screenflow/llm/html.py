@@ -1,11 +1,15 @@
 """Main-text extraction from HTML by two passes of block rules.
 
-The first pass decides the blocks it can. Containers with a fixed meaning
-(menus, footers, forms, adverts, comments ...) decide theirs, and so does the
-article element where a page has one. Elsewhere stop-word density, length and
-link density decide: long blocks rich in stop words are text, blocks made of
-links and long blocks without stop words are not. The second pass gives short,
-ambiguous blocks the label of their nearest decided neighbours.
+The first pass decides the blocks it can. Elements with a fixed meaning (menus,
+footers, forms, adverts, comments ...) decide theirs. All others are judged by
+stop-word density, length and link density: long blocks rich in stop words are
+text, blocks made of links and long blocks without stop words are not. An article
+or main element is evidence, which moves these thresholds: shorter blocks with
+fewer stop words are text inside of it, and only long ones with many are outside
+of it. The second pass gives open blocks the label of their nearest decided
+neighbours, in the same article or outside of all. An article without any decided
+text (as in a language without stop words here) is text if it has a long block, or
+if the page has no other text.
 """
 
 from __future__ import annotations
@@ -67,9 +71,10 @@ class Block(NamedTuple):
     text: str
     links: int
     outside: bool
-    article: bool
+    article: int
     item: bool
     heading: bool
+    code: bool
 
 
 def outside(tag: str, attrs: str, in_article: bool) -> bool:
@@ -93,28 +98,32 @@ def outside(tag: str, attrs: str, in_article: bool) -> bool:
 
 
 class Open(NamedTuple):
-    """An open element, with what it and those around it say about their text."""
+    """An open element, with what it and those around it say about their text.
+
+    ``article`` is the number of the innermost article or main element, 0 without one.
+    """
 
     tag: str
     outside: bool
-    article: bool
+    article: int
     item: bool
     link: bool
+    code: bool
 
 
 def blocks(page: str) -> list[Block]:
     """The page's blocks of text, with what pass one needs to know about each."""
     out: list[Block] = []
-    root = Open("", False, False, False, False)
+    root = Open("", False, 0, False, False, False)
     stack = [root]
     parts: list[str] = []
-    linked, heading, at = 0, False, 0
+    linked, heading, marked, articles, at = 0, False, False, 0, 0
 
     def flush() -> int:
         text = " ".join("".join(parts).split())
         if text:
             here = stack[-1]
-            out.append(Block(text, linked, here.outside, here.article, here.item, heading))
+            out.append(Block(text, linked, here.outside or marked, here.article, here.item, heading, here.code))
         parts.clear()
         return 0
 
@@ -135,6 +144,8 @@ def blocks(page: str) -> list[Block]:
         if tag not in INLINE:
             linked = flush()
             heading = tag in ("h1", "h2", "h3", "h4", "h5", "h6") and not m["close"]
+            # A paragraph or heading isn't kept open: what it says holds until the block ends.
+            marked = tag not in CONTAINERS and not m["close"] and outside(tag, m["attrs"], True)
         if m["close"]:
             if tag in CONTAINERS:
                 for i in range(len(stack) - 1, 0, -1):
@@ -145,12 +156,15 @@ def blocks(page: str) -> list[Block]:
             if tag in ("li", "tr", "td", "th", "dt", "dd", "a") and stack[-1].tag == tag:
                 stack.pop()
             up = stack[-1]
+            own = tag in ("article", "main")
+            articles += own
             stack.append(Open(
                 tag,
-                up.outside or outside(tag, m["attrs"], up.article),
-                up.article or tag in ("article", "main"),
+                up.outside or outside(tag, m["attrs"], up.article > 0),
+                articles if own else up.article,
                 up.item or tag in ("li", "td"),
                 up.link or tag == "a",
+                up.code or tag == "pre",
             ))
     if at < len(page):
         linked += add(page[at:])
@@ -162,24 +176,28 @@ def first_pass(block: Block, has_article: bool) -> int | None:
     if block.outside:
         return OTHER
     links = block.links / len(block.text)
-    if links > LINKS and (block.item or not block.article):
-        return OTHER
-    if has_article:
-        return TEXT if block.article else OTHER
+    if links > LINKS:
+        return OTHER if block.item or not block.article else OPEN
+    if len(block.text) < SHORT or block.heading or block.code:
+        return OPEN
     words = WORD.findall(block.text.lower())
     stops = sum(w in STOP_WORDS for w in words) / max(len(words), 1)
-    if len(block.text) < SHORT or block.heading:
-        return OPEN
-    if stops >= STOP_HIGH or (stops >= STOP_LOW and len(block.text) >= LONG):
-        return TEXT
-    return OTHER if stops < STOP_LOW and len(block.text) >= LONG else OPEN
+    long = len(block.text) >= LONG
+    if block.article:
+        text, other = stops >= STOP_LOW, stops == 0 and long
+    elif has_article:
+        text, other = stops >= STOP_HIGH and long, stops < STOP_LOW and long
+    else:
+        text, other = stops >= STOP_HIGH or (stops >= STOP_LOW and long), stops < STOP_LOW and long
+    return TEXT if text else OTHER if other else OPEN
 
 
 def second_pass(found: list[Block], labels: list[int | None]) -> list[int]:
     """Open blocks take the label of the nearest decided block; a heading that of the next one.
 
-    At equal distance text wins over the rest. A page without any decided block
-    is all text.
+    At equal distance text wins over the rest. Inside an article only blocks
+    between two that are not text are left out. Blocks without any decided one
+    are all text.
     """
     n = len(labels)
     before, after = [-1] * n, [n] * n
@@ -193,6 +211,8 @@ def second_pass(found: list[Block], labels: list[int | None]) -> list[int]:
             back, ahead = before[i], after[i]
             if back < 0 and ahead == n:
                 label = TEXT
+            elif found[i].article:
+                label = OTHER if back >= 0 and ahead < n and labels[back] == labels[ahead] == OTHER else TEXT
             elif back < 0 or (found[i].heading and ahead < n):
                 label = labels[ahead]
             elif ahead == n or i - back < ahead - i:
@@ -203,12 +223,44 @@ def second_pass(found: list[Block], labels: list[int | None]) -> list[int]:
     return out
 
 
+def labelled(found: list[Block]) -> list[int]:
+    """The label of every block, after both passes."""
+    groups: dict[int, list[int]] = {}
+    for i, b in enumerate(found):
+        # Menus and lists of links inside an article say nothing about the blocks beside them.
+        if not b.article or not (b.outside or (b.item and b.links > LINKS * len(b.text))):
+            groups.setdefault(b.article, []).append(i)
+    labels = [first_pass(b, True) for b in found]
+    size = lambda places, label: sum(len(found[i].text) for i in places if labels[i] == label)
+    full = set()
+    for g, places in groups.items():
+        if g and size(places, TEXT) <= size(places, OTHER):
+            # Long blocks without stop words are most of it: its language has none here, so they decide nothing.
+            for i in places:
+                labels[i] = OPEN if labels[i] == OTHER else labels[i]
+        if g and (size(places, TEXT) or any(len(found[i].text) >= LONG for i in places)):
+            full.add(g)
+    if not full:
+        labels = [label if b.article else first_pass(b, False) for b, label in zip(found, labels, strict=True)]
+    some_text = bool(full) or TEXT in labels
+    out = [OTHER if x is OPEN else x for x in labels]
+    for g, places in groups.items():
+        mine = [labels[i] for i in places]
+        if all(x is OPEN for x in mine) and (g in full if g else not full):
+            mine = [TEXT] * len(places)
+        elif all(x is OPEN for x in mine):
+            mine = [OTHER if some_text else TEXT] * len(places)
+        else:
+            mine = second_pass([found[i] for i in places], mine)
+        for i, label in zip(places, mine, strict=True):
+            out[i] = label
+    return out
+
+
 def main_text(page: str | None) -> str:
     """The article's blocks in page order, joined by an empty line."""
     found = blocks(page or "")
-    has_article = any(b.article and not b.outside for b in found)
-    labels = second_pass(found, [first_pass(b, has_article) for b in found])
-    return "\n\n".join(b.text for b, label in zip(found, labels, strict=True) if label == TEXT)
+    return "\n\n".join(b.text for b, label in zip(found, labelled(found), strict=True) if label == TEXT)
 
 
 def extract_text(pages: DataFrame, html_col: str = "html") -> DataFrame:
