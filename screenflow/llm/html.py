@@ -27,7 +27,7 @@ from screenflow.llm.common import col
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<raw>script|style|noscript|template|textarea|select|svg|iframe|object|title|button)\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
+    r"|<(?!title[^>]*/>)(?P<raw>script|style|textarea|title)(?=[\s/>])[^>]*>.*?(?:</(?P=raw)(?=[\s/>])[^>]*>|\Z)"
     r"|<(?P<close>/?)(?P<tag>[a-zA-Z][\w:-]*)(?P<attrs>(?:\"[^\"]*\"|'[^']*'|[^'\">])*)>"
     r"|<[!?/][^>]*(?:>|\Z)|<[a-zA-Z][^>]*\Z",
     re.S | re.I,
@@ -42,6 +42,9 @@ CONTAINERS = frozenset(
     "html body article main section div nav header footer aside form ul ol dl li dt dd table thead tbody tfoot tr td th figure "
     "figcaption blockquote pre details summary dialog menu fieldset address center a".split()
 )
+#: Elements whose content is no text of the page; one that is never closed ends at the next block.
+SKIPPED = frozenset("button select object svg iframe noscript template".split())
+BREAKS = (CONTAINERS - {"a"}) | frozenset("p h1 h2 h3 h4 h5 h6 hr".split())
 OUTSIDE = frozenset("nav footer aside form menu dialog head fieldset".split())
 OUTSIDE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 OUTSIDE_NAMES = frozenset(
@@ -111,6 +114,29 @@ class Open(NamedTuple):
     code: bool
 
 
+def skips(tokens: list[re.Match], end: int) -> dict[int, tuple[int, int]]:
+    """For each token that opens a skipped element, where to go on: the token, and the place in the page."""
+    opened: dict[str, list[int]] = {}
+    out: dict[int, tuple[int, int]] = {}
+    for i, m in enumerate(tokens):
+        tag = (m["tag"] or "").lower()
+        if tag not in SKIPPED:
+            continue
+        if m["close"]:
+            if opened.get(tag):
+                out[opened[tag].pop()] = i + 1, m.end()
+        elif not m["attrs"].rstrip().endswith("/"):
+            opened.setdefault(tag, []).append(i)
+    loose = {i for places in opened.values() for i in places}
+    after = len(tokens), end
+    for i in range(len(tokens) - 1, min(loose, default=len(tokens)) - 1, -1):
+        if i in loose:
+            out[i] = after
+        elif (tokens[i]["tag"] or "").lower() in BREAKS:
+            after = i, tokens[i].start()
+    return out
+
+
 def blocks(page: str) -> list[Block]:
     """The page's blocks of text, with what pass one needs to know about each."""
     out: list[Block] = []
@@ -132,12 +158,18 @@ def blocks(page: str) -> list[Block]:
         parts.append(text)
         return len(" ".join(text.split())) if stack[-1].link else 0
 
-    for m in TOKEN.finditer(page):
+    tokens = list(TOKEN.finditer(page))
+    past, resume = skips(tokens, len(page)), 0
+    for i, m in enumerate(tokens):
+        if i < resume:
+            continue
         if m.start() > at:
             linked += add(page[at : m.start()])
         at = m.end()
         tag = (m["tag"] or "").lower()
-        if not tag:
+        if i in past:
+            resume, at = past[i]
+        if not tag or tag in SKIPPED:
             continue
         if tag == "br":
             parts.append(" ")

@@ -20,3 +20,17 @@ def test_notices_and_word_lists_inside_the_article():
 def test_article_without_known_words():
     page = f"<div>Notice</div><article><h1>Shop</h1><p>{KEYWORDS}<pre>{KEYWORDS}</pre></article><div>{PROSE}</div>"
     assert main_text(page).startswith(f"Shop\n\n{KEYWORDS.strip()}\n\n{KEYWORDS.strip()}")
+
+
+def test_elements_without_an_end_tag_cut_nothing():
+    p = PROSE.strip()
+    for loose in ("<svg viewBox='0' />", "<button>Buy", "<select><option>One", "<object data=x>", "<title-bar>", "<button-group>", "<select-box>", "<SVG/>"):
+        assert main_text(f"<article><p>{p}</p>{loose}<p>{p}</p></article>") == f"{p}\n\n{p}", loose
+    assert main_text(f"<article><p>{p} <svg><title/><path d=x /></svg><b>icon</b></p><p>{p}</article>") == f"{p} icon\n\n{p}"
+
+
+def test_skipped_elements_and_raw_text():
+    p = PROSE.strip()
+    for gone in ("<button><div>Buy</div></button>", "<svg><g><svg/></g><text>Pic</text></svg>", "<script>if (a<b) '<p>no'</script >", "<object><object>In</object>out</object>", "<style>p{}</style>"):
+        assert main_text(f"<article><p>{p}</p>{gone}<p>{p}</p></article>") == f"{p}\n\n{p}", gone
+    assert main_text(f"<article><p>{p}</p><script>{p}") == p
