@@ -1,8 +1,9 @@
 """Secret scans with a battery of randomness tests.
 
 Fixed patterns find assigned passwords, access keys and hexadecimal strings.
-Other runs of encoded characters become candidates when their characters imply
-an encoding (hexadecimal, base32, base64). A candidate is a secret if
+All other runs of encoded characters, of any length, are tests in the smallest
+alphabet that fits them (hexadecimal, base32, base36, base64; a token of one case
+without its separators). Numbers are none. A token is a secret if
 
 * the battery does not tell it from uniform draws of its alphabet: chi-squared
   over the alphabet, runs above and below its middle, serial correlation, with
@@ -17,14 +18,19 @@ an encoding (hexadecimal, base32, base64). A candidate is a secret if
   each doubling of length, as short tokens carry less evidence than long ones.
 
 The control needs the counts of binned p-values alone: at most 32 lengths times
-256 bins reach the driver, whatever the size of the input.
+256 bins reach the driver, whatever the size of the input. Tokens whose p-value
+is above the share of false discoveries can't be found at any count; they are
+only counted.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
+from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
@@ -41,27 +47,33 @@ ASSIGN = re.compile(
 )
 ACCESS = re.compile("AKIA[A-Z0-9]+")
 HEX = re.compile("(?<![0-9a-f])[0-9a-f]{16,}")
-CANDIDATE = re.compile("(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}={0,2}")
+CANDIDATE = re.compile("[A-Za-z0-9+/_-]+={0,2}")
 #: Words of which an assignment holds one, in lower case.
 NAMES = ("password", "passwd", "secret", "token", "api")
 ALPHABETS = {
     "hex": "0123456789abcdef",
     "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567",
+    "base36": "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ",
     "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/",
 }
 #: The null models, in thousandths: how often ordinary tokens have a letter (English, German, French and Spanish
 #: prose) and a digit, how often they change class, and the share of symbols that follow no such habit.
 LETTERS = dict(zip("abcdefghijklmnopqrstuvwxyz", (80, 17, 30, 43, 140, 15, 18, 40, 72, 4, 8, 45, 26, 77, 58, 24, 6, 66, 70, 72, 45, 13, 12, 3, 8, 8), strict=True))
 DIGITS = dict(zip("0123456789", (220, 180, 150, 80, 70, 70, 60, 50, 50, 70), strict=True))
-CHANGES = {"hex": 150, "base32": 100, "base64": 250}
+CHANGES = {"hex": 150, "base32": 100, "base36": 100, "base64": 250}
 NO_HABIT = 100
 #: How often classes (digits, capitals, small letters, the rest) follow a change, against each other.
 CLASS_WEIGHTS = (30, 30, 60, 20)
 #: A candidate below this battery p-value is not random; the share of false discoveries allowed.
 BATTERY_LEVEL, FALSE_SHARE = 0.001, 0.01
 BINS = 256
+SEPARATORS = str.maketrans("", "", "+/_-")
+HEX_DIGITS, BASE32 = frozenset("0123456789ABCDEF"), frozenset(ALPHABETS["base32"])
+PLACES = {kind: {c: i for i, c in enumerate(alphabet)} for kind, alphabet in ALPHABETS.items()}
+#: Tokens up to this length are judged once, as long as there are not too many of them.
+REMEMBERED, MOST_REMEMBERED = 64, 200_000
 SPAN = "struct<kind:string,start:bigint,end:bigint>"
-FOUND = f"base array<{SPAN}>, candidates array<struct<start:bigint,end:bigint,octave:int,bin:int>>"
+FOUND = f"base array<{SPAN}>, candidates array<struct<start:bigint,end:bigint,octave:int,bin:int>>, tests array<struct<octave:int,bin:int,n:bigint>>"
 
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:
@@ -76,17 +88,17 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
-def encoding(token: str) -> str | None:
-    """The smallest alphabet that a mixed token fits; None for plain words and numbers."""
-    digit = any("0" <= c <= "9" for c in token)
-    upper, lower = any("A" <= c <= "Z" for c in token), any("a" <= c <= "z" for c in token)
-    if digit and upper != lower and all(c in "0123456789abcdef" for c in token.lower()):
-        return "hex"
-    if digit and upper and not lower and all(c in ALPHABETS["base32"] for c in token):
-        return "base32"
-    if digit and upper and lower:
-        return "base64"
-    return None
+def encoding(token: str) -> tuple[str, str] | None:
+    """The smallest alphabet that a token fits, and the token in it; None for numbers and separators."""
+    upper, lower = token.upper(), token.lower()
+    if token in (upper, lower):
+        plain = upper.translate(SEPARATORS)
+        if not plain or plain.isdigit():
+            return None
+        if HEX_DIGITS.issuperset(plain):
+            return "hex", plain.lower()
+        return ("base32" if BASE32.issuperset(plain) else "base36"), plain
+    return "base64", token.replace("-", "+").replace("_", "/")
 
 
 def upper_tail(z: float) -> float:
@@ -154,23 +166,59 @@ def ordinary(plain: str, kind: str) -> float:
     return math.exp(-max(0.0, ratio[plain[0]] + sum(map(ratio.__getitem__, map(str.__add__, plain, plain[1:])))))
 
 
-def candidates(text: str, base: list[tuple[str, int, int]]) -> list[tuple[int, int, int, int]]:
-    """Random-looking tokens outside the base spans: start, end, octave of the length, bin of the p-value.
+def judged(token: str) -> tuple[int, int] | None:
+    """Octave of the length and bin of the p-value; None for a token that is no test.
 
-    Tokens that imply an encoding but fail the battery count among the tests of
-    their octave with a p-value of 1.
+    Tokens that imply an encoding but fail the battery count with a p-value of 1,
+    and so do those that could not be found at any count.
     """
-    out = []
-    for m in CANDIDATE.finditer(text):
-        token = m[0].rstrip("=")
-        kind = encoding(token)
-        if kind is None or any(s <= m.start() and m.end() <= e for _, s, e in base):
-            continue
-        plain = token.lower() if kind == "hex" else token.replace("-", "+").replace("_", "/")
-        codes = np.array([ALPHABETS[kind].index(c) for c in plain])
-        p = ordinary(plain, kind) if battery(codes, len(ALPHABETS[kind])) >= BATTERY_LEVEL else 1.0
-        out.append((m.start(), m.end(), min(31, len(token).bit_length()), p_bin(p)))
-    return out
+    token = token.rstrip("=")
+    form = encoding(token)
+    if form is None:
+        return None
+    kind, plain = form
+    octave, p = min(31, len(plain).bit_length()), ordinary(plain, kind)
+    if p > FALSE_SHARE:
+        return octave, 0
+    codes = np.array([PLACES[kind][c] for c in plain])
+    return octave, p_bin(p) if battery(codes, len(ALPHABETS[kind])) >= BATTERY_LEVEL else 0
+
+
+_REMEMBERED: dict[str, tuple[int, int] | None] = {}
+
+
+def recalled(token: str) -> tuple[int, int] | None:
+    if len(token) > REMEMBERED:
+        return judged(token)
+    if token not in _REMEMBERED:
+        if len(_REMEMBERED) >= MOST_REMEMBERED:
+            _REMEMBERED.clear()
+        _REMEMBERED[token] = judged(token)
+    return _REMEMBERED[token]
+
+
+def candidates(text: str, base: list[tuple[str, int, int]]) -> tuple[list[tuple[int, int, int, int]], list[tuple[int, int, int]]]:
+    """Tokens outside the base spans: those that may be found (start, end, octave, bin), and all tests (octave, bin, number)."""
+    found, tests, placed = [], Counter(), bool(base)
+    if not base:
+        for token, n in Counter(CANDIDATE.findall(text)).items():
+            test = _REMEMBERED.get(token) or recalled(token)
+            if test:
+                tests[test] += n
+                placed = placed or test[1] > 0
+    if placed:
+        tests.clear()
+        spans = sorted((s, e) for _, s, e in base)
+        starts, furthest = [s for s, _ in spans], list(accumulate((e for _, e in spans), max))
+        for m in CANDIDATE.finditer(text):
+            test = recalled(m[0])
+            at = bisect_right(starts, m.start()) - 1
+            if test is None or (at >= 0 and furthest[at] >= m.end()):
+                continue
+            tests[test] += 1
+            if test[1]:
+                found.append((m.start(), m.end(), *test))
+    return found, [(*test, n) for test, n in tests.items()]
 
 
 def p_bin(p: float) -> int:
@@ -192,14 +240,14 @@ def cut_points(counts: dict[tuple[int, int], int], share: float = FALSE_SHARE) -
 
 
 def findings(docs: DataFrame, text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
-    """``carry`` columns with ``base`` spans and ``candidates`` of every row."""
+    """``carry`` columns with ``base`` spans, ``candidates`` and counted ``tests`` of every row."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             base = [base_spans(t) for t in frame["body"]]
             more = [candidates(t, b) for t, b in zip(frame["body"], base, strict=True)]
             frame = frame.drop(columns="body")
-            frame["base"], frame["candidates"] = base, more
+            frame["base"], frame["candidates"], frame["tests"] = base, [found for found, _ in more], [tests for _, tests in more]
             yield frame
 
     wanted = docs.select(*(col(c) for c in carry), F.coalesce(col(text_col), F.lit("")).alias("body"))
@@ -209,8 +257,8 @@ def findings(docs: DataFrame, text_col: str = "text", carry: tuple[str, ...] = (
 
 def false_discovery_cuts(found: DataFrame) -> dict[int, int]:
     """The cut point of each length octave, from the counts over all documents."""
-    rows = found.select(F.explode("candidates").alias("c")).groupBy("c.octave", "c.bin").count().collect()
-    return cut_points({(r["octave"], r["bin"]): r["count"] for r in rows})
+    rows = found.select(F.inline("tests")).groupBy("octave", "bin").agg(F.sum("n").alias("n")).collect()
+    return cut_points({(r["octave"], r["bin"]): r["n"] for r in rows})
 
 
 def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -266,7 +314,7 @@ def redact_secrets(docs: DataFrame, text_col: str = "text") -> DataFrame:
         if text is None:
             return None
         base = base_spans(text)
-        more = [("random", s, e) for s, e, octave, b in candidates(text, base) if b >= cuts.get(octave, BINS)]
+        more = [("random", s, e) for s, e, octave, b in candidates(text, base)[0] if b >= cuts.get(octave, BINS)]
         return redacted(text, base + more) if base or more else text
 
     replace = F.pandas_udf(run, "string")

@@ -38,3 +38,22 @@ def test_recall(spark, kind, length, least):
     got = found(spark, diluted)
     assert sum(i < 50 for i in got) >= least * 50
     assert sum(i >= 50 for i in got) <= 2
+
+
+@pytest.mark.parametrize(("alphabet", "length", "least"), [
+    (ALPHABETS["base32"].lower(), 20, 0.8), (ALPHABETS["base36"], 24, 0.8), (ALPHABETS["base36"].lower(), 24, 0.8),
+    (ALPHABETS["base32"][:26], 32, 0.6), (ALPHABETS["base64"][:52], 32, 0.9), (ALPHABETS["base64"][:62], 16, 0.8), (ALPHABETS["base64"][:62], 12, 0.6),
+])
+def test_all_alphabets_and_lengths_are_tested(spark, alphabet, length, least):
+    rng = np.random.default_rng(length)
+    assert len(found(spark, [drawn(rng, alphabet, length) for _ in range(50)])) >= least * 50
+
+
+def test_separators_and_plain_words(spark):
+    rng = np.random.default_rng(1)
+    uuids = ["-".join(drawn(rng, "0123456789abcdef", n) for n in (8, 4, 4, 4, 12)) for _ in range(50)]
+    assert len(found(spark, uuids)) >= 45
+    prose = " ".join(WORDS) * 20 + " 2024-01-15 555-123-4567 --- /usr/share/doc Facade DECADE 3rd x2 https://example.com/2024/summary-of-prices"
+    assert not found(spark, [prose])
+    base = "0123456789abcdef01 " * 50 + "x7Kq2mVt9LzR4wPb8NcY"
+    assert len(found(spark, [base])) == 1
