@@ -22,7 +22,10 @@ from screenflow.llm.common import mixed
 #: Consecutive words of a passage.
 WORDS = 13
 _BYTE_HASH = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-_POWERS = np.multiply.accumulate(np.full(256, 0x9E3779B97F4A7C15, np.uint64))
+#: A word's bytes are hashed by their places in blocks of this size, and its blocks by their numbers.
+BLOCK = 256
+_POWERS = np.multiply.accumulate(np.full(BLOCK, 0x9E3779B97F4A7C15, np.uint64))
+_BLOCK_STEP = np.uint64(0xD1B54A32D192ED03)
 _IS_GAP = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
 SPANS = "doc_id bigint, n_words bigint, n_removed bigint, spans array<struct<start:bigint,end:bigint>>, kept string"
 
@@ -41,8 +44,14 @@ def word_units(data: np.ndarray, offsets: np.ndarray):
     if not len(first):
         return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64), first, last
     owner = np.cumsum(begins) - 1
-    place = np.minimum(np.arange(len(data)) - first[np.maximum(owner, 0)], 255)
-    parts = np.where(word, _BYTE_HASH[data] * _POWERS[place], np.uint64(0))
+    place = np.arange(len(data)) - first[np.maximum(owner, 0)]
+    parts = np.where(word, _BYTE_HASH[data] * _POWERS[place % BLOCK], np.uint64(0))
+    if (last - first).max() >= BLOCK:
+        # Later blocks are replaced by a hash of their bytes and number, at their first byte.
+        starts = np.flatnonzero(word & (place % BLOCK == 0))
+        sums, number = np.add.reduceat(parts, starts), (place[starts] // BLOCK).astype(np.uint64)
+        parts = np.zeros(len(data), np.uint64)
+        parts[starts] = np.where(number > 0, mixed(sums + number * _BLOCK_STEP), sums)
     return mixed(np.add.reduceat(parts, first)), np.searchsorted(first, offsets), first, last + 1
 
 
