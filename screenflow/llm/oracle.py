@@ -1,7 +1,8 @@
 """DuckDB SQL for the queries that SQL can express.
 
-Length buckets (a dynamic programme), suffix arrays over bytes, block rules and
-randomness tests have none; they are tested against brute force and fixtures.
+Length buckets (a dynamic programme), suffix arrays over bytes, block rules,
+randomness tests and SimHash (no such hash in DuckDB) have none; they are tested
+against brute force and fixtures.
 """
 
 from __future__ import annotations
@@ -180,6 +181,75 @@ select s.doc_id, len(w) as n_words, len(w) - coalesce(k.n, 0) as n_removed, sha2
 from split s left join kept k on s.doc_id = k.doc_id
 """
 
+
+def clustering(rounds: int = 3) -> str:
+    """CTEs ``c0`` .. of the centroids and ``a0`` .. of each vector's nearest one."""
+    steps = [
+        """kept as materialized (
+    select row_number() over () as r, vec_id, list_transform(embedding, lambda x: cast(floor(64 * cast(x as double)) as bigint)) as v
+    from embeddings where len(embedding) = 64 and len(list_filter(embedding, lambda x: x is not null and isfinite(x))) = 64)""",
+        """c0 as materialized (
+    select row_number() over (order by sha256('1:' || cast(vec_id as varchar)), v) - 1 as c, v as w from kept qualify c < 16)""",
+    ]
+    for i in range(rounds + 1):
+        steps.append(f"""a{i} as materialized (
+    select r, vec_id, v, min(struct_pack(d := d, c := c)) as near
+    from (select r, vec_id, v, c, cast(list_sum(list_transform(list_zip(v, w), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) as bigint) as d from kept, c{i})
+    group by r, vec_id, v)""")
+        if i < rounds:
+            steps.append(f"""c{i + 1} as materialized (
+    select o.c, coalesce(m.w, o.w) as w
+    from c{i} o left join (
+        select c, list(cast((s - ((s % n) + n) % n) // n as bigint) order by i) as w
+        from (select near.c as c, i, cast(sum(v[i]) as bigint) as s, count(*) as n from a{i}, range(1, 65) g(i) group by all) group by c) m on o.c = m.c)""")
+    return "with " + ",\n".join(steps)
+
+
+CLUSTERS = f"""
+{clustering()}
+select vec_id, cast(near.c as int) as cluster, near.d as distance,
+    cast(sum(near.d) over (partition by near.c) as bigint) as cluster_inertia, cast(sum(near.d) over () as bigint) as inertia,
+    sha256(array_to_string(w, ',')) as centroid_sha256
+from a3 join c3 on near.c = c3.c
+"""
+
+#: CRC-32 of a word: the reflected polynomial 0xEDB88320, a table of 256 entries, then byte by byte.
+IMPORTANCE = r"""
+with steps as (
+    select list(list_reduce(range(8), lambda a, k: case when a & 1 = 1 then xor(a >> 1, 3988292384) else a >> 1 end, b) order by b) as t from range(256) r(b)),
+texts as (
+    select 'd' as side, doc_id, text from documents union all select 'b', null, text from benchmark),
+split as (
+    select side, doc_id, regexp_extract_all(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w
+    from texts),
+counts as (select side, doc_id, word, count(*) as n from (select side, doc_id, unnest(w) as word from split) group by all),
+bytes as (
+    select word, list_transform(regexp_extract_all(hex(encode(word)), '..'), lambda x: cast('0x' || x as bigint)) as b
+    from (select distinct word from counts)),
+hashed as (
+    select word, xor(list_reduce(b, lambda a, x: xor(a >> 8, t[(xor(a, x) & 255) + 1]), 4294967295::bigint), 4294967295) % 10000 as bucket
+    from bytes, steps),
+filled as (
+    select bucket, coalesce(sum(n) filter (side = 'd'), 0) as s, coalesce(sum(n) filter (side = 'b'), 0) as t
+    from counts join hashed using (word) group by bucket),
+size as (select sum(s) as s, sum(t) as t from filled),
+gains as (
+    select bucket, cast(floor(1000 * ln(cast((f.t + 1) * (size.s + 10000) as double) / cast((f.s + 1) * (size.t + 10000) as double))) as bigint) as gain
+    from filled f, size),
+weights as (
+    select doc_id, cast(sum(n * gain) as bigint) as weight from counts join hashed using (word) join gains using (bucket) where side = 'd' group by doc_id),
+scored as (
+    select s.doc_id, cast(len(w) as bigint) as n_features, coalesce(weight, 0) as weight,
+        coalesce(weight, 0) + cast(floor(-1000 * ln(-ln((cast('0x' || substr(sha256('2024:' || cast(s.doc_id as varchar)), 1, 8) as bigint) + 0.5::double) / 4294967296))) as bigint) as score
+    from split s left join weights on s.doc_id = weights.doc_id where side = 'd'),
+ranked as (
+    select *, row_number() over (partition by n_features >= 20 order by score desc, doc_id) as place, count(*) over (partition by n_features >= 20) as n from scored)
+select doc_id, n_features, weight, score, case when n_features >= 20 and place <= 10 * n // 100 then place end as rank
+from ranked
+"""
+
 ORACLE = {
     "op1_bit_sliced_top_k": TOP_K,
     "op2_quality_rules": QUALITY,
@@ -187,4 +257,6 @@ ORACLE = {
     "op6_poisson_mixing": MIXING,
     "op9_minmax_near_dedup": NEAR_DEDUP,
     "op10_phrase_automata": PASSAGES,
+    "op12_simplex_clusters": CLUSTERS,
+    "op13_importance_resampling": IMPORTANCE,
 }

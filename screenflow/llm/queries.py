@@ -6,12 +6,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from screenflow.llm.html import extract_text
+from screenflow.llm.importance import resample
 from screenflow.llm.minmax import near_duplicates
 from screenflow.llm.mixing import mix_sources
 from screenflow.llm.packing import pack
 from screenflow.llm.phrases import remove_passages
 from screenflow.llm.quality import judge
 from screenflow.llm.secrets import joined_spans, scan_secrets
+from screenflow.llm.simhash import simhash_duplicates
+from screenflow.llm.simplex import cluster_vectors
 from screenflow.llm.suffix import remove_repeats
 from screenflow.llm.topk import top_k
 from screenflow.llm.urls import filter_urls, host, segment
@@ -107,10 +110,27 @@ def op10_phrase_automata(spark: SparkSession, folder: str) -> DataFrame:
     return cut.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op11_pivot_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    found = simhash_duplicates(table(spark, folder, "documents"), shingle_words=3, bits=2)
+    return found.select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def op12_simplex_clusters(spark: SparkSession, folder: str) -> DataFrame:
+    return cluster_vectors(table(spark, folder, "embeddings"), dims=64, scale=64, k=16, rounds=3, seed=1)
+
+
+def op13_importance_resampling(spark: SparkSession, folder: str) -> DataFrame:
+    return resample(
+        table(spark, folder, "documents"), table(spark, folder, "benchmark"),
+        max_words=1, buckets=10_000, percent=10, least_words=20, seed=2024,
+    )
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_bit_sliced_top_k, op2_quality_rules, op3_url_list_join, op4_length_buckets, op5_suffix_array_dedup,
         op6_poisson_mixing, op7_block_rules, op8_randomness_battery, op9_minmax_near_dedup, op10_phrase_automata,
+        op11_pivot_simhash, op12_simplex_clusters, op13_importance_resampling,
     )
 }
