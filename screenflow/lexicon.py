@@ -54,6 +54,8 @@ class Lexicon:
     signals: tuple[Signal, ...]
     # Hashtags that count as the lone-hashtag case; the signal is named here.
     hashtag_signal: str | None = None
+    # Words that may stand beside the lexicon's own in a compound hashtag; without any, tags are read whole.
+    tag_words: tuple[str, ...] = ()
 
     def terms(self, stage: str | None = None, polarity: int | None = None) -> list[str]:
         """Distinct terms, optionally only those counting one way in a stage."""
@@ -69,7 +71,8 @@ class Lexicon:
         return next(s for s in self.signals if s.name == name)
 
 
-# A lexicon becomes literals of the plan, so its size must be bounded.
+# A lexicon of this kind becomes literals of the plan, so its size must be bounded.
+# `operators.term_join.TermTable` takes a table of any size.
 MAX_TERMS = 20_000
 
 
@@ -80,7 +83,7 @@ def lexicon_from_table(table: DataFrame, hashtag_signal: str | None = None) -> L
     """
     n = table.count()
     if n > MAX_TERMS:
-        raise ValueError(f"lexicon has {n} terms; at most {MAX_TERMS} can be inlined")
+        raise ValueError(f"lexicon has {n} terms; at most {MAX_TERMS} can be inlined; use a TermTable")
     grouped = (
         table.groupBy("signal", "screen", "classify", "weight")
         .agg(F.array_sort(F.collect_set(F.lower("term"))).alias("terms"))
@@ -104,6 +107,15 @@ def words_lexicon(name: str, terms: Iterable[str]) -> Lexicon:
 # Markers that speech-to-text leaves around lyrics.
 LYRIC_MARKERS = ("♪", "♫", "(singing)", "(music)")
 
+# Words that are often joined to a condition in one hashtag.
+TAG_WORDS = (
+    "and", "advocate", "awareness", "brain", "check", "community", "day", "disorder", "family", "fighter",
+    "girl", "girls", "health", "help", "humor", "in", "is", "journey", "kids", "life", "living", "matters",
+    "memes", "mental", "mind", "mom", "month", "mum", "my", "not", "of", "parents", "people", "problems",
+    "real", "recovery", "relatable", "stigma", "stories", "story", "students", "support", "survivor",
+    "symptoms", "talk", "teen", "teens", "the", "tips", "tok", "treatment", "warrior", "week", "with", "women",
+)
+
 # The conditions, treatments and counter-examples that the
 # screening criteria name. A space joins the words of a phrase; any character
 # of a text that is neither a letter nor a digit separates words.
@@ -188,4 +200,5 @@ MENTAL_HEALTH = Lexicon(
         ),
     ),
     hashtag_signal="named_condition",
+    tag_words=TAG_WORDS,
 )

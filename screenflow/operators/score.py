@@ -20,6 +20,7 @@ from screenflow.functions.strings import row_text
 from screenflow.lexicon import MENTAL_HEALTH, Lexicon
 from screenflow.operators.prompt import oversize_label
 from screenflow.operators.signals import signal_scores
+from screenflow.operators.term_join import TermTable, match_terms, score_matches
 from screenflow.spec import Settings, StageSpec
 
 PRESET = "preset"
@@ -79,6 +80,33 @@ class SignalScorer:
         ).drop(PRESET, "support", "against")
 
 
+@dataclass(frozen=True)
+class TermTableScorer:
+    """The rules of `SignalScorer` over a lexicon of any size, met in a join.
+
+    Its join moves matches, not texts. It is no row function: rows should be one per
+    key before it, so that copies are not matched twice.
+    """
+
+    lexicon: TermTable
+    screen_threshold: float = 1.0
+    classify_threshold: float = 2.0
+    row_function = False
+
+    def label(
+        self, rows: DataFrame, stage: StageSpec, settings: Settings, system_prompt: str = ""
+    ) -> DataFrame:
+        threshold = self.screen_threshold if stage.name == "screen" else self.classify_threshold
+        matched = match_terms(_with_preset(rows), self.lexicon, settings.cols)
+        scored = score_matches(matched, self.lexicon, stage.name, threshold)
+        return scored.select(
+            *[c for c in rows.columns if c not in settings.cols and c != PRESET],
+            F.coalesce(PRESET, "label").alias("label"),
+            _unless_preset(F.col("prob_true")).alias("prob_true"),
+            _unless_preset(F.col("rationale")).alias("rationale"),
+        )
+
+
 def map_texts(
     rows: DataFrame, make: ScorerFactory, system_prompt: str, text_col: str, carry: Sequence[str]
 ) -> DataFrame:

@@ -14,6 +14,7 @@ from operator import add
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from screenflow.functions.hashtags import compound_parts, hashtags
 from screenflow.functions.strings import nonblank
 from screenflow.lexicon import LYRIC_MARKERS, Lexicon
 from screenflow.spec import TEXT_COLS
@@ -22,9 +23,11 @@ FIELD_WEIGHTS = {"description": 2.0}
 MANY_HASHTAGS = 5
 # Looking for one substring costs about 1/14 of cutting the text into words.
 FEW_STEMS = 12
-BETWEEN_WORDS, HASHTAG = r"[^\p{L}\p{N}]+", r"#([\p{L}\p{N}_]+)"
+BETWEEN_WORDS = r"[^\p{L}\p{N}]+"
 DESCRIPTION, TRANSCRIPT = "description", "transcript"
-SILENT, TAGS = "_silent", "_tags"
+SILENT, TAGS, TAG_WORDS = "_silent", "_tags", "_tag_words"
+# Stands between the words of a text and those of its compound tags, so that no phrase spans them.
+APART = "|"
 
 
 def _strings(values: Sequence[str]) -> Column:
@@ -47,11 +50,32 @@ def has_lyrics(low: Column) -> Column:
     return reduce(lambda a, b: a | b, [F.contains(low, F.lit(x)) for x in LYRIC_MARKERS])
 
 
+def passes_stage(
+    stage: str, threshold: float, support: Column, against: Column, agreeing: Column, silent: Column, lone: Column
+) -> Column:
+    """The rule of a stage; see `score_terms`."""
+    if stage == "screen":
+        return (support >= threshold) & (support >= against)
+    passes = (support - against >= threshold) | (silent & (agreeing >= 2) & (support > against))
+    return passes & ~lone
+
+
+def probability(evidence: Column, threshold: float) -> Column:
+    return 1.0 / (1.0 + F.exp(F.lit(threshold - 0.5) - evidence))
+
+
+def rationale(hits: Column) -> Column:
+    """The terms that spoke for a row; null if none did."""
+    return F.when(F.size(hits) > 0, F.concat(F.lit("signals: "), F.array_join(hits, ", ")))
+
+
 def find_terms(df: DataFrame, lexicon: Lexicon, cols: Sequence[str] = TEXT_COLS) -> DataFrame:
     """Replace the texts by what the rules need to know of them.
 
     That is one array of distinct lexicon terms per field (lyrics do not
     count), whether the transcript says nothing, and the description's hashtags.
+    If the lexicon has ``tag_words``, a tag made up of these and the lexicon's words
+    is read as its parts too.
     The result goes through a one-row `inline`: Spark does not push a later
     filter on a label below it, which would cut every text a second time.
     """
@@ -62,9 +86,18 @@ def find_terms(df: DataFrame, lexicon: Lexicon, cols: Sequence[str] = TEXT_COLS)
     stems = sorted({*words, *anchors.values()})
     lyrics = has_lyrics(_low(TRANSCRIPT)) if TRANSCRIPT in fields else F.lit(False)
 
+    compound = bool(lexicon.tag_words) and DESCRIPTION in fields
+    joined = sorted({*lexicon.tag_words, *(w for t in lexicon.terms() for w in t.split(" "))})
+
+    def is_known(word: Column) -> Column:
+        return F.array_contains(_strings(joined), word)
+
     def tokens(field: str) -> Column:
         """The words of a field; none if, with a small lexicon, no term can be among them."""
         cut = F.split(_low(field), BETWEEN_WORDS)
+        if field == DESCRIPTION and compound:
+            apart = F.transform("_parts", lambda p: F.concat(F.array(F.lit(APART)), p))
+            cut = F.concat(cut, F.flatten(apart))
         if len(stems) > FEW_STEMS:
             return cut
         possible = reduce(lambda a, b: a | b, [F.contains(_low(field), F.lit(x)) for x in stems])
@@ -97,12 +130,18 @@ def find_terms(df: DataFrame, lexicon: Lexicon, cols: Sequence[str] = TEXT_COLS)
     silent = ~nonblank(F.col(TRANSCRIPT)) | lyrics if TRANSCRIPT in fields else F.lit(True)
     facts.append(silent.alias(SILENT))
     if lexicon.hashtag_signal and DESCRIPTION in fields:
-        tags = F.regexp_extract_all(_low(DESCRIPTION), F.lit(HASHTAG), F.lit(1))
-        has_tags = F.contains(_low(DESCRIPTION), F.lit("#"))
-        facts.append(F.when(has_tags, tags).otherwise(_strings([])).alias(TAGS))
+        parts = F.flatten("_parts") if compound else _strings([])
+        facts += [F.col("_tags").alias(TAGS), F.concat("_tags", parts).alias(TAG_WORDS)]
+    cut = df.withColumns({f"_low_{f}": F.lower(F.coalesce(F.col(f), F.lit(""))) for f in fields})
+    if DESCRIPTION in fields and (compound or lexicon.hashtag_signal):
+        cut = cut.withColumn("_tags", hashtags(_low(DESCRIPTION)))
+    if compound:
+        longest = max(map(len, joined))
+        cut = cut.withColumn(
+            "_parts", F.transform("_tags", lambda t: compound_parts(t, is_known, longest))
+        ).withColumn("_parts", F.filter("_parts", lambda p: F.size(p) > 0))
     cut = (
-        df.withColumns({f"_low_{f}": F.lower(F.coalesce(F.col(f), F.lit(""))) for f in fields})
-        .withColumns({f"_tokens_{f}": tokens(f) for f in fields})
+        cut.withColumns({f"_tokens_{f}": tokens(f) for f in fields})
         .withColumns(
             {f"_stems_{f}": F.array_intersect(f"_tokens_{f}", _strings(stems)) for f in fields}
         )
@@ -115,7 +154,7 @@ def find_terms(df: DataFrame, lexicon: Lexicon, cols: Sequence[str] = TEXT_COLS)
 
 def found_columns(df: DataFrame) -> list[str]:
     """The columns that `find_terms` added."""
-    return [c for c in df.columns if c.startswith("_found_") or c in (SILENT, TAGS)]
+    return [c for c in df.columns if c.startswith("_found_") or c in (SILENT, TAGS, TAG_WORDS)]
 
 
 def _n_terms(found: Column, terms: Sequence[str]) -> Column:
@@ -172,30 +211,21 @@ def score_terms(
         }
     )
     support, against = F.col("support"), F.col("against")
-    if stage == "screen":
-        passes = (support >= threshold) & (support >= against)
-    else:
-        agreeing = reduce(
-            add, [(_n_terms(_found(f), positive) > 0).cast("int") for f in fields]
-        )
-        passes = (support - against >= threshold) | (
-            F.col(SILENT) & (agreeing >= 2) & (support > against)
+    agreeing = reduce(add, [(_n_terms(_found(f), positive) > 0).cast("int") for f in fields])
+    lone = F.lit(False)
+    if lexicon.hashtag_signal and TAGS in df.columns:
+        conditions = lexicon.signal(lexicon.hashtag_signal).words
+        lone = (
+            (F.size(TAGS) >= MANY_HASHTAGS)
+            & (_n_terms(F.col(TAG_WORDS), conditions) == 1)
+            & (F.size("_hits") == 1)
         )
-        if lexicon.hashtag_signal and TAGS in df.columns:
-            conditions = lexicon.signal(lexicon.hashtag_signal).words
-            lone = (
-                (F.size(TAGS) >= MANY_HASHTAGS)
-                & (_n_terms(F.col(TAGS), conditions) == 1)
-                & (F.size("_hits") == 1)
-            )
-            passes = passes & ~lone
+    passes = passes_stage(stage, threshold, support, against, agreeing, F.col(SILENT), lone)
     return scored.withColumns(
         {
             "label": F.when(passes, F.lit("TRUE")).otherwise(F.lit("FALSE")),
-            "prob_true": 1.0 / (1.0 + F.exp(F.lit(threshold - 0.5) - F.col("_evidence"))),
-            "rationale": F.when(
-                F.size("_hits") > 0, F.concat(F.lit("signals: "), F.array_join("_hits", ", "))
-            ),
+            "prob_true": probability(F.col("_evidence"), threshold),
+            "rationale": rationale(F.col("_hits")),
         }
     ).drop("_all", "_evidence", "_hits")
 

@@ -24,11 +24,13 @@ def signal_cascade(
     The gate between the stages looks at a column of the same row, so with a
     row function no join and no shuffle is needed: one scan cuts the texts once
     and every rule reads the terms found. Failed rows are ``SKIPPED`` in both
-    stages; rows that the screen rejects stay null in the second.
+    stages; rows that the screen rejects stay null in the second. Compound hashtags
+    are cut by the words of all models together.
     """
     everything = Lexicon(
         tuple(s for _, scorer in models for s in scorer.lexicon.signals),
         next((x.lexicon.hashtag_signal for _, x in models if x.lexicon.hashtag_signal), None),
+        tuple(dict.fromkeys(w for _, x in models for w in x.lexicon.tag_words)),
     )
     failed = is_failed(videos)
     rows = find_terms(videos, everything, cols)

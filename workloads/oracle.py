@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from screenflow.lexicon import MENTAL_HEALTH, TAG_WORDS
 from screenflow.spec import CLASSIFY, SCREEN, StageSpec
 from workloads import models as m
 from workloads import views as v
@@ -163,6 +164,97 @@ def notices() -> str:
         from weighed"""
 
 
+# --- lexicons: found(url, field, term, signal, screen, classify, weight) and facts(url, silent, n_tags) -----
+
+
+def stage_rules(stage: str, at: float, lone: str = "false") -> str:
+    """Labels of a stage; ``lone`` may use the number of condition tags and of hits."""
+    decided = "support >= {0} and support >= against" if stage == "screen" else (
+        f"(support - against >= {{0}} or (silent and agreeing >= 2 and support > against)) and not ({lone})")
+    return f"""select f.url, '{stage}' as stage, case when {decided.format(at)} then 'TRUE' else 'FALSE' end as label,
+            round(1.0 / (1.0 + exp(least({at - 0.5} - evidence, 700.0))), 9) as prob_true,
+            case when len(hits) > 0 then concat('signals: ', array_to_string(hits, ', ')) end as rationale
+        from (
+            select x.url, any_value(silent) as silent, any_value(n_tags) as n_tags,
+                coalesce(sum(weight * {stage} * case when field = 'description' then 2.0 else 1.0 end) filter (field <> '#'), 0.0) as evidence,
+                count(distinct field) filter (field <> '#' and {stage} = 1) as agreeing,
+                coalesce(list_sort(list_distinct(list(term) filter (field <> '#' and {stage} = 1))), []) as hits,
+                count(distinct term) filter (field = '#' and signal = 'named_condition' and not contains(term, ' ')) as conditions
+            from facts x left join found o on x.url = o.url group by x.url) f
+        join (
+            select x.url, coalesce(sum(weight) filter ({stage} = 1), 0.0) as support, coalesce(sum(weight) filter ({stage} = -1), 0.0) as against
+            from facts x left join (select distinct url, term, signal, screen, classify, weight from found where field <> '#') o on x.url = o.url
+            group by x.url) s on f.url = s.url"""
+
+
+def both_rules(screen_at: float, classify_at: float, lone: str = "false") -> str:
+    return f"{stage_rules('screen', screen_at)} union all {stage_rules('classify', classify_at, lone)}"
+
+
+FIELD_TEXTS = "(values ('description'), ('transcript'), ('suggested_words')) n(field)"
+FIELD_LOW = "lower(coalesce(case field when 'description' then description when 'transcript' then transcript else suggested_words end, ''))"
+LYRICS = "(contains({0}, '♪') or contains({0}, '♫') or contains({0}, '(singing)') or contains({0}, '(music)'))"
+SILENCE = f"coalesce({strip('transcript')}, '') = '' or {LYRICS.format('lower(transcript)')}"
+
+TAGS = f"""tagged as (select {", ".join(f"{e} as {c}" for c, e in v.TAGGED.items())} from documents),
+    tags as (select url, unnest(regexp_extract_all(lower(coalesce(description, '')), '#([\\p{{L}}\\p{{N}}_]+)', 1)) as tag from tagged),
+    known as (select distinct word from (values {", ".join(f"({lit(w)})" for w in sorted({*TAG_WORDS, *(x for t in MENTAL_HEALTH.terms() for x in t.split(" "))}))}) k(word)),
+    ways as (
+        with recursive way(tag, reached, parts) as (
+            select distinct tag, cast(0 as bigint), cast([] as varchar[]) from tags
+            union all
+            select w.tag, w.reached + length(k.word), list_append(w.parts, k.word)
+            from way w join known k on substr(w.tag, w.reached + 1, length(k.word)) = k.word and w.reached < length(w.tag))
+        select tag, parts from way where reached = length(tag) and len(parts) > 1),
+    broken as (
+        select tag, parts from ways
+        qualify row_number() over (partition by tag order by len(parts), list_transform(list_reverse(parts), lambda p: -length(p))) = 1)"""
+
+DEFAULT_TERMS = ", ".join(
+    f"({lit(s.name)}, {lit(t)}, {s.screen}, {s.classify}, cast({s.weight} as double))" for s in MENTAL_HEALTH.signals for t in s.terms
+)
+DEFAULT_RULES = f"""with {TAGS},
+    lexicon as (select * from (values {DEFAULT_TERMS}) l(signal, term, screen, classify, weight)),
+    cut as (
+        select url, field, {FIELD_LOW} as low from tagged cross join {FIELD_TEXTS}),
+    texts as (
+        select url, field, concat(' ', array_to_string(regexp_split_to_array(low, '{NOT_WORD}'), ' '), ' ') as line
+        from cut where not (field = 'transcript' and {LYRICS.format('low')})
+        union all select url, 'description', concat(' ', array_to_string(parts, ' '), ' ') from tags join broken using (tag)
+        union all select url, '#', concat(' ', unnest(parts), ' ') from tags join broken using (tag)
+        union all select url, '#', concat(' ', tag, ' ') from tags),
+    found as (select distinct url, field, l.* from texts join lexicon l on contains(line, concat(' ', term, ' '))),
+    facts as (
+        select url, {SILENCE} as silent, (select count(*) from tags where tags.url = t.url) as n_tags from tagged t)
+    {both_rules(1.0, 2.0, 'n_tags >= 5 and conditions = 1 and len(hits) = 1')}"""
+
+
+def corpus_runs(table: str, n: int) -> str:
+    run = " || ' ' || ".join(["word", *(f"lead(word, {k}) over o" for k in range(1, n))])
+    return f"""select {run} as term from (
+            select r, unnest(range(len(w))) as i, unnest(w) as word
+            from (select row_number() over () as r, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '{NOT_WORD}'), lambda x: x <> '') as w from {table}))
+        {"window o as (partition by r order by i) qualify term is not null" if n > 1 else ""}"""
+
+
+LARGE_LEXICON = f"""{with_(VIDEOS)},
+    lexicon as (
+        select term, {", ".join(f"{e} as {c}" for c, e in v.CORPUS_TERMS.items())}
+        from (select distinct term from (
+            ({corpus_runs('documents', 1)}) union all ({corpus_runs('conversations', 2)}) union all ({corpus_runs('benchmark', 3)})))
+        where length(term) > 2),
+    cut as (select url, field, {FIELD_LOW} as low from videos cross join {FIELD_TEXTS}),
+    words as (
+        select url, field, unnest(range(len(w))) as i, unnest(w) as word
+        from (select url, field, regexp_split_to_array(low, '{NOT_WORD}') as w from cut where not (field = 'transcript' and {LYRICS.format('low')}))),
+    runs as (
+        select url, field, unnest([word, word || ' ' || lead(word, 1) over o, word || ' ' || lead(word, 1) over o || ' ' || lead(word, 2) over o]) as run
+        from words window o as (partition by url, field order by i)),
+    found as (select distinct url, field, l.* from runs join lexicon l on run = term),
+    facts as (select url, {SILENCE} as silent, 0 as n_tags from videos)
+    {both_rules(m.SCREEN_AT, m.CLASSIFY_AT)}"""
+
+
 # --- prompts ----------------------------------------------------------------
 
 TRAIN = f"""{with_(VIDEOS, TRUTH)},
@@ -283,6 +375,12 @@ def loaded(c: str) -> str:
 
 
 ORACLE = {
+    "signal_rules": DEFAULT_RULES,
+    "table_rules": DEFAULT_RULES,
+    "hashtag_parts": f"""with {TAGS}
+        select url, tag, coalesce(array_to_string(parts, ' '), '') as parts, cast(coalesce(len(parts), 0) as int) as n_parts
+        from tags left join broken using (tag)""",
+    "large_lexicon": LARGE_LEXICON,
     "scan_videos": f"""{with_(VIDEOS)}
         select url, description, transcript, suggested_words, scrape_status from videos""",
     "ground_truth_load": f"""{with_(VIDEOS, TRUTH)}

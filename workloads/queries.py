@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from screenflow.functions.hashtags import compound_parts, hashtags
 from screenflow.functions.posts import extract_label, extract_post, extract_reasoning, source_key
 from screenflow.functions.replies import (
     parse_json_reply,
@@ -18,11 +19,13 @@ from screenflow.functions.replies import (
     prob_true,
 )
 from screenflow.functions.strings import row_text
+from screenflow.lexicon import MENTAL_HEALTH, TAG_WORDS
 from screenflow.operators import compare, convert, prompt, resume, rows, truth
 from screenflow.operators import evaluate as ev
 from screenflow.operators.lookup import hot_keys, join_lookup
-from screenflow.operators.score import BatchScorer, SignalScorer
+from screenflow.operators.score import BatchScorer, SignalScorer, TermTableScorer
 from screenflow.operators.signals import find_terms, score_terms, signal_scores
+from screenflow.operators.term_join import TermTable
 from screenflow.plans.cascade import signal_cascade
 from screenflow.plans.evaluation import evaluate_stage
 from screenflow.plans.screening import labels_for_rows, run_stage
@@ -290,6 +293,41 @@ def classify(spark: SparkSession, folder: str) -> DataFrame:
     return _scores(spark, folder, CLASSIFY)
 
 
+def _both_stages(label, texts: DataFrame) -> DataFrame:
+    found = [label(texts, stage).select("url", F.lit(stage.name).alias("stage"), "label", "prob_true", "rationale") for stage in (SCREEN, CLASSIFY)]
+    return _rounded(found[0].union(found[1]), "prob_true")
+
+
+def signal_rules(spark: SparkSession, folder: str) -> DataFrame:
+    """Both stages over the default lexicon: negatives, lyrics, agreeing fields, lone and compound hashtags."""
+    return _both_stages(lambda texts, stage: SignalScorer().label(texts, stage, m.FULL), v.tagged(spark, folder))
+
+
+def hashtag_parts(spark: SparkSession, folder: str) -> DataFrame:
+    """The words that each compound hashtag of the texts joins."""
+    words = sorted({*TAG_WORDS, *(w for t in MENTAL_HEALTH.terms() for w in t.split(" "))})
+    known = F.split(F.lit(" ".join(words)), " ")
+    tags = v.tagged(spark, folder).select("url", F.explode(hashtags(F.lower(F.coalesce("description", F.lit(""))))).alias("tag"))
+    parts = compound_parts(F.col("tag"), lambda w: F.array_contains(known, w), max(map(len, words)))
+    return tags.select("url", "tag", F.array_join(parts, " ").alias("parts"), F.size(parts).alias("n_parts"))
+
+
+def large_lexicon(spark: SparkSession, folder: str) -> DataFrame:
+    """Both stages over a lexicon of tens of thousands of words and phrases, a table."""
+    lexicon = TermTable.store(v.corpus_terms(spark, folder))
+    scorer = TermTableScorer(lexicon, m.SCREEN_AT, m.CLASSIFY_AT)
+    return _both_stages(lambda texts, stage: scorer.label(texts, stage, m.FULL), v.videos(spark, folder).select("url", *TEXT_COLS))
+
+
+def table_rules(spark: SparkSession, folder: str) -> DataFrame:
+    """`signal_rules` once more, with the default lexicon and its tag words as tables."""
+    terms = [(s.name, t, s.screen, s.classify, s.weight) for s in MENTAL_HEALTH.signals for t in s.terms]
+    table = spark.createDataFrame(terms, "signal string, term string, screen int, classify int, weight double")
+    words = spark.createDataFrame([(w,) for w in TAG_WORDS], "word string")
+    scorer = TermTableScorer(TermTable.store(table, MENTAL_HEALTH.hashtag_signal, words))
+    return _both_stages(lambda texts, stage: scorer.label(texts, stage, m.FULL), v.tagged(spark, folder))
+
+
 def cascade(spark: SparkSession, folder: str) -> DataFrame:
     wide = signal_cascade(v.videos(spark, folder), [(m.FULL, m.SCORER)])
     return _rounded(wide, m.FULL.prob_name)
@@ -648,4 +686,8 @@ QUERIES = {
     "evaluate_run": evaluate_run,
     "incremental_two_pass": incremental_two_pass,
     "parse_other_labels": parse_other_labels,
+    "signal_rules": signal_rules,
+    "table_rules": table_rules,
+    "hashtag_parts": hashtag_parts,
+    "large_lexicon": large_lexicon,
 }

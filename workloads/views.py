@@ -8,6 +8,9 @@ twice: with the library in `queries`, and in plain SQL in `oracle`.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from screenflow.lexicon import MENTAL_HEALTH, TAG_WORDS
 
 VIDEOS = {
     "url": "concat('doc:', doc_id)",
@@ -21,6 +24,24 @@ COPIES = VIDEOS | {
     "description": "case when doc_id % 2 = 0 then 'an idiot' when doc_id % 3 <> 2 then text end",
     "scrape_status": "case when doc_id % 5 = 0 then 'error' else 'ok' end",
 }
+
+
+def _one_of(words, place: str) -> str:
+    return f"split_part('{','.join(words)}', ',', cast({place} % {len(words)} + 1 as int))"
+
+
+# Documents with terms of the default lexicon, hashtags and lyrics put in by their ids.
+TAGGED = {
+    "url": "concat('doc:', doc_id)",
+    "description": f"""case when doc_id % 5 = 0 then null else concat(
+        coalesce(text, ''), ' ', {_one_of(MENTAL_HEALTH.terms(), 'doc_id')}, ' #',
+        replace({_one_of(MENTAL_HEALTH.signals[0].terms, 'doc_id')}, ' ', ''), {_one_of(TAG_WORDS, 'floor(doc_id / 3)')},
+        case doc_id % 4 when 0 then concat({_one_of(TAG_WORDS, 'doc_id')}, '_x') when 1 then 'zzz' else '' end,
+        case when doc_id % 3 = 0 then ' #dog #cat #fun #thebrain #summer' else '' end) end""",
+    "transcript": """case doc_id % 7 when 0 then concat('♪ depression ', text) when 1 then text
+        when 2 then concat(text, ' my diagnosis and PTSD') when 3 then '  ' else null end""",
+    "suggested_words": f"concat(lang, ' ', {_one_of(MENTAL_HEALTH.terms(), 'doc_id * 7')})",
+}
 TRUTH = {
     "url": "concat('doc:', doc_id)",
     "is_superficial_mental_health_handcoded": "case when toxic = 1 then 'TRUE' else 'FALSE' end",
@@ -75,6 +96,15 @@ BENCHMARK = {
 }
 
 
+# The signal, polarity and weight of a term of the corpus.
+CORPUS_TERMS = {
+    "signal": "concat('s', length(term) % 5)",
+    "screen": "cast(case length(term) % 3 when 0 then 1 when 1 then -1 else 0 end as int)",
+    "classify": "cast(case length(term) % 4 when 0 then 1 when 3 then -1 else 0 end as int)",
+    "weight": "0.25e0 * (1 + length(term) % 4)",
+}
+
+
 def _view(spark: SparkSession, folder: str, table: str, columns: dict[str, str]) -> DataFrame:
     rows = spark.read.parquet(f"{folder}/{table}.parquet")
     return rows.selectExpr(*[f"{e} as {c}" for c, e in columns.items()])
@@ -84,6 +114,23 @@ def videos(spark: SparkSession, folder: str) -> DataFrame:
     return _view(spark, folder, "documents", VIDEOS)
 
 
+def tagged(spark: SparkSession, folder: str) -> DataFrame:
+    return _view(spark, folder, "documents", TAGGED)
+
+
+def corpus_terms(spark: SparkSession, folder: str) -> DataFrame:
+    """A lexicon out of the tables: words of the documents, pairs of the conversations, triples of the benchmark."""
+
+    def runs(table: str, n: int) -> DataFrame:
+        words = F.filter(F.split(F.lower(F.coalesce("text", F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+        texts = spark.read.parquet(f"{folder}/{table}.parquet").select(words.alias("w")).filter(F.size("w") >= n)
+        at = F.sequence(F.lit(1), F.size("w") - n + 1)
+        return texts.select(F.explode(F.transform(at, lambda i: F.array_join(F.slice("w", i, n), " "))).alias("term"))
+
+    terms = runs("documents", 1).union(runs("conversations", 2)).union(runs("benchmark", 3)).distinct()
+    return terms.filter("length(term) > 2").selectExpr("*", *[f"{e} as {c}" for c, e in CORPUS_TERMS.items()])
+
+
 def videos_with_copies(spark: SparkSession, folder: str) -> DataFrame:
     """Every key twice; every other copy has another description, and some copies failed."""
     return videos(spark, folder).unionByName(_view(spark, folder, "documents", COPIES))
