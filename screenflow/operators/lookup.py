@@ -10,16 +10,6 @@ from pyspark.sql import functions as F
 LEAST_HOT_KEYS = 100
 SAMPLE_ROWS = 200_000
 SAMPLE_PER_KEY = 100
-MAX_BROADCAST_KEYS = 200_000
-
-
-def broadcast_if_few(keys: DataFrame, limit: int = MAX_BROADCAST_KEYS) -> DataFrame:
-    """Broadcast a table of keys once it has been counted and found small.
-
-    The planner cannot know this beforehand for the result of a join, and by
-    the time it has measured it the other side has been shuffled.
-    """
-    return F.broadcast(keys) if keys.count() <= limit else keys
 
 
 def hot_keys(rows: DataFrame, key: str = "url") -> list[str]:

@@ -3,31 +3,26 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from screenflow.functions.strings import named
-from screenflow.operators.lookup import broadcast_if_few, join_lookup
 from screenflow.operators.rows import is_failed
+from screenflow.sources.scratch import stored
 from screenflow.spec import SKIPPED
 
 
-def pending_rows(
-    rows: DataFrame, done: DataFrame, key: str = "url", hot: Sequence[str] | None = None
-) -> DataFrame:
+def pending_rows(rows: DataFrame, done: DataFrame, key: str = "url") -> DataFrame:
     """Rows whose key has no result yet.
 
-    The anti join moves distinct keys only, and the texts are met by a semi join
-    afterwards. Late in a run few keys are pending: they are broadcast, and the
-    texts are not shuffled at all.
+    The anti join moves distinct keys only. What it leaves is stored, so the planner
+    knows its size when the texts meet it: late in a run few keys are pending, they are
+    broadcast, and the texts are not shuffled at all.
     """
-    if done.isEmpty():
-        return rows
     pending = rows.select(key).distinct().join(done.select(key), key, "left_anti")
-    return join_lookup(rows, broadcast_if_few(pending), "left_semi", key, hot)
+    return rows.join(stored(pending, "pending"), key, "left_semi")
 
 
 def row_rank(df: DataFrame, ord_col: str | None, cols: list[str]) -> Column:
@@ -50,9 +45,27 @@ def one_per_key(df: DataFrame, key: str = "url", rank: str = "_rank") -> DataFra
     )
 
 
-def hash_batches(df: DataFrame, n_batches: int, key: str = "url") -> DataFrame:
+def one_row_per_key(df: DataFrame, key: str = "url", rank: str = "_rank") -> DataFrame:
+    """`one_per_key` for rows with large texts: only those of repeated keys are grouped.
+
+    The repeated keys are found on the key column and stored; where there are none, or
+    few enough to broadcast, no other text is shuffled.
+    """
+    repeated = df.groupBy(key).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(key)
+    repeated = stored(repeated, "repeated")
+    if repeated.isEmpty():
+        return df.drop(rank)
+    single = df.join(repeated, key, "left_anti").drop(rank)
+    return single.unionByName(one_per_key(df.join(repeated, key, "left_semi"), key, rank))
+
+
+def batch_of(n_batches: int, key: str = "url") -> Column:
     """Even batches by key hash; the number needs no sort and no count."""
-    return df.withColumn("batch_id", F.pmod(F.xxhash64(key), F.lit(n_batches)).cast("bigint"))
+    return F.pmod(F.xxhash64(key), F.lit(n_batches)).cast("bigint")
+
+
+def hash_batches(df: DataFrame, n_batches: int, key: str = "url") -> DataFrame:
+    return df.withColumn("batch_id", batch_of(n_batches, key))
 
 
 def stage_batches(

@@ -107,8 +107,30 @@ class TermTableScorer:
         )
 
 
+def requests(texts: pd.Series, token_budget: int | None) -> Iterator[pd.Series]:
+    """Cut texts, in order, into requests of at most ``token_budget`` estimated tokens.
+
+    A token is taken as four characters. A text beyond the budget is a request of its own.
+    """
+    if token_budget is None:
+        yield texts
+        return
+    start, used = 0, 0
+    for at, tokens in enumerate((texts.str.len() // 4).tolist()):
+        if at > start and used + tokens > token_budget:
+            yield texts.iloc[start:at]
+            start, used = at, 0
+        used += tokens
+    yield texts.iloc[start:]
+
+
 def map_texts(
-    rows: DataFrame, make: ScorerFactory, system_prompt: str, text_col: str, carry: Sequence[str]
+    rows: DataFrame,
+    make: ScorerFactory,
+    system_prompt: str,
+    text_col: str,
+    carry: Sequence[str],
+    token_budget: int | None = None,
 ) -> DataFrame:
     """Run a batch function over ``text_col``; rows with a null text are passed by."""
     kept = rows.select(*carry, text_col)
@@ -124,7 +146,10 @@ def map_texts(
         for batch in batches:
             out = batch[carried].copy()
             wanted = batch[text_col].notna()
-            scored = score(batch.loc[wanted, text_col]) if wanted.any() else None
+            scored = None
+            if wanted.any():
+                parts = [score(part) for part in requests(batch.loc[wanted, text_col], token_budget)]
+                scored = parts[0] if len(parts) == 1 else pd.concat(parts, ignore_index=True)
             for name, kind in produced.items():
                 empty = float("nan") if kind == "float" else None
                 column = pd.Series(
@@ -143,12 +168,15 @@ class BatchScorer:
     """Adapter for a model client.
 
     ``make`` must be picklable. ``partitions`` bounds how many clients run at a
-    time and spreads the rows evenly over them. A row whose call failed has an
-    ``error`` and no label; it is not stored and so is retried by the next run.
+    time and spreads the rows evenly over them. With ``token_budget``, the texts of a
+    partition are handed over in requests of at most as many estimated tokens. A row
+    whose call failed has an ``error`` and no label; it is stored as an attempt and
+    retried by the next run, up to ``Settings.max_tries``.
     """
 
     make: ScorerFactory
     partitions: int | None = None
+    token_budget: int | None = None
     row_function = False
 
     def label(
@@ -166,7 +194,7 @@ class BatchScorer:
         if self.partitions:
             spread = ["url"] if "url" in rows.columns else []
             routed = routed.repartition(self.partitions, *spread)
-        scored = map_texts(routed, self.make, system_prompt, "_text", [*carry, PRESET])
+        scored = map_texts(routed, self.make, system_prompt, "_text", [*carry, PRESET], self.token_budget)
         parsed = parse_reply(F.col("reply"), settings.label_set(), settings.rationale)
         return (
             scored.withColumn("_parsed", F.when(F.col("reply").isNotNull(), parsed))

@@ -2,22 +2,25 @@
 
 from __future__ import annotations
 
+import math
 import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from screenflow.operators.lookup import MAX_BROADCAST_KEYS, hot_keys, join_lookup
-from screenflow.operators.resume import one_per_key, row_rank, stage_batches
+from screenflow.operators.lookup import join_lookup
+from screenflow.operators.resume import batch_of, one_per_key, one_row_per_key, row_rank, stage_batches
 from screenflow.operators.rows import is_failed, matches
 from screenflow.operators.score import PRESET, Scorer
 from screenflow.sources.metadata import require_key
-from screenflow.sources.results import read_results, write_results
-from screenflow.sources.scratch import scratch_folder
+from screenflow.sources.results import read_attempts, read_commits, read_results, write_results
+from screenflow.sources.scratch import scratch_folder, stored
 from screenflow.spec import CLASSIFY, SCREEN, SKIPPED, Settings, StageSpec
 
 FAILED, WANTED, GATED, ALL_FAILED = "_failed", "_wanted", "_gated", "_all_failed"
+# Rows that a model labels between two commits, unless a run says otherwise.
+COMMIT_ROWS = 1_000_000
 
 
 def prepare_rows(videos: DataFrame, settings: Settings, ord_col: str | None = None) -> DataFrame:
@@ -38,7 +41,7 @@ def open_keys(rows: DataFrame, done: DataFrame, gate: DataFrame | None) -> DataF
     """Keys without a result that this stage has to look at, and whether the gate let them in.
 
     A key is marked as failed, whatever the gate says, if all its rows failed.
-    Only keys and flags move here.
+    Only keys and flags of ``rows`` move here, to the buckets of the results, which stay.
     """
     keys = rows.groupBy("url").agg(F.bool_and(FAILED).alias(ALL_FAILED))
     pending = keys.join(done.select("url"), "url", "left_anti")
@@ -53,23 +56,34 @@ def open_keys(rows: DataFrame, done: DataFrame, gate: DataFrame | None) -> DataF
     )
 
 
-def choose(
-    rows: DataFrame, keys: DataFrame | None, hot: Sequence[str] | None = None
-) -> DataFrame:
+def choose(rows: DataFrame, keys: DataFrame | None) -> DataFrame:
     """The rows that are due: those of failed keys to be marked, and wanted ones behind the gate.
 
-    Without ``keys`` every row is looked at; a key's failed rows rank last there.
+    Without ``keys`` every row is looked at; a key's failed rows rank last there. Stored
+    ``keys`` are broadcast if they are small; else both sides are shuffled and the
+    adaptive join splits frequent keys.
     """
     if keys is None:
         due = rows.filter(F.col(FAILED) | F.col(WANTED))
     else:
-        known = join_lookup(rows, keys, "inner", hot=hot)
+        known = rows.join(keys, "url")
         marked = F.col(FAILED) & F.col(ALL_FAILED)
         due = known.filter(marked | (~F.col(FAILED) & F.col(WANTED) & F.col(GATED)))
         due = due.drop(GATED, ALL_FAILED)
     return due.drop(FAILED, WANTED)
 
 
+def settled(
+    spark: SparkSession, results_path: str, stage: StageSpec, settings: Settings
+) -> DataFrame:
+    """Keys that are not tried again: those with a label, and those that failed ``max_tries`` times."""
+    done = read_results(spark, results_path, stage.name, settings.model_label).select("url")
+    if settings.max_tries is None:
+        return done
+    tries = read_attempts(spark, results_path, stage.name, settings.model_label)
+    return done.union(tries.filter(F.col("try") == settings.max_tries).select("url"))
+
+
 def passed_gate(
     spark: SparkSession, results_path: str, stage: StageSpec, settings: Settings
 ) -> DataFrame | None:
@@ -90,49 +104,49 @@ def run_stage(
     *,
     system_prompt: str = "",
     ord_col: str | None = None,
-    n_batches: int = 1,
+    n_batches: int | None = None,
+    commit_rows: int = COMMIT_ROWS,
     run_id: str | None = None,
     unique_keys: bool = False,
 ) -> str:
     """Score what is pending for this stage and model; returns the run id.
 
-    With ``n_batches`` > 1 the pending rows are staged once, cut by key hash,
-    and every batch is committed on its own: a run that dies loses one batch.
-    ``unique_keys`` promises that no key occurs twice and saves a shuffle.
+    A row function labels in one scan of the texts that are due, and its labels are
+    committed at once, in ``n_batches`` (default 1). Any other scorer commits after about
+    ``commit_rows`` rows (or in ``n_batches``): the due rows are staged once, cut by key
+    hash, and a run that dies loses one batch. ``unique_keys`` promises that no key
+    occurs twice and saves a shuffle.
     """
     run_id = run_id or uuid.uuid4().hex[:12]
-    done = read_results(spark, results_path, stage.name, settings.model_label)
-    if not done.filter(F.col("run_id") == run_id).isEmpty():
+    commits = read_commits(spark, results_path, stage.name, settings.model_label)
+    if not commits.filter(F.col("run_id") == run_id).isEmpty():
         raise ValueError(f"run {run_id!r} exists; a new run needs a new id")
     gate = passed_gate(spark, results_path, stage, settings)
     rows = prepare_rows(videos, settings, ord_col)
-    hot: Sequence[str] = []
-    keys, few = None, True
-    if gate is not None or settings.row_filter is not None or not done.isEmpty():
-        path = scratch_folder(spark, "keys")
-        open_keys(rows, done, gate).write.parquet(path)
-        keys = spark.read.parquet(path)
-        few = keys.count() <= MAX_BROADCAST_KEYS
-        if few:
-            keys = F.broadcast(keys)
-        elif not unique_keys:
-            hot = hot_keys(videos)
+    keys = None
+    if gate is not None or settings.row_filter is not None or not commits.isEmpty():
+        keys = stored(open_keys(rows, settled(spark, results_path, stage, settings), gate), "keys")
+    due = choose(rows, keys)
 
     def label(part: DataFrame) -> DataFrame:
         return scorer.label(part, stage, settings, system_prompt)
 
-    def write(scored: DataFrame, batch_id: int) -> None:
-        write_results(scored, results_path, stage.name, settings.model_label, run_id, batch_id)
+    def write(scored: DataFrame, batch_id: int = 0, **batches) -> None:
+        write_results(
+            scored, results_path, stage.name, settings.model_label, run_id, batch_id, **batches
+        )
 
-    if n_batches == 1 and scorer.row_function:
-        # With many keys it is cheaper to score all rows than to shuffle their texts.
-        scored = label(choose(rows, keys, hot)) if few else choose(label(rows), keys, hot)
-        write(scored if unique_keys else one_per_key(scored), 0)
+    if scorer.row_function:
+        scored = label(due)
+        n = n_batches or 1
+        write(scored if unique_keys else one_per_key(scored), n_batches=n, batch_of=batch_of(n))
         return run_id
-    due = choose(rows, keys, hot)
-    unique = due.drop("_rank") if unique_keys else one_per_key(due)
+    unique = due.drop("_rank") if unique_keys else one_row_per_key(due)
+    if n_batches is None:
+        n_due = videos.count() if keys is None else keys.count()
+        n_batches = max(1, math.ceil(n_due / commit_rows))
     if n_batches == 1:
-        write(label(unique), 0)
+        write(label(unique))
         return run_id
     staged = stage_batches(unique, scratch_folder(spark, "pending"), n_batches)
     for batch_id in range(n_batches):

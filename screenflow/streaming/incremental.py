@@ -8,11 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from screenflow.operators.lookup import broadcast_if_few
-from screenflow.operators.resume import one_per_key
+from screenflow.operators.resume import one_per_key, one_row_per_key
 from screenflow.operators.score import Scorer
 from screenflow.plans.screening import choose, open_keys, passed_gate, prepare_rows
 from screenflow.sources.results import read_results, write_results
+from screenflow.sources.scratch import stored
 from screenflow.spec import Settings, StageSpec
 
 
@@ -38,7 +38,7 @@ def run_incremental(
 
     The stream's checkpoint remembers which files were read. The epoch is the
     batch id, so an epoch that is replayed after a failure replaces its own
-    partition; its rows are compared with all results but that partition.
+    batch; its rows are compared with all results but that batch.
     ``run_id`` names the checkpoint and must stay with it. Files must arrive
     under new names: one that is rewritten in place is not read again. Rows a
     scorer failed on are not stored; `run_stage` over the folder picks them up.
@@ -57,7 +57,7 @@ def run_incremental(
     def score_epoch(arrived: DataFrame, epoch: int) -> None:
         rows = prepare_rows(to_videos(arrived), settings, ord_col)
         # The history meets the keys of the epoch before anything else.
-        arrived_keys = broadcast_if_few(rows.select("url").distinct())
+        arrived_keys = stored(rows.select("url").distinct(), "arrived")
         for each in stages:
             score_stage(arrived.sparkSession, rows, arrived_keys, each, epoch)
 
@@ -78,11 +78,11 @@ def run_incremental(
                     raise RuntimeError(f"rows that stage {each.gate!r} has not looked at; run it first")
             gate = gate.join(arrived_keys, "url", "left_semi")
         prompt = (prompts or {}).get(each.name, system_prompt)
-        due = choose(rows, broadcast_if_few(open_keys(rows, done, gate)))
+        due = choose(rows, stored(open_keys(rows, done, gate), "keys"))
         if scorer.row_function:
             scored = one_per_key(scorer.label(due, each, settings, prompt))
         else:
-            scored = scorer.label(one_per_key(due), each, settings, prompt)
+            scored = scorer.label(one_row_per_key(due), each, settings, prompt)
         write_results(scored, results_path, each.name, settings.model_label, run_id, epoch)
 
     query = (

@@ -51,3 +51,17 @@ def word_scorer(words: tuple[str, ...]):
         return score
 
     return make
+
+
+def failing_scorer(every: int):
+    """A batch scorer that fails on texts whose length is a multiple of ``every``."""
+
+    def make(system_prompt: str):
+        def score(texts: pd.Series) -> pd.DataFrame:
+            size = texts.str.len()
+            error = size.map(lambda n: f"failed on {n} characters" if n % every == 0 else None)
+            return pd.DataFrame({"label": "TRUE", "error": error})
+
+        return score
+
+    return make

@@ -381,6 +381,16 @@ ORACLE = {
         select url, tag, coalesce(array_to_string(parts, ' '), '') as parts, cast(coalesce(len(parts), 0) as int) as n_parts
         from tags left join broken using (tag)""",
     "large_lexicon": LARGE_LEXICON,
+    "committed_batches": f"""{PREDICTED}
+        select p.*, 'first' as run_id, cast(ord % 3 as bigint) as batch_id
+        from predictions p join videos v on p.url = v.url where ord % 3 < 2""",
+    "attempts": f"""{with_(VIDEOS)},
+        sized as (select url, length({ROW_TEXT}) as n from videos where scrape_status is distinct from 'error')
+        select url, cast(case when n % 8 = 0 then 2 else 1 end as bigint) as tries,
+            concat('failed on ', n, ' characters') as last_error, case when n % 8 <> 0 then 'TRUE' end as label
+        from sized where n % 4 = 0""",
+    "resume_buckets": f"""{with_(VIDEOS, TRUTH)}
+        select url, {ROW_TEXT} as text from videos where url not in (select url from truth)""",
     "scan_videos": f"""{with_(VIDEOS)}
         select url, description, transcript, suggested_words, scrape_status from videos""",
     "ground_truth_load": f"""{with_(VIDEOS, TRUTH)}

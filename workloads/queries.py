@@ -6,6 +6,8 @@ sink write to a new folder in the shared scratch storage and read it back.
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,9 +33,9 @@ from screenflow.plans.evaluation import evaluate_stage
 from screenflow.plans.screening import labels_for_rows, run_stage
 from screenflow.sources.benchmark import select_tasks, write_evaluation_file
 from screenflow.sources.metadata import read_metadata, result_listing, sample_slice
-from screenflow.sources.results import read_results, write_results
+from screenflow.sources.results import Place, append_rows, compact_results, read_attempts, read_results, write_results
 from screenflow.sources.runlog import append_run, read_runs
-from screenflow.sources.scratch import scratch_folder
+from screenflow.sources.scratch import scratch_folder, stored
 from screenflow.sources.truth import read_truth_csv, write_csv
 from screenflow.spec import CLASSIFY, SCREEN, SKIPPED, STAGES, TEXT_COLS
 from screenflow.streaming.incremental import run_incremental
@@ -418,6 +420,47 @@ def batch_plan(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def committed_batches(spark: SparkSession, folder: str) -> DataFrame:
+    """Three batches, one of them never committed and one replaced; then compacted into other buckets."""
+    path = scratch_folder(spark, "results")
+    label = m.FULL.model_label
+    staged = _predictions(spark, folder).join(v.videos(spark, folder).select("url", "ord"), "url")
+    staged = stored(staged.withColumn("batch", F.col("ord") % 3), "batches")
+    write_results(staged.filter("batch = 0").limit(5), path, SCREEN.name, label, "first", 0)
+    for batch_id in (0, 1):
+        write_results(staged.filter(F.col("batch") == batch_id), path, SCREEN.name, label, "first", batch_id)
+    died = staged.filter("batch = 2").withColumns(
+        {"scored_at": F.current_timestamp(), "error": F.lit(None).cast("string"), "run_id": F.lit("first"),
+         "batch_id": F.lit(2).cast("bigint"), "attempt": F.lit("died")}
+    )
+    place = Place(path, SCREEN.name, label, 0, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    append_rows(died, place)
+    compact_results(spark, path, SCREEN.name, label, buckets=5)
+    found = read_results(spark, path, SCREEN.name, label)
+    return _rounded(found.select("url", "label", "prob_true", "rationale", "run_id", "batch_id"), "prob_true")
+
+
+def attempts(spark: SparkSession, folder: str) -> DataFrame:
+    """Tries of rows on which a scorer failed: once, or until they are given up after two."""
+    path = scratch_folder(spark, "results")
+    asked = replace(m.FEW, max_tries=2, context_limit=None)
+    for n in (4, 8, 8):
+        run_stage(spark, v.videos(spark, folder), path, SCREEN, asked, BatchScorer(m.failing_scorer(n), token_budget=2000))
+    tries = read_attempts(spark, path, SCREEN.name, asked.model_label)
+    final = read_results(spark, path, SCREEN.name, asked.model_label).select("url", "label")
+    last = tries.groupBy("url").agg(F.max("try").alias("tries"), F.max_by("error", "try").alias("last_error"))
+    return last.join(final, "url", "left").select("url", F.col("tries").cast("bigint").alias("tries"), "last_error", "label")
+
+
+def resume_buckets(spark: SparkSession, folder: str) -> DataFrame:
+    """What is left after a run over part of the table, met by the buckets of the results."""
+    path = scratch_folder(spark, "results")
+    run_stage(spark, v.videos(spark, folder).join(_done(spark, folder).select("url"), "url", "left_semi"), path, SCREEN, m.FULL, m.SCORER)
+    done = read_results(spark, path, SCREEN.name, m.FULL.model_label)
+    pending = resume.pending_rows(v.videos(spark, folder), done)
+    return pending.select("url", row_text(pending.columns, TEXT_COLS).alias("text"))
+
+
 def batch_progress(spark: SparkSession, folder: str) -> DataFrame:
     results = _batches(spark, folder).select(
         "url",
@@ -690,4 +733,7 @@ QUERIES = {
     "table_rules": table_rules,
     "hashtag_parts": hashtag_parts,
     "large_lexicon": large_lexicon,
+    "committed_batches": committed_batches,
+    "attempts": attempts,
+    "resume_buckets": resume_buckets,
 }
