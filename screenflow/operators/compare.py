@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import add
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from screenflow.functions.strings import named
-from screenflow.spec import Settings, StageSpec
+from screenflow.spec import LABELS, Settings, StageSpec
 
 
 def wide_results(
@@ -78,3 +80,42 @@ def model_agreement(
     return wide.withColumns(
         {"n_models": n_models, "n_true": n_true, "agree": F.size(F.array_distinct(labels)) <= 1}
     )
+
+
+def coincidences(results: DataFrame, labels: Sequence[str] = LABELS) -> DataFrame:
+    """``first, second, weight``: how often two models give a row these labels, any number of models.
+
+    A row with m labels counts each ordered pair of them 1 / (m - 1) times; rows with
+    fewer than two, and labels outside ``labels``, are missing values. A row is reduced
+    to its counts of labels, so the pairs are as many as the labels allow.
+    """
+    counted = [F.count_if(F.col("label") == x).alias(f"n{i}") for i, x in enumerate(labels)]
+    per_row = results.groupBy("url").agg(*counted)
+    n = [F.col(f"n{i}") for i in range(len(labels))]
+    m = reduce(add, n)
+    pairs = [
+        F.struct(F.lit(a).alias("first"), F.lit(b).alias("second"), (n[i] * (n[j] - int(i == j)) / (m - 1)).alias("weight"))
+        for i, a in enumerate(labels)
+        for j, b in enumerate(labels)
+    ]
+    return per_row.filter(m > 1).select(F.inline(F.array(*pairs))).groupBy("first", "second").agg(F.sum("weight").alias("weight"))
+
+
+def agreement_alpha(results: DataFrame, labels: Sequence[str] = LABELS) -> DataFrame:
+    """Krippendorff's alpha of nominal labels: one row ``n_values, observed, expected, alpha``.
+
+    ``observed`` and ``expected`` are shares of pairs that disagree; alpha is
+    1 - observed / expected, and null where all labels are the same or nothing is paired.
+    """
+    matrix = coincidences(results, labels)
+    sizes = [F.sum(F.when(F.col("first") == x, F.col("weight")).otherwise(0.0)).alias(f"n{i}") for i, x in enumerate(labels)]
+    apart = F.sum(F.when(F.col("first") != F.col("second"), F.col("weight")).otherwise(0.0)).alias("apart")
+    n = [F.col(f"n{i}") for i in range(len(labels))]
+    total = reduce(add, n)
+    equal = reduce(add, [x * (x - 1) for x in n])
+    expected = F.try_divide(total * (total - 1) - equal, total * (total - 1))
+    observed = F.try_divide(F.col("apart"), total)
+    return matrix.agg(*sizes, apart).select(
+        F.coalesce(total, F.lit(0.0)).alias("n_values"), observed.alias("observed"), expected.alias("expected"),
+        (1 - F.try_divide(observed, expected)).alias("alpha"),
+    )

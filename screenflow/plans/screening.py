@@ -9,24 +9,33 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from screenflow.functions.strings import named
 from screenflow.operators.lookup import join_lookup
 from screenflow.operators.resume import batch_of, one_per_key, one_row_per_key, row_rank, stage_batches
 from screenflow.operators.rows import is_failed, matches
 from screenflow.operators.score import PRESET, Scorer
 from screenflow.sources.metadata import require_key
-from screenflow.sources.results import read_attempts, read_commits, read_results, write_results
+from screenflow.sources.progress import RunProgress
+from screenflow.sources.results import latest, read_attempts, read_commits, read_results, write_results
 from screenflow.sources.scratch import scratch_folder, stored
 from screenflow.spec import CLASSIFY, SCREEN, SKIPPED, Settings, StageSpec
 
 FAILED, WANTED, GATED, ALL_FAILED = "_failed", "_wanted", "_gated", "_all_failed"
+CONTENT = "_content"
+# Stands for every content: results that were stored without one.
+ANY_CONTENT = "*"
 # Rows that a model labels between two commits, unless a run says otherwise.
 COMMIT_ROWS = 1_000_000
 
 
 def prepare_rows(videos: DataFrame, settings: Settings, ord_col: str | None = None) -> DataFrame:
-    """The texts of every row with what decides about it: failed, wanted, rank among copies."""
+    """The texts of every row with what decides about it: failed, wanted, rank among copies.
+
+    With ``rescore_changed`` also a digest of the texts.
+    """
     texts = [c for c in settings.cols if c in videos.columns]
     failed = is_failed(videos)
+    digest = F.md5(F.to_json(F.struct(*[named(c).alias(c) for c in texts])).cast("binary"))
     return require_key(videos).select(
         "url",
         *texts,
@@ -34,6 +43,7 @@ def prepare_rows(videos: DataFrame, settings: Settings, ord_col: str | None = No
         failed.alias(FAILED),
         matches(videos, settings.row_filter).alias(WANTED),
         F.when(failed, F.lit(SKIPPED)).alias(PRESET),
+        *([digest.alias(CONTENT)] if settings.rescore_changed else []),
     )
 
 
@@ -42,9 +52,18 @@ def open_keys(rows: DataFrame, done: DataFrame, gate: DataFrame | None) -> DataF
 
     A key is marked as failed, whatever the gate says, if all its rows failed.
     Only keys and flags of ``rows`` move here, to the buckets of the results, which stay.
+    If the rows have a digest, a key is open too if ``done`` has it with other contents only.
     """
-    keys = rows.groupBy("url").agg(F.bool_and(FAILED).alias(ALL_FAILED))
-    pending = keys.join(done.select("url"), "url", "left_anti")
+    all_failed = F.bool_and(FAILED).alias(ALL_FAILED)
+    if CONTENT in rows.columns:
+        now = F.min_by(CONTENT, "_rank").alias(CONTENT)
+        contents = F.collect_set(F.coalesce("content", F.lit(ANY_CONTENT))).alias("_known")
+        keys = rows.groupBy("url").agg(all_failed, now)
+        met = keys.join(done.groupBy("url").agg(contents), "url", "left")
+        settled_now = F.arrays_overlap("_known", F.array(F.col(CONTENT), F.lit(ANY_CONTENT)))
+        pending = met.filter(~F.coalesce(settled_now, F.lit(False)))
+    else:
+        pending = rows.groupBy("url").agg(all_failed).join(done.select("url"), "url", "left_anti")
     if gate is None:
         return pending.select("url", ALL_FAILED, F.lit(True).alias(GATED))
     passed = gate.select("url", F.lit(True).alias(GATED))
@@ -76,12 +95,15 @@ def choose(rows: DataFrame, keys: DataFrame | None) -> DataFrame:
 def settled(
     spark: SparkSession, results_path: str, stage: StageSpec, settings: Settings
 ) -> DataFrame:
-    """Keys that are not tried again: those with a label, and those that failed ``max_tries`` times."""
-    done = read_results(spark, results_path, stage.name, settings.model_label).select("url")
+    """``url, content`` of what is not tried again: the last label, and what failed ``max_tries`` times."""
+    done = read_results(spark, results_path, stage.name, settings.model_label)
+    if settings.rescore_changed:
+        done = latest(done)
+    done = done.select("url", "content")
     if settings.max_tries is None:
         return done
     tries = read_attempts(spark, results_path, stage.name, settings.model_label)
-    return done.union(tries.filter(F.col("try") == settings.max_tries).select("url"))
+    return done.union(tries.filter(F.col("try") == settings.max_tries).select("url", "content"))
 
 
 def passed_gate(
@@ -91,6 +113,8 @@ def passed_gate(
     if not stage.gate or settings.row_filter is not None:
         return None
     results = read_results(spark, results_path, stage.gate, settings.model_label)
+    if settings.rescore_changed:
+        results = latest(results)
     return results.filter(F.col("label") == "TRUE")
 
 
@@ -108,6 +132,7 @@ def run_stage(
     commit_rows: int = COMMIT_ROWS,
     run_id: str | None = None,
     unique_keys: bool = False,
+    progress_path: str | None = None,
 ) -> str:
     """Score what is pending for this stage and model; returns the run id.
 
@@ -115,7 +140,8 @@ def run_stage(
     committed at once, in ``n_batches`` (default 1). Any other scorer commits after about
     ``commit_rows`` rows (or in ``n_batches``): the due rows are staged once, cut by key
     hash, and a run that dies loses one batch. ``unique_keys`` promises that no key
-    occurs twice and saves a shuffle.
+    occurs twice and saves a shuffle. ``progress_path`` gets a row of counts, rate and
+    time left with every commit.
     """
     run_id = run_id or uuid.uuid4().hex[:12]
     commits = read_commits(spark, results_path, stage.name, settings.model_label)
@@ -131,10 +157,18 @@ def run_stage(
     def label(part: DataFrame) -> DataFrame:
         return scorer.label(part, stage, settings, system_prompt)
 
+    n_due = None
+    if progress_path or not (scorer.row_function or n_batches):
+        n_due = videos.count() if keys is None else keys.count()
+    log = progress_path and RunProgress(spark, progress_path, stage.name, settings.model_label, run_id, n_due)
+
     def write(scored: DataFrame, batch_id: int = 0, **batches) -> None:
-        write_results(
+        sizes = write_results(
             scored, results_path, stage.name, settings.model_label, run_id, batch_id, **batches
         )
+        for batch, (n_rows, n_failed) in sizes.items():
+            if log:
+                log.add(batch, n_rows, n_failed)
 
     if scorer.row_function:
         scored = label(due)
@@ -143,7 +177,6 @@ def run_stage(
         return run_id
     unique = due.drop("_rank") if unique_keys else one_row_per_key(due)
     if n_batches is None:
-        n_due = videos.count() if keys is None else keys.count()
         n_batches = max(1, math.ceil(n_due / commit_rows))
     if n_batches == 1:
         write(label(unique))

@@ -19,12 +19,13 @@ import hashlib
 import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass
+from datetime import datetime
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-ROW_COLS = "url string, label string, prob_true double, rationale string, scored_at timestamp"
+ROW_COLS = "url string, label string, prob_true double, rationale string, scored_at timestamp, content string"
 FILE_SCHEMA = f"{ROW_COLS}, error string, run_id string, batch_id bigint, attempt string"
 PLACE_COLS = "generation bigint, buckets int, stage string, model_label string"
 RESULT_SCHEMA = f"{ROW_COLS}, stage string, model_label string, run_id string, batch_id bigint"
@@ -142,16 +143,33 @@ def read_results(
 def read_attempts(
     spark: SparkSession, path: str, stage: str | None = None, model_label: str | None = None
 ) -> DataFrame:
-    """Every try that gave no label: ``url, try, error, tried_at`` with its stage, model, run and batch."""
+    """Every try that gave no label: ``url, try, error, tried_at`` with its stage, model, run and batch.
+
+    Tries are counted for each content of a key.
+    """
     failed = _visible(spark, path, stage, model_label).filter(F.col("label").isNull())
-    key = Window.partitionBy("url", "stage", "model_label")
+    key = Window.partitionBy("url", "content", "stage", "model_label")
     order = key.orderBy("scored_at", "run_id", "batch_id")
     return failed.select(
         "url", F.row_number().over(order).alias("try"), "error", F.col("scored_at").alias("tried_at"),
-        "stage", "model_label", "run_id", "batch_id",
+        "content", "stage", "model_label", "run_id", "batch_id",
     )
 
 
+def latest(results: DataFrame, as_of: datetime | None = None) -> DataFrame:
+    """One row for each key, stage and model: the last one scored, or the last until ``as_of``.
+
+    Only rows that were scored again because their texts changed have several.
+    """
+    if as_of is not None:
+        results = results.filter(F.col("scored_at") <= F.lit(as_of))
+    key = ["url", "stage", "model_label"]
+    rest = [c for c in results.columns if c not in key]
+    order = F.struct("scored_at", "run_id", "batch_id")
+    last = results.groupBy(*key).agg(F.max_by(F.struct(*rest), order).alias("_last"))
+    return last.select(*key, "_last.*").select(*results.columns)
+
+
 def commit(spark: SparkSession, place: Place, attempt: str, batches: Sequence[tuple[str, int, int]]) -> None:
     """Make the batches ``(run_id, batch_id, n_rows)`` of an attempt visible, all at once: one file."""
     rows = [
@@ -170,10 +188,10 @@ def append_rows(rows: DataFrame, place: Place) -> None:
     rows.select(*columns).repartition(place.buckets, "url").write.insertInto(place.table(spark))
 
 
-def _batch_sizes(spark: SparkSession, place: Place, attempt: str) -> dict[tuple[str, int], int]:
+def _batch_sizes(spark: SparkSession, place: Place, attempt: str) -> dict[int, tuple[int, int]]:
     written = spark.table(place.table(spark)).filter(F.col("attempt") == attempt)
-    sizes = written.groupBy("run_id", "batch_id").agg(F.count(F.lit(1)).alias("n")).collect()
-    return {(r["run_id"], r["batch_id"]): r["n"] for r in sizes}
+    sizes = written.groupBy("batch_id").agg(F.count("label").alias("n"), F.count("error").alias("failed")).collect()
+    return {r["batch_id"]: (r["n"], r["failed"]) for r in sizes}
 
 
 def write_results(
@@ -186,12 +204,13 @@ def write_results(
     *,
     n_batches: int | None = None,
     batch_of: Column | None = None,
-) -> None:
-    """Write ``(url, label, prob_true, rationale[, error])`` rows and commit them as one batch.
+) -> dict[int, tuple[int, int]]:
+    """Write ``(url, label, prob_true, rationale[, error, _content])`` rows and commit them as one batch.
 
     With ``n_batches`` and ``batch_of``, the number of each row's batch, they are written
     at once and committed as that many batches. A batch that is written again replaces
     its former attempt. Rows without a label stay pending; `read_attempts` shows them.
+    Returns each batch's rows with and without a label.
     """
     spark = scored.sparkSession
     default = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -199,15 +218,18 @@ def write_results(
     attempt = uuid.uuid4().hex
     error = F.coalesce(F.col("error"), F.lit("no label")) if "error" in scored.columns else F.lit("no label")
     batch = F.lit(batch_id) if batch_of is None else batch_of
+    content = F.col("_content") if "_content" in scored.columns else F.lit(None)
     rows = scored.select(
         "url", "label", "prob_true", "rationale", F.current_timestamp().alias("scored_at"),
+        content.cast("string").alias("content"),
         F.when(F.col("label").isNull(), error).alias("error"),
         F.lit(run_id).alias("run_id"), batch.cast("bigint").alias("batch_id"), F.lit(attempt).alias("attempt"),
     )
     append_rows(rows, place)
-    sizes = _batch_sizes(spark, place, attempt)
     batches = [batch_id] if n_batches is None else range(n_batches)
-    commit(spark, place, attempt, [(run_id, b, sizes.get((run_id, b), 0)) for b in batches])
+    sizes = {b: (0, 0) for b in batches} | _batch_sizes(spark, place, attempt)
+    commit(spark, place, attempt, [(run_id, b, n + failed) for b, (n, failed) in sizes.items()])
+    return sizes
 
 
 def compact_results(
@@ -224,8 +246,6 @@ def compact_results(
     following = Place(path, stage, model_label, place.generation + 1, buckets or place.buckets)
     attempt = uuid.uuid4().hex
     rows = _visible(spark, path, stage, model_label).withColumn("attempt", F.lit(attempt))
-    commits = read_commits(spark, path, stage, model_label).select("run_id", "batch_id").collect()
+    commits = read_commits(spark, path, stage, model_label).select("run_id", "batch_id", "n_rows").collect()
     append_rows(rows, following)
-    sizes = _batch_sizes(spark, following, attempt)
-    done = [(r["run_id"], r["batch_id"], sizes.get((r["run_id"], r["batch_id"]), 0)) for r in commits]
-    commit(spark, following, attempt, done)
+    commit(spark, following, attempt, [tuple(r) for r in commits])

@@ -120,6 +120,7 @@ class Settings:
     context_limit: int | None = None  # tokens; with it, rows estimated to be longer are not scored
     concurrency: int = 4
     max_tries: int | None = None  # rows that failed as often are not tried again
+    rescore_changed: bool = False  # rows whose texts changed since they were labelled are due again
 
     def label_set(self) -> tuple[str, ...]:
         return tuple(label.upper() for label in self.labels)

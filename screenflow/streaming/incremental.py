@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+import uuid
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,10 +13,14 @@ from pyspark.sql.types import StructType
 from screenflow.operators.resume import one_per_key, one_row_per_key
 from screenflow.operators.score import Scorer
 from screenflow.plans.screening import choose, open_keys, passed_gate, prepare_rows
-from screenflow.sources.results import read_results, write_results
+from screenflow.sources.progress import EpochLog, append_progress
+from screenflow.sources.results import latest, read_results, write_results
 from screenflow.sources.scratch import stored
 from screenflow.spec import Settings, StageSpec
 
+# Events of a stream reach its listener a little after it ended.
+LISTENER_WAIT_SEC = 30
+
 
 def run_incremental(
     spark: SparkSession,
@@ -33,6 +39,7 @@ def run_incremental(
     ord_col: str | None = None,
     glob: str = "*.parquet",
     max_files: int | None = None,
+    progress_path: str | None = None,
 ) -> None:
     """Drain the new files of a folder into the results table, then stop.
 
@@ -46,8 +53,10 @@ def run_incremental(
     With several stages, each epoch goes through all of them in turn, so a later
     stage sees what the earlier one has just labelled. A gated stage alone fails
     on rows that the earlier stage has not looked at, and reads them again in the
-    next run. ``prompts`` has a system prompt for each stage by name.
+    next run. ``prompts`` has a system prompt for each stage by name. ``progress_path`` gets
+    a row for each stage of an epoch when it is committed, and for each epoch that ends.
     """
+    began = time.monotonic()
     stages = [stage] if isinstance(stage, StageSpec) else list(stage)
     together = {s.name for s in stages}
     reader = spark.readStream.schema(source_schema).option("pathGlobFilter", glob)
@@ -58,6 +67,8 @@ def run_incremental(
         rows = prepare_rows(to_videos(arrived), settings, ord_col)
         # The history meets the keys of the epoch before anything else.
         arrived_keys = stored(rows.select("url").distinct(), "arrived")
+        if log:
+            log.arrived[epoch] = arrived.count()
         for each in stages:
             score_stage(arrived.sparkSession, rows, arrived_keys, each, epoch)
 
@@ -70,6 +81,8 @@ def run_incremental(
 
         own = (F.col("run_id") == run_id) & (F.col("batch_id") == epoch)
         done = known(each.name).filter(~own)
+        if settings.rescore_changed:
+            done = latest(done)
         gate = passed_gate(session, results_path, each, settings)
         if gate is not None:
             if each.gate not in together:
@@ -83,13 +96,28 @@ def run_incremental(
             scored = one_per_key(scorer.label(due, each, settings, prompt))
         else:
             scored = scorer.label(one_row_per_key(due), each, settings, prompt)
-        write_results(scored, results_path, each.name, settings.model_label, run_id, epoch)
+        sizes = write_results(scored, results_path, each.name, settings.model_label, run_id, epoch)
+        if progress_path:
+            n_rows, n_failed = sizes[epoch]
+            names = (each.name, settings.model_label, run_id)
+            elapsed = time.monotonic() - began
+            append_progress(session, progress_path, *names, epoch, n_rows, n_failed, n_rows, None, elapsed)
 
-    query = (
-        reader.parquet(source_folder)
-        .writeStream.foreachBatch(score_epoch)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
-    query.awaitTermination()
+    name = f"screenflow-{uuid.uuid4().hex}"
+    log = progress_path and EpochLog(spark, progress_path, name, settings.model_label, run_id)
+    if log:
+        spark.streams.addListener(log)
+    try:
+        query = (
+            reader.parquet(source_folder)
+            .writeStream.foreachBatch(score_epoch)
+            .queryName(name)
+            .option("checkpointLocation", checkpoint)
+            .trigger(availableNow=True)
+            .start()
+        )
+        query.awaitTermination()
+    finally:
+        if log:
+            log.ended.wait(LISTENER_WAIT_SEC)
+            spark.streams.removeListener(log)

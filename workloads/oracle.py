@@ -374,7 +374,106 @@ def loaded(c: str) -> str:
     return f"case when {c} not in ({', '.join(lit(x) for x in NO_VALUE)}) then {c} end as {c}"
 
 
+# --- evaluation with uncertainty ------------------------------------------------
+
+
+def ratio(over: str, under: str) -> str:
+    return f"({over}) / nullif(cast({under} as double), 0)"
+
+
+CURVE = f"""{with_(VIDEOS, S_SCREEN, PREDICTIONS, TRUTH, LOOKUP)},
+    scored as (
+        select floor(prob_true * 100) as bin, ground_truth = 'TRUE' as yes
+        from predictions p join lookup l on p.url = l.url where label in ('TRUE', 'FALSE')),
+    cuts as (
+        select c.bin, cast(count(*) filter (yes and s.bin >= c.bin) as bigint) as tp, cast(count(*) filter (not yes and s.bin >= c.bin) as bigint) as fp,
+            cast(count(*) filter (yes and s.bin < c.bin) as bigint) as fn, cast(count(*) filter (not yes and s.bin < c.bin) as bigint) as tn
+        from (select distinct bin from scored) c, scored s group by c.bin),
+    pairs as (
+        select avg(case when a.bin > b.bin then 1.0 when a.bin = b.bin then 0.5 else 0.0 end) as roc_area
+        from scored a, scored b where a.yes and not b.yes),
+    means as (select avg({ratio('tp', 'tp + fp')}) as pr_area from scored s join cuts c on s.bin = c.bin where yes)
+    select round(bin / 100.0, 9) as threshold, tp, fp, fn, tn, round({ratio('tp', 'tp + fp')}, 9) as precision,
+        round({ratio('tp', 'tp + fn')}, 9) as recall, round(roc_area, 9) as roc_area, round(pr_area, 9) as pr_area
+    from cuts, pairs, means"""
+
+TWO_RUNS = f"""{with_(VIDEOS, S_SCREEN, F_SCREEN, TRUTH, LOOKUP)},
+    detail as (
+        select p.url, run, label as predicted, ground_truth
+        from (select url, 'full' as run, label from screened union all select url, 'few', label from few_screened) p
+        join lookup l on p.url = l.url),
+    chances as (
+        select k, floor(sum(share) over (order by k) * 4294967296) as cut
+        from (select k, exp(-1.0) / cast(factorial(cast(k as int)) as double) as share from range(13) r(k))),
+    draws as (
+        select url, cast(r as int) as replicate,
+            cast('0x' || substr(md5(concat('7:', url, ':', cast(r // 4 as varchar))), cast(r % 4 as int) * 8 + 1, 8) as bigint) as number
+        from (select distinct url from detail), range(100) g(r)),
+    drawn as (
+        select url, replicate, (select count(*) from chances where cut <= number) as w from draws
+        union all select distinct url, -1, 1 from detail),
+    counted as (
+        select replicate, run, sum(w) filter (predicted = 'TRUE' and ground_truth = 'TRUE') as tp, sum(w) filter (predicted = 'FALSE' and ground_truth = 'FALSE') as tn,
+            sum(w) filter (predicted = 'TRUE' and ground_truth = 'FALSE') as fp, sum(w) filter (predicted = 'FALSE' and ground_truth = 'TRUE') as fn
+        from detail join drawn using (url) group by all),
+    filled as (select replicate, run, coalesce(tp, 0) as tp, coalesce(tn, 0) as tn, coalesce(fp, 0) as fp, coalesce(fn, 0) as fn from counted),
+    metrics as (
+        select replicate, run, 'accuracy' as metric, {ratio('tp + tn', 'tp + tn + fp + fn')} as value from filled
+        union all select replicate, run, 'precision', {ratio('tp', 'tp + fp')} from filled
+        union all select replicate, run, 'recall', {ratio('tp', 'tp + fn')} from filled)"""
+
+
+def enclosed(source: str, keys: str) -> str:
+    return f"""select {keys}, round(max(value) filter (replicate = -1), 9) as estimate,
+            round(list_sort(list(value) filter (replicate >= 0 and value is not null))[cast(floor((1 - 0.95) / 2 * (count(value) - 1)) as int) + 1], 9) as low,
+            round(list_sort(list(value) filter (replicate >= 0 and value is not null))[cast(count(value) - 1 - floor((1 - 0.95) / 2 * (count(value) - 1)) as int)], 9) as high,
+            count(value) - 1 as n_replicates
+        from {source} group by {keys}"""
+
+
+ALPHA = f"""{with_(VIDEOS, S_SCREEN, F_SCREEN, scores(m.INSULT_WORDS, 2.0, "twice", "screen"))},
+    given as (
+        select url, label from screened union all select url, label from few_screened
+        union all select url, label from twice where ord % 5 <> 0),
+    units as (select url, count(*) as m from given group by url having count(*) > 1),
+    labels as (select row_number() over () as r, url, label from given),
+    pairs as (
+        select a.label as x, b.label as y, 1.0::double / (u.m - 1) as w
+        from labels a join labels b on a.url = b.url and a.r <> b.r join units u on u.url = a.url),
+    sizes as (select x, sum(w) as n from pairs group by x),
+    total as (select sum(n) as n, sum(n * n) as squares from sizes),
+    shares as (
+        select n, (select coalesce(sum(w), 0) from pairs where x <> y) / n as observed, (n * n - squares) / (n * (n - 1)) as expected from total)
+    select round(n, 9) as n_values, round(observed, 9) as observed, round(expected, 9) as expected,
+        round(1 - observed / nullif(expected, 0), 9) as alpha from shares"""
+
+
 ORACLE = {
+    "threshold_curve": CURVE,
+    "run_intervals": f"{TWO_RUNS} {enclosed('metrics', 'run, metric')}",
+    "run_difference": f"""{TWO_RUNS},
+        apart as (
+            select replicate, metric, max(value) filter (run = 'full') - max(value) filter (run = 'few') as value from metrics group by all),
+        shares as (
+            select metric, round(avg(case when value > 0 then 1.0 when value = 0 then 0.5 when value < 0 then 0.0 end), 9) as share_above
+            from apart where replicate >= 0 group by metric),
+        rights as (
+            select url, bool_or(predicted = ground_truth) filter (run = 'few') as a, bool_or(predicted = ground_truth) filter (run = 'full') as b
+            from detail group by url),
+        alone as (select count(*) filter (a and not b) as only_first, count(*) filter (b and not a) as only_second from rights)
+        select e.*, share_above, only_first, only_second
+        from ({enclosed('apart', 'metric')}) e join shares using (metric), alone""",
+    "agreement_alpha": ALPHA,
+    "changed_rows": f"""{with_(v.cte("videos", "documents", v.CHANGED), S_SCREEN, PREDICTIONS)}
+        select p.url, label, prob_true, case when v.ord % 4 = 0 and v.ord % 3 <> 2 then 'second' else 'first' end as run_id
+        from predictions p join videos v on p.url = v.url""",
+    "stream_progress": f"""{CASCADE},
+        rows as (
+            select ord % 3 as epoch, {BROAD}_full as broad, {STRICT}_full as strict
+            from full_wide w join videos v on w.url = v.url)
+        select 'arrived' as stage, epoch, count(*) as n_rows, cast(0 as bigint) as n_failed from rows group by epoch
+        union all select 'screen', epoch, count(broad), 0 from rows group by epoch
+        union all select 'classify', epoch, count(strict), 0 from rows group by epoch""",
     "signal_rules": DEFAULT_RULES,
     "table_rules": DEFAULT_RULES,
     "hashtag_parts": f"""with {TAGS}

@@ -23,6 +23,7 @@ from screenflow.functions.replies import (
 from screenflow.functions.strings import row_text
 from screenflow.lexicon import MENTAL_HEALTH, TAG_WORDS
 from screenflow.operators import compare, convert, prompt, resume, rows, truth
+from screenflow.operators import bootstrap, curves
 from screenflow.operators import evaluate as ev
 from screenflow.operators.lookup import hot_keys, join_lookup
 from screenflow.operators.score import BatchScorer, SignalScorer, TermTableScorer
@@ -33,7 +34,16 @@ from screenflow.plans.evaluation import evaluate_stage
 from screenflow.plans.screening import labels_for_rows, run_stage
 from screenflow.sources.benchmark import select_tasks, write_evaluation_file
 from screenflow.sources.metadata import read_metadata, result_listing, sample_slice
-from screenflow.sources.results import Place, append_rows, compact_results, read_attempts, read_results, write_results
+from screenflow.sources.progress import read_progress
+from screenflow.sources.results import (
+    Place,
+    append_rows,
+    compact_results,
+    latest,
+    read_attempts,
+    read_results,
+    write_results,
+)
 from screenflow.sources.runlog import append_run, read_runs
 from screenflow.sources.scratch import scratch_folder, stored
 from screenflow.sources.truth import read_truth_csv, write_csv
@@ -430,7 +440,7 @@ def committed_batches(spark: SparkSession, folder: str) -> DataFrame:
     for batch_id in (0, 1):
         write_results(staged.filter(F.col("batch") == batch_id), path, SCREEN.name, label, "first", batch_id)
     died = staged.filter("batch = 2").withColumns(
-        {"scored_at": F.current_timestamp(), "error": F.lit(None).cast("string"), "run_id": F.lit("first"),
+        {"scored_at": F.current_timestamp(), "content": F.lit(None).cast("string"), "error": F.lit(None).cast("string"), "run_id": F.lit("first"),
          "batch_id": F.lit(2).cast("bigint"), "attempt": F.lit("died")}
     )
     place = Place(path, SCREEN.name, label, 0, int(spark.conf.get("spark.sql.shuffle.partitions")))
@@ -461,6 +471,31 @@ def resume_buckets(spark: SparkSession, folder: str) -> DataFrame:
     return pending.select("url", row_text(pending.columns, TEXT_COLS).alias("text"))
 
 
+def changed_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """The last labels after texts changed under their keys, and which run they come from."""
+    path = scratch_folder(spark, "results")
+    asked = replace(m.FULL, rescore_changed=True)
+    for run_id, table in (("first", v.videos), ("second", v.changed_videos), ("third", v.changed_videos)):
+        run_stage(spark, table(spark, folder), path, SCREEN, asked, m.SCORER, ord_col="ord", run_id=run_id)
+    found = latest(read_results(spark, path, SCREEN.name, asked.model_label))
+    return _rounded(found.select("url", "label", "prob_true", "run_id"), "prob_true")
+
+
+def stream_progress(spark: SparkSession, folder: str) -> DataFrame:
+    """Rows that arrived, and rows each stage labelled, in every epoch of a stream over three files."""
+    path, source, log = scratch_folder(spark, "results"), scratch_folder(spark, "arriving"), scratch_folder(spark, "progress")
+    documents = spark.read.parquet(f"{folder}/documents.parquet")
+    for k in range(3):
+        documents.filter(F.col("doc_id") % 3 == k).coalesce(1).write.mode("append").parquet(source)
+    columns = [f"{e} as {c}" for c, e in v.VIDEOS.items()]
+    run_incremental(
+        spark, source, documents.schema, path, scratch_folder(spark, "stream"), [SCREEN, CLASSIFY], m.FULL, m.SCORER,
+        run_id="stream", ord_col="ord", max_files=1, progress_path=log,
+        to_videos=lambda arrived: arrived.selectExpr(*columns),
+    )
+    return read_progress(spark, log).select("stage", F.col("batch_id").alias("epoch"), "n_rows", "n_failed")
+
+
 def batch_progress(spark: SparkSession, folder: str) -> DataFrame:
     results = _batches(spark, folder).select(
         "url",
@@ -573,6 +608,47 @@ def evaluate_run(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def threshold_curve(spark: SparkSession, folder: str) -> DataFrame:
+    """The curve of the screen's probabilities, out of the histograms of two halves of the table."""
+    scored, lookup = _predictions(spark, folder), _lookup(spark, folder)
+    halves = [curves.score_histogram(scored.filter(F.pmod(F.xxhash64("url"), F.lit(2)) == k), lookup, 100) for k in (0, 1)]
+    curve = curves.threshold_curve(curves.merge_histograms(*halves), 100)
+    return _rounded(curve, "threshold", "precision", "recall", "roc_area", "pr_area")
+
+
+def _two_runs(spark: SparkSession, folder: str) -> DataFrame:
+    """The screen's labels of two models beside the truth."""
+    videos = v.videos(spark, folder).select("url", *TEXT_COLS)
+    lookup = _lookup(spark, folder)
+    runs = []
+    for settings, scorer in ((m.FULL, m.SCORER), (m.FEW, m.FEW_SCORER)):
+        detail = ev.evaluation_detail(scorer.label(videos, SCREEN, settings), lookup, [])
+        runs.append(detail.select("url", F.lit(settings.model_label).alias("run"), "predicted", "ground_truth"))
+    return runs[0].union(runs[1])
+
+
+def run_intervals(spark: SparkSession, folder: str) -> DataFrame:
+    found = bootstrap.run_intervals(_two_runs(spark, folder), replicates=100, seed=7)
+    return _rounded(found, "estimate", "low", "high")
+
+
+def run_difference(spark: SparkSession, folder: str) -> DataFrame:
+    found = bootstrap.paired_difference(_two_runs(spark, folder), "few", "full", replicates=100, seed=7)
+    return _rounded(found, "estimate", "low", "high", "share_above")
+
+
+def agreement_alpha(spark: SparkSession, folder: str) -> DataFrame:
+    """Agreement of three models, one of which leaves out every fifth row."""
+    videos = v.videos(spark, folder)
+    strict = SignalScorer(m.INSULTS, 2.0, m.CLASSIFY_AT)
+    runs = [(m.FULL, m.SCORER, videos), (m.FEW, m.FEW_SCORER, videos), (replace(m.FULL, model_label="strict"), strict, videos.filter("ord % 5 != 0"))]
+    found = None
+    for settings, scorer, rows_ in runs:
+        one = scorer.label(rows_.select("url", *TEXT_COLS), SCREEN, settings).select("url", "label")
+        found = one if found is None else found.union(one)
+    return _rounded(compare.agreement_alpha(found), "n_values", "observed", "expected", "alpha")
+
+
 def run_comparison(spark: SparkSession, folder: str) -> DataFrame:
     """Two models at three thresholds each, scored in one pass over the texts."""
     lookup = ev.truth_lookup(
@@ -736,4 +812,10 @@ QUERIES = {
     "committed_batches": committed_batches,
     "attempts": attempts,
     "resume_buckets": resume_buckets,
+    "changed_rows": changed_rows,
+    "stream_progress": stream_progress,
+    "threshold_curve": threshold_curve,
+    "run_intervals": run_intervals,
+    "run_difference": run_difference,
+    "agreement_alpha": agreement_alpha,
 }

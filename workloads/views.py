@@ -24,6 +24,10 @@ COPIES = VIDEOS | {
     "description": "case when doc_id % 2 = 0 then 'an idiot' when doc_id % 3 <> 2 then text end",
     "scrape_status": "case when doc_id % 5 = 0 then 'error' else 'ok' end",
 }
+# Every fourth description has grown by words of the lexicon.
+CHANGED = VIDEOS | {
+    "description": "case when doc_id % 3 = 2 then null when doc_id % 4 = 0 then text || ' idiot clown scum' else text end",
+}
 
 
 def _one_of(words, place: str) -> str:
@@ -131,6 +135,10 @@ def corpus_terms(spark: SparkSession, folder: str) -> DataFrame:
     return terms.filter("length(term) > 2").selectExpr("*", *[f"{e} as {c}" for c, e in CORPUS_TERMS.items()])
 
 
+def changed_videos(spark: SparkSession, folder: str) -> DataFrame:
+    return _view(spark, folder, "documents", CHANGED)
+
+
 def videos_with_copies(spark: SparkSession, folder: str) -> DataFrame:
     """Every key twice; every other copy has another description, and some copies failed."""
     return videos(spark, folder).unionByName(_view(spark, folder, "documents", COPIES))
