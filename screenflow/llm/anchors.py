@@ -12,8 +12,12 @@ id. The corpus is never compared window by window:
 2. The stretches of windows that own a shared anchor travel, with their text,
    to the anchor's shard, where the operator's own method confirms them on the
    text itself. Of equal stretches in a batch only the earliest document's goes.
-3. Confirmed windows come back by document id. The exchange of whole texts is
-   planned once and reused for both steps that need them.
+3. Confirmed windows come back by document id and a digest of the row's text, as rows
+   with one id may have different texts. The exchange of whole texts is planned once
+   and reused for both steps that need them.
+
+What a batch has answered itself (``TOLD``) goes by document, not by anchor, so a very
+frequent passage does not fill its anchor's shard.
 
 Documents without id take no part: nothing is removed from or because of them.
 """
@@ -41,8 +45,8 @@ TOGETHER_BYTES = 1 << 20
 TOGETHER = 1 << 13
 ASKED, KNOWN, TOLD = 0, 1, 2
 PAIRS = "shard int, state byte, low binary, high binary, docs binary"
-STRETCHES = "shard int, state byte, docs binary, firsts binary, sizes binary, text binary, anchors binary"
-HITS = "doc_id bigint, hit bigint"
+STRETCHES = "shard int, state byte, docs binary, rows binary, firsts binary, sizes binary, text binary, anchors binary"
+HITS = "doc_id bigint, row bigint, hit bigint"
 
 
 class Rule(NamedTuple):
@@ -142,6 +146,16 @@ def shard_of(hashes: np.ndarray, n: int) -> np.ndarray:
     return ((hashes >> np.uint64(40)) % np.uint64(n)).astype(np.int32)
 
 
+def named(hashes: np.ndarray, n: int) -> np.ndarray:
+    """An anchor's shard and its lower 40 bits, in one number."""
+    return hashes & np.uint64((1 << 40) - 1) | shard_of(hashes, n).astype(np.uint64) << np.uint64(40)
+
+
+def told_shard(docs: np.ndarray, n: int) -> np.ndarray:
+    """Shards beyond those of the anchors, for what needs no anchor's shard any more."""
+    return (n + (mixed(docs.view(np.uint64)) % np.uint64(n)).astype(np.int64)).astype(np.int32)
+
+
 def find_pairs(rule: Rule, n_shards: int):
     """Packed (anchor, document) pairs of every batch, by shard."""
 
@@ -161,12 +175,20 @@ def find_pairs(rule: Rule, n_shards: int):
             known = np.repeat(several, np.diff([*starts, len(hashes)]))
             for state, keep in ((ASKED, ~known), (KNOWN, known & new_hash), (TOLD, known)):
                 h, d = hashes[keep], docs[keep]
-                shard = shard_of(h, n_shards)
-                order = np.lexsort((d, shard))
-                low, high = h.astype(np.uint32), (h >> np.uint64(32)).astype(np.uint8)
-                keys, packed = packed_by(shard[order], [low[order], high[order], d[order]])
-                if state == KNOWN:
-                    packed[2] = [b""] * len(keys)
+                if state == TOLD:
+                    # Each document beside the whole name of its anchor.
+                    shard = told_shard(d, n_shards)
+                    order = np.argsort(shard, kind="stable")
+                    both = np.column_stack([d, named(h, n_shards).view(np.int64)])
+                    keys, pairs = packed_by(shard[order], [both[order]])
+                    packed = [[b""] * len(keys), [b""] * len(keys), *pairs]
+                else:
+                    shard = shard_of(h, n_shards)
+                    order = np.lexsort((d, shard))
+                    low, high = h.astype(np.uint32), (h >> np.uint64(32)).astype(np.uint8)
+                    keys, packed = packed_by(shard[order], [low[order], high[order], d[order]])
+                    if state == KNOWN:
+                        packed[2] = [b""] * len(keys)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(keys, pa.int32()), pa.array([state] * len(keys), pa.int8()), *(pa.array(x, pa.binary()) for x in packed)],
                     ["shard", "state", "low", "high", "docs"],
@@ -197,10 +219,13 @@ def share(table: pa.Table) -> pa.Table:
     if len(elsewhere):
         at = np.minimum(np.searchsorted(elsewhere, hashes), len(elsewhere) - 1)
         twin |= elsewhere[at] == hashes
-    docs = np.concatenate([docs[twin], joined_rows(told.column("docs"), np.int64)])
-    hashes = np.concatenate([hashes[twin], unpacked(told)])
     shard = np.uint64(table.column("shard")[0].as_py())
-    return pa.table({"doc_id": pa.array(docs), "anchor": pa.array((hashes | shard << np.uint64(40)).view(np.int64))})
+    names = (hashes[twin] | shard << np.uint64(40)).view(np.int64)
+    answered = joined_rows(told.column("docs"), np.int64).reshape(-1, 2)
+    return pa.table({
+        "doc_id": pa.array(np.concatenate([docs[twin], answered[:, 0]])),
+        "anchor": pa.array(np.concatenate([names, answered[:, 1]])),
+    })
 
 
 def squeezed(rows: list[bytes]) -> list[bytes]:
@@ -226,38 +251,39 @@ def find_stretches(rule: Rule, n_shards: int):
         for batch in batches:
             data, offsets = binary_column(batch.column("body"))
             ids = batch.column("doc_id").fill_null(0).to_numpy(zero_copy_only=False)
+            digests = batch.column("row").to_numpy(zero_copy_only=False)
             lists = batch.column("anchors")
             wanted = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
             lengths = np.asarray(lists.value_lengths().fill_null(0))
             owner = np.repeat(np.arange(len(ids), dtype=np.uint64), lengths)
             row, first, n, begin, end, hashes = batch_anchors(rule, data, offsets)
             shard = shard_of(hashes, n_shards)
-            named = hashes & np.uint64((1 << 40) - 1) | shard.astype(np.uint64) << np.uint64(40)
             shared = np.sort(wanted ^ mixed(owner + _STEP))
-            mine = named ^ mixed(row.astype(np.uint64) + _STEP)
+            mine = named(hashes, n_shards) ^ mixed(row.astype(np.uint64) + _STEP)
             keep = np.zeros(len(mine), bool)
             if len(shared):
                 keep = shared[np.minimum(np.searchsorted(shared, mine), len(shared) - 1)] == mine
             kept = np.flatnonzero(keep)
             kept = kept[np.argsort(ids[row[kept]], kind="stable")]
             row, first, n, begin, end, hashes, shard = (x[kept] for x in (row, first, n, begin, end, hashes, shard))
-            docs = ids[row]
+            docs, rows = ids[row], digests[row]
             raw = data.tobytes()
             earliest: dict[bytes, int] = {}
             texts = [raw[i:j] for i, j in zip(begin.tolist(), end.tolist(), strict=True)]
             told = np.fromiter((earliest.setdefault(t, d) < d for t, d in zip(texts, docs.tolist(), strict=True)), bool, len(texts))
             for state, keep in ((ASKED, ~told), (TOLD, told)):
                 at = np.flatnonzero(keep)
-                at = at[np.argsort(shard[at], kind="stable")]
+                goes = told_shard(docs, n_shards) if state == TOLD else shard
+                at = at[np.argsort(goes[at], kind="stable")]
                 sizes = (n if state == TOLD else end - begin)[at].astype(np.int32)
-                keys, (d, f, s, h) = packed_by(shard[at], [docs[at], first[at].astype(np.uint32), sizes, hashes[at].astype(np.uint32)])
-                cuts = np.flatnonzero(np.diff(shard[at], prepend=-1))
+                keys, (d, r, f, s, h) = packed_by(goes[at], [docs[at], rows[at], first[at].astype(np.uint32), sizes, hashes[at].astype(np.uint32)])
+                cuts = np.flatnonzero(np.diff(goes[at], prepend=-1))
                 blobs = [b"".join([texts[k] for k in part]) if state == ASKED else b"" for part in np.split(at, cuts[1:])] if len(at) else []
                 if state == TOLD:
                     h = [b""] * len(keys)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys, pa.int32()), pa.array([state] * len(keys), pa.int8()), *(pa.array(squeezed(x), pa.binary()) for x in (d, f, s, blobs, h))],
-                    ["shard", "state", "docs", "firsts", "sizes", "text", "anchors"],
+                    [pa.array(keys, pa.int32()), pa.array([state] * len(keys), pa.int8()), *(pa.array(squeezed(x), pa.binary()) for x in (d, r, f, s, blobs, h))],
+                    ["shard", "state", "docs", "rows", "firsts", "sizes", "text", "anchors"],
                 )
 
     return run
@@ -267,7 +293,8 @@ def confirm_shard(rule: Rule):
     def run(table: pa.Table) -> pa.Table:
         state = table.column("state").to_numpy()
         asked, told = (table.filter(pa.array(state == s)) for s in (ASKED, TOLD))
-        docs, firsts = spread(asked.column("docs"), np.int64), spread(asked.column("firsts"), np.uint32).astype(np.int64)
+        docs, rows = spread(asked.column("docs"), np.int64), spread(asked.column("rows"), np.int64)
+        firsts = spread(asked.column("firsts"), np.uint32).astype(np.int64)
         sizes = spread(asked.column("sizes"), np.int32).astype(np.int64)
         anchor = spread(asked.column("anchors"), np.uint32)
         text = spread(asked.column("text"), np.uint8).tobytes()
@@ -292,9 +319,10 @@ def confirm_shard(rule: Rule):
         starts = np.flatnonzero(new)
         runs = np.diff([*starts, len(which)]).astype(np.int64)
         doc = np.concatenate([docs[which[starts]], spread(told.column("docs"), np.int64)])
+        row = np.concatenate([rows[which[starts]], spread(told.column("rows"), np.int64)])
         first = np.concatenate([firsts[which[starts]] + window[starts], spread(told.column("firsts"), np.uint32).astype(np.int64)])
         n = np.concatenate([runs, spread(told.column("sizes"), np.int32).astype(np.int64)])
-        return pa.table({"doc_id": doc, "hit": first << 24 | n})
+        return pa.table({"doc_id": doc, "row": row, "hit": first << 24 | n})
 
     return run
 
@@ -314,18 +342,21 @@ def covered(hits: list[int] | None, window: int) -> list[tuple[int, int]]:
 def earlier_windows(docs: DataFrame, rule: Rule, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id``, ``body`` (the text's bytes) and ``hits``: runs of windows that an earlier document has.
 
-    One row for each row of ``docs``; rows that repeat a document id belong to
-    one document, so they remove nothing from each other.
+    One row for each row of ``docs``. Rows that repeat a document id belong to one
+    document, so they remove nothing from each other; each keeps its own hits.
     """
     bodies = docs.select(col(id_col).cast("bigint").alias("doc_id"), F.coalesce(col(text_col), F.lit("")).cast("binary").alias("body"))
-    n = shards(docs)
+    row = F.xxhash64("body")
+    n = shards(docs, text_col)
     asked = bodies.filter("doc_id is not null").mapInArrow(find_pairs(rule, n), PAIRS)
     shared = asked.groupBy("shard").applyInArrow(share, "doc_id bigint, anchor bigint")
     lists = shared.groupBy("doc_id").agg(F.collect_list("anchor").alias("anchors"))
     # Left joins both, so that the exchange of the texts is the same one and is reused.
     candidates = bodies.join(lists.hint("merge"), "doc_id", "left")
     body = F.when(F.col("anchors").isNotNull(), F.col("body"))
-    stretches = candidates.select("doc_id", body.alias("body"), "anchors").mapInArrow(find_stretches(rule, n), STRETCHES)
+    stretches = candidates.select("doc_id", body.alias("body"), row.alias("row"), "anchors").mapInArrow(find_stretches(rule, n), STRETCHES)
     hits = stretches.groupBy("shard").applyInArrow(confirm_shard(rule), HITS)
-    by_doc = hits.groupBy("doc_id").agg(F.collect_list("hit").alias("hits"))
-    return bodies.join(by_doc.hint("merge"), "doc_id", "left")
+    by_doc = hits.groupBy("doc_id").agg(F.collect_list(F.struct("row", "hit")).alias("hits"))
+    found = bodies.join(by_doc.hint("merge"), "doc_id", "left").withColumn("row", row)
+    own = F.transform(F.filter("hits", lambda h: h["row"] == F.col("row")), lambda h: h["hit"])
+    return found.select("doc_id", "body", own.alias("hits"))

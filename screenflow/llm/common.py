@@ -38,9 +38,14 @@ def col(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
-def shards(df: DataFrame, per_partition: int = 4) -> int:
-    """How many shards to cut packed rows into: a few for each shuffle partition."""
-    return per_partition * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+#: Bytes of text for each shard of packed rows, which one task loads whole.
+SHARD_BYTES = 32 << 20
+
+
+def shards(df: DataFrame, text_col: str, per_partition: int = 4) -> int:
+    """How many shards to cut packed rows into: by the bytes of all texts, and a few for each shuffle partition at least."""
+    size = df.agg(F.coalesce(F.sum(F.octet_length(col(text_col))), F.lit(0)).alias("n")).first()["n"]
+    return max(per_partition * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // SHARD_BYTES))
 
 
 def binary_column(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from screenflow.llm import quality
+from screenflow.llm import anchors, phrases, quality
 from screenflow.llm.html import extract_text, main_text
 from screenflow.llm.minmax import near_duplicates
 from screenflow.llm.mixing import mix_sources
@@ -59,6 +59,30 @@ def test_suffix_array_dedup(docs, empty):
     assert remove_repeats(empty).count() == 0
 
 
+SAME_ID = [
+    (1, PASSAGE), (2, "x" * 400 + PASSAGE), (2, "other text of the same document, which no earlier one has, from the first word to the last of it"), (2, "short"),
+    (3, PASSAGE + " again"), (3, PASSAGE + " again"), (3, "once more " + PASSAGE), (2, None), (4, "y" * 60), (4, "z" + "y" * 70), (5, "y" * 55), (None, PASSAGE),
+]
+
+
+@pytest.mark.parametrize("parts", [1, 6])
+def test_rows_of_one_id_with_different_texts_keep_their_own(spark, parts):
+    df = spark.createDataFrame(SAME_ID, "doc_id bigint, text string").repartition(parts)
+    got = remove_repeats(df).select("doc_id", "n_bytes", "n_removed", F.size("spans"), F.sha2("kept", 256))
+    assert rows(got) == sorted(brute.op5(SAME_ID), key=key)
+    got = remove_passages(df).select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256))
+    assert rows(got) == sorted(brute.op10(SAME_ID), key=key)
+
+
+def test_a_passage_of_most_rows_does_not_fill_one_shard(spark):
+    """Answers of a batch are spread by document: no shard gets more than a few times its share of them."""
+    texts = [(i, f"{PASSAGE} and the end of number {i}") for i in range(3000)]
+    bodies = spark.createDataFrame(texts, "doc_id bigint, body string").selectExpr("doc_id", "cast(body as binary) body").coalesce(1)
+    packed = bodies.mapInArrow(anchors.find_pairs(phrases.RULE, 16), anchors.PAIRS).filter(F.col("state") == anchors.TOLD)
+    sizes = [r["n"] for r in packed.groupBy("shard").agg(F.sum(F.length("docs")).alias("n")).collect()]
+    assert len(sizes) == 16 and max(sizes) < 2 * sum(sizes) / 16
+
+
 def test_phrase_automata(docs, empty):
     got = remove_passages(docs).select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256))
     assert rows(got) == sorted(brute.op10(TEXTS), key=key)
