@@ -53,6 +53,30 @@ def truth_issues(truth: DataFrame, truth_col: str) -> DataFrame:
     )
 
 
+def truth_report(truth: DataFrame, truth_col: str) -> DataFrame:
+    """``(check, value, n)`` of all that `validate_truth` and an evaluation would stop at.
+
+    Besides the issues of the rows: columns that are missing (then nothing else can be
+    checked), and a table without rows or without test rows that have a label. Takes a
+    table as it was read.
+    """
+    missing = sorted({"url", truth_col, "use"} - set(truth.columns))
+    if missing:
+        rows = [("missing_column", c, 0) for c in missing]
+        return truth.sparkSession.createDataFrame(rows, "check string, value string, n bigint")
+    clean = normalise_truth(truth, [truth_col])
+    testable = (F.col("use") == "test") & F.col(truth_col).isNotNull()
+    none = clean.agg(F.count(F.lit(1)).alias("rows"), F.count_if(testable).alias("tests"))
+    checks = F.array_compact(
+        F.array(
+            F.when(F.col("rows") == 0, F.lit("no_rows")),
+            F.when(F.col("tests") == 0, F.lit("no_test_rows")),
+        )
+    )
+    empty = none.select(F.explode(checks).alias("check"), F.lit(None).cast("string").alias("value"), F.lit(0).cast("bigint").alias("n"))
+    return truth_issues(clean, truth_col).union(empty)
+
+
 def validate_truth(truth: DataFrame, truth_col: str) -> DataFrame:
     """Rows with a label, or an error that names the most frequent bad values."""
     require_columns(truth, truth_col)

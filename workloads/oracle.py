@@ -464,6 +464,27 @@ ORACLE = {
         select e.*, share_above, only_first, only_second
         from ({enclosed('apart', 'metric')}) e join shares using (metric), alone""",
     "agreement_alpha": ALPHA,
+    "sample_run": f"""{CASCADE},
+        slice as (select url from videos where scrape_status is distinct from 'error' order by ord limit 20)
+        select url, {BROAD}_full, {STRICT}_full, {STRICT}_full_rationale from full_wide where url in (select url from slice)""",
+    "benchmark_conversion": f"""{CONVERTED},
+        balance as (
+            select coalesce(task, 'ALL') as task, count(*) as n_rows, count(*) filter ({T_CLASSIFY} = 'TRUE') as n_true,
+                count(*) filter ({T_CLASSIFY} = 'FALSE') as n_false,
+                round(count(*) filter ({T_CLASSIFY} = 'TRUE') / count(*), 9) as share_true
+            from converted group by rollup (task))
+        select *, case when n_rows = (select count(*) from converted) then n_rows end as n_written from balance""",
+    "truth_report": f"""{with_(truth_cte(v.TRUTH_WITH_ISSUES), truth_cte(name="fine"))},
+        trained as (select * from fine where use = 'train'),
+        issues as (
+            select 'missing_label' as "check", cast(null as varchar) as value from truth where {T_SCREEN} is null
+            union all select 'invalid_label', {T_SCREEN} from truth where {T_SCREEN} not in ('TRUE', 'FALSE')
+            union all select 'invalid_use', use from truth
+                where {T_SCREEN} is not null and (use is null or use not in ('train', 'test')))
+        select 'issues' as "table", "check", value, count(*) as n from issues group by all
+        union all select 'columns', 'missing_column', unnest(['{T_SCREEN}', 'use']), 0
+        union all select 'train only', 'no_test_rows', null, 0 where not exists (select 1 from trained where use = 'test')
+        union all select 'empty', unnest(['no_rows', 'no_test_rows']), null, 0""",
     "changed_rows": f"""{with_(v.cte("videos", "documents", v.CHANGED), S_SCREEN, PREDICTIONS)}
         select p.url, label, prob_true, case when v.ord % 4 = 0 and v.ord % 3 <> 2 then 'second' else 'first' end as run_id
         from predictions p join videos v on p.url = v.url""",

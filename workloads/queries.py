@@ -30,7 +30,9 @@ from screenflow.operators.score import BatchScorer, SignalScorer, TermTableScore
 from screenflow.operators.signals import find_terms, score_terms, signal_scores
 from screenflow.operators.term_join import TermTable
 from screenflow.plans.cascade import signal_cascade
+from screenflow.plans.conversion import convert_benchmark
 from screenflow.plans.evaluation import evaluate_stage
+from screenflow.plans.sample import sample_run
 from screenflow.plans.screening import labels_for_rows, run_stage
 from screenflow.sources.benchmark import select_tasks, write_evaluation_file
 from screenflow.sources.metadata import read_metadata, result_listing, sample_slice
@@ -172,6 +174,37 @@ def listing(spark: SparkSession, folder: str) -> DataFrame:
     return result_listing(wide, m.FULL, SCREEN, CLASSIFY)
 
 
+def sample_listing(spark: SparkSession, folder: str) -> DataFrame:
+    """Both passes over a stored slice of the table, listed."""
+    paths = scratch_folder(spark, "slice"), scratch_folder(spark, "results")
+    return sample_run(spark, v.videos(spark, folder), SAMPLE_ROWS, "ord", *paths, m.FULL, m.SCORER)
+
+
+def benchmark_conversion(spark: SparkSession, folder: str) -> DataFrame:
+    """From a staged copy, a folder for each task, to the evaluation file and its balance."""
+    source, target = scratch_folder(spark, "benchmark"), scratch_folder(spark, "evaluation")
+    v.benchmark(spark, folder).write.partitionBy("task").parquet(source)
+    balance = convert_benchmark(spark, source, target)
+    written = read_truth_csv(spark, target).groupBy().agg(F.count(F.lit(1)).alias("n_written"))
+    return _rounded(balance, "share_true").join(written, balance["n_rows"] == written["n_written"], "left")
+
+
+def truth_report(spark: SparkSession, folder: str) -> DataFrame:
+    """All checks of four truth tables: with bad values, without columns, without test rows, without rows."""
+    table = v.truth(spark, folder)
+    tables = {
+        "issues": v.truth_with_issues(spark, folder),
+        "columns": table.drop("use", SCREEN.truth_col),
+        "train only": table.filter(F.lower(F.trim("use")) == "train"),
+        "empty": table.filter("ord < 0"),
+    }
+    reports = [truth.truth_report(t, SCREEN.truth_col).withColumn("table", F.lit(name)) for name, t in tables.items()]
+    found = reports[0]
+    for report in reports[1:]:
+        found = found.unionByName(report)
+    return found
+
+
 def experiment_row(spark: SparkSession, folder: str) -> DataFrame:
     path = scratch_folder(spark, "log")
     n_examples = truth.train_rows(_clean_truth(spark, folder)).count()
@@ -812,6 +845,9 @@ QUERIES = {
     "committed_batches": committed_batches,
     "attempts": attempts,
     "resume_buckets": resume_buckets,
+    "sample_run": sample_listing,
+    "benchmark_conversion": benchmark_conversion,
+    "truth_report": truth_report,
     "changed_rows": changed_rows,
     "stream_progress": stream_progress,
     "threshold_curve": threshold_curve,
