@@ -46,7 +46,7 @@ TOGETHER = 1 << 13
 ASKED, KNOWN, TOLD = 0, 1, 2
 PAIRS = "shard int, state byte, low binary, high binary, docs binary"
 STRETCHES = "shard int, state byte, docs binary, rows binary, firsts binary, sizes binary, text binary, anchors binary"
-HITS = "doc_id bigint, row bigint, hit bigint"
+HITS = "doc_id bigint, row bigint, hits binary"
 
 
 class Rule(NamedTuple):
@@ -322,15 +322,28 @@ def confirm_shard(rule: Rule):
         row = np.concatenate([rows[which[starts]], spread(told.column("rows"), np.int64)])
         first = np.concatenate([firsts[which[starts]] + window[starts], spread(told.column("firsts"), np.uint32).astype(np.int64)])
         n = np.concatenate([runs, spread(told.column("sizes"), np.int32).astype(np.int64)])
-        return pa.table({"doc_id": doc, "row": row, "hit": first << 24 | n})
+        # One value for each row of a document that this shard has hits for.
+        order = np.lexsort((row, doc))
+        doc, row, hits = doc[order], row[order], (first << 24 | n)[order]
+        new = np.ones(len(doc), bool)
+        new[1:] = (doc[1:] != doc[:-1]) | (row[1:] != row[:-1])
+        starts = np.flatnonzero(new)
+        packed = [hits[i:j].tobytes() for i, j in zip(starts, [*starts[1:], len(hits)][: len(starts)], strict=True)]
+        return pa.table({"doc_id": doc[starts], "row": row[starts], "hits": pa.array(packed, pa.binary())})
 
     return run
 
 
-def covered(hits: list[int] | None, window: int) -> list[tuple[int, int]]:
+def own_hits(batch: pa.RecordBatch) -> Iterator[list[int]]:
+    """The hits of each row of a batch, out of those of all rows with its id."""
+    for row, found in zip(batch.column("row").to_pylist(), batch.column("hits").to_pylist(), strict=True):
+        yield [h for x in found or () if x["row"] == row for h in np.frombuffer(x["hits"], np.int64).tolist()]
+
+
+def covered(hits: list[int], window: int) -> list[tuple[int, int]]:
     """Maximal runs of units that hit windows cover, as (start, end). A hit is its first window and 24 bits of their number."""
     runs: list[tuple[int, int]] = []
-    for first, n in sorted((h >> 24, h & 0xFFFFFF) for h in hits or ()):
+    for first, n in sorted((h >> 24, h & 0xFFFFFF) for h in hits):
         end = first + n - 1 + window
         if runs and first <= runs[-1][1]:
             runs[-1] = (runs[-1][0], max(runs[-1][1], end))
@@ -340,7 +353,7 @@ def covered(hits: list[int] | None, window: int) -> list[tuple[int, int]]:
 
 
 def earlier_windows(docs: DataFrame, rule: Rule, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id``, ``body`` (the text's bytes) and ``hits``: runs of windows that an earlier document has.
+    """``doc_id``, ``body`` (the text's bytes), ``row`` and ``hits``: runs of windows that an earlier document has, see `own_hits`.
 
     One row for each row of ``docs``. Rows that repeat a document id belong to one
     document, so they remove nothing from each other; each keeps its own hits.
@@ -356,7 +369,5 @@ def earlier_windows(docs: DataFrame, rule: Rule, id_col: str = "doc_id", text_co
     body = F.when(F.col("anchors").isNotNull(), F.col("body"))
     stretches = candidates.select("doc_id", body.alias("body"), row.alias("row"), "anchors").mapInArrow(find_stretches(rule, n), STRETCHES)
     hits = stretches.groupBy("shard").applyInArrow(confirm_shard(rule), HITS)
-    by_doc = hits.groupBy("doc_id").agg(F.collect_list(F.struct("row", "hit")).alias("hits"))
-    found = bodies.join(by_doc.hint("merge"), "doc_id", "left").withColumn("row", row)
-    own = F.transform(F.filter("hits", lambda h: h["row"] == F.col("row")), lambda h: h["hit"])
-    return found.select("doc_id", "body", own.alias("hits"))
+    by_doc = hits.groupBy("doc_id").agg(F.collect_list(F.struct("row", "hits")).alias("hits"))
+    return bodies.join(by_doc.hint("merge"), "doc_id", "left").select("doc_id", "body", row.alias("row"), "hits")

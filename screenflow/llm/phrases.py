@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from screenflow.llm.anchors import Rule, covered, earlier_windows
+from screenflow.llm.anchors import Rule, covered, earlier_windows, own_hits
 from screenflow.llm.common import mixed
 
 #: Consecutive words of a passage.
@@ -100,7 +100,7 @@ RULE = Rule(WORDS, 5, word_units, confirm, cut=False)
 def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         n_words, n_removed, spans, kept = [], [], [], []
-        for body, hits in zip(batch.column("body").to_pylist(), batch.column("hits").to_pylist(), strict=True):
+        for body, hits in zip(batch.column("body").to_pylist(), own_hits(batch), strict=True):
             words = body.split()
             runs = covered(hits, WORDS)
             edges = [0, *(x for run in runs for x in run), len(words)]

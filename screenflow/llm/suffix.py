@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from screenflow.llm.anchors import Rule, covered, earlier_windows
+from screenflow.llm.anchors import Rule, covered, earlier_windows, own_hits
 from screenflow.llm.common import mixed
 
 #: Bytes of a string that counts as repeated.
@@ -110,7 +110,7 @@ RULE = Rule(LENGTH, 24, byte_units, confirm, cut=True)
 def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         n_bytes, n_removed, spans, kept = [], [], [], []
-        for body, hits in zip(batch.column("body").to_pylist(), batch.column("hits").to_pylist(), strict=True):
+        for body, hits in zip(batch.column("body").to_pylist(), own_hits(batch), strict=True):
             runs = covered(hits, LENGTH)
             edges = [0, *(x for run in runs for x in run), len(body)]
             n_bytes.append(len(body))
