@@ -6,14 +6,17 @@ alphabet that fits them (hexadecimal, base32, base36, base64; a token of one cas
 without its separators). Numbers are none. A token is a secret if
 
 * the battery does not tell it from uniform draws of its alphabet: chi-squared
-  over the alphabet, runs above and below its middle, serial correlation, with
-  the smallest of the three p-values corrected for three tests, and
+  over the alphabet, runs (above and below its middle, and of digits among letters),
+  serial correlation (of neighbours, and of equal symbols some places apart), with
+  the smallest of the p-values corrected for their number, and
 * its symbols and its changes between capitals, small letters and digits, which
   the battery reads against uniform draws, don't fit an ordinary token. Each
-  encoding has a null model of ordinary tokens: how often they have each symbol
-  and how often they change class. A token's p-value is the inverse of the
-  likelihood ratio of uniform draws to that model, which bounds the chance that
-  an ordinary token looks as uniform, at every length. These p-values go through
+  encoding has null models of ordinary tokens: how often they have each symbol and
+  how often they change class, as words and numbers do, as names in camel case do,
+  or as part numbers do, whose groups repeat a pattern. A token's p-value is the
+  inverse of the likelihood ratio of uniform draws to the model that fits it best, which
+  bounds the chance that an ordinary token of any of these kinds looks as uniform, at every
+  length. These p-values go through
   Benjamini-Hochberg false-discovery control over all documents, separately for
   each doubling of length, as short tokens carry less evidence than long ones.
 
@@ -64,6 +67,12 @@ CHANGES = {"hex": 150, "base32": 100, "base36": 100, "base64": 250}
 NO_HABIT = 100
 #: How often classes (digits, capitals, small letters, the rest) follow a change, against each other.
 CLASS_WEIGHTS = (30, 30, 60, 20)
+#: Camel case, in thousandths: the class (in the same order) that follows a class.
+CAMEL = ((600, 200, 150, 50), (15, 50, 925, 10), (20, 240, 730, 10), (50, 350, 550, 50))
+#: Part numbers: how often a group repeats the pattern of the one before, in thousandths; the most symbols of a group.
+SAME_PATTERN, GROUP = 800, 4
+#: Symbols are compared with those up to so many places before.
+LAGS = 16
 #: A candidate below this battery p-value is not random; the share of false discoveries allowed.
 BATTERY_LEVEL, FALSE_SHARE = 0.001, 0.01
 BINS = 256
@@ -126,15 +135,40 @@ def battery(codes: np.ndarray, size: int) -> float:
     power = float((centred**2).sum())
     serial = float((centred[1:] * centred[:-1]).sum()) / power if power else 1.0
     p_serial = 2 * upper_tail(abs(serial + 1 / n) * math.sqrt(n))
-    return min(1.0, 3 * min(p_chi, p_runs, p_serial))
+    # Of the places compared at each lag, as many as chance allows are equal.
+    lags = range(1, min(LAGS, n // 2) + 1)
+    p_lags = min((at_least(int((codes[k:] == codes[:-k]).sum()), n - k, 1 / size) for k in lags), default=1.0) * max(len(lags), 1)
+    return min(1.0, 4 * min(p_chi, p_runs, p_serial, p_lags))
+
+
+def at_least(hits: int, trials: int, chance: float) -> float:
+    """The chance of as many hits or more in independent trials."""
+    if hits == 0:
+        return 1.0
+    return min(1.0, sum(math.comb(trials, i) * chance**i * (1 - chance) ** (trials - i) for i in range(hits, min(trials, hits + 60) + 1)))
+
+
+def pattern_runs(plain: str) -> float:
+    """The p-value of the runs of digits among the other symbols, given how many there are."""
+    digit = np.frombuffer(plain.encode(), np.uint8) < 58
+    n, n1 = len(digit), int(digit.sum())
+    n0 = n - n1
+    if n < 12 or min(n0, n1) < 4:
+        return 1.0
+    mean = 2 * n0 * n1 / n + 1
+    spread = math.sqrt(max((mean - 1) * (mean - 2) / (n - 1), 1e-9))
+    return min(1.0, 2 * upper_tail((abs(1 + int((digit[1:] != digit[:-1]).sum()) - mean) - 0.5) / spread))
 
 
 def symbol_class(c: str) -> int:
     return 0 if "0" <= c <= "9" else 1 if "A" <= c <= "Z" else 2 if "a" <= c <= "z" else 3
 
 
-def null_model(kind: str) -> dict[str, float]:
-    """Log-likelihood ratios of uniform draws to ordinary tokens: of a first symbol, and of a symbol after another."""
+def null_model(kind: str, follows: tuple[tuple[int, ...], ...] | None = None) -> dict[str, float]:
+    """Log-likelihood ratios of uniform draws to ordinary tokens: of a first symbol, and of a symbol after another.
+
+    ``follows`` has the weight of each class after another; without it, classes change at the encoding's rate.
+    """
     alphabet = ALPHABETS[kind]
     # Ordinary tokens in capitals may have any digit, also those that base32 leaves out.
     symbols = sorted({*alphabet, *DIGITS})
@@ -152,18 +186,45 @@ def null_model(kind: str) -> dict[str, float]:
         out[c] = -math.log(len(alphabet) * within[c] * CLASS_WEIGHTS[k] / every)
         for before in alphabet:
             j = symbol_class(before)
-            step = 1 - change if j == k else change * CLASS_WEIGHTS[k] / (every - CLASS_WEIGHTS[j])
+            if follows:
+                step = follows[j][k] / sum(follows[j])
+            else:
+                step = 1 - change if j == k else change * CLASS_WEIGHTS[k] / (every - CLASS_WEIGHTS[j])
             out[before + c] = -math.log(len(alphabet) * within[c] * step)
     return out
 
 
-NULL_MODELS = {kind: null_model(kind) for kind in ALPHABETS}
+NULL_MODELS = {kind: [null_model(kind)] for kind in ALPHABETS}
+NULL_MODELS["base64"].append(null_model("base64", CAMEL))
 
 
-def ordinary(plain: str, kind: str) -> float:
+def part_number(token: str, kind: str) -> float:
+    """The log-likelihood ratio of uniform draws to a part number: groups whose patterns of letters and digits repeat.
+
+    Zero or less: at least as likely a part number. Tokens without three short groups are none.
+    """
+    groups = [g for g in re.split("[+/_-]", token) if g]
+    if kind not in ("base32", "base36") or len(groups) < 3 or max(map(len, groups)) > GROUP:
+        return math.inf
+    size, ratio, last = len(ALPHABETS[kind]), 0.0, None
+    for group in groups:
+        pattern = [c.isdigit() for c in group]
+        share = 0.5 ** len(group)
+        if last is not None:
+            share = SAME_PATTERN / 1000 * (pattern == last) + (1 - SAME_PATTERN / 1000) * share
+        # Within their class the symbols of either are uniform.
+        digits = sum(pattern)
+        uniform = ((size - 26) / size) ** digits * (26 / size) ** (len(group) - digits)
+        ratio += math.log(uniform / share)
+        last = pattern
+    return ratio
+
+
+def ordinary(plain: str, kind: str, token: str = "") -> float:
     """A bound of the chance that an ordinary token of the encoding looks as uniform (Markov's inequality)."""
-    ratio = NULL_MODELS[kind]
-    return math.exp(-max(0.0, ratio[plain[0]] + sum(map(ratio.__getitem__, map(str.__add__, plain, plain[1:])))))
+    pairs = list(map(str.__add__, plain, plain[1:]))
+    ratios = [model[plain[0]] + sum(map(model.__getitem__, pairs)) for model in NULL_MODELS[kind]]
+    return math.exp(-max(0.0, min(*ratios, part_number(token, kind))))
 
 
 def judged(token: str) -> tuple[int, int] | None:
@@ -177,11 +238,12 @@ def judged(token: str) -> tuple[int, int] | None:
     if form is None:
         return None
     kind, plain = form
-    octave, p = min(31, len(plain).bit_length()), ordinary(plain, kind)
+    octave, p = min(31, len(plain).bit_length()), ordinary(plain, kind, token)
     if p > FALSE_SHARE:
         return octave, 0
     codes = np.array([PLACES[kind][c] for c in plain])
-    return octave, p_bin(p) if battery(codes, len(ALPHABETS[kind])) >= BATTERY_LEVEL else 0
+    level = min(battery(codes, len(ALPHABETS[kind])), 2 * pattern_runs(plain))
+    return octave, p_bin(p) if level >= BATTERY_LEVEL else 0
 
 
 _REMEMBERED: dict[str, tuple[int, int] | None] = {}
