@@ -72,15 +72,16 @@ def mix_sources(
     """Every document as often as drawn, dealt out and sorted by ``order_col``, with the copy's number (from 1).
 
     Null and empty texts have the size 1. A null source counts as the empty
-    string. Rows that share an id share their draw; a null id draws as the empty
-    string. An empty table gives an empty result. ``copy_col`` and ``order_col``
+    string. Rows that share an id share their draw; rows without id draw by their
+    texts. An empty table gives an empty result. ``copy_col`` and ``order_col``
     get underscores in front where the input has such columns.
     """
     rates = source_rates(docs, weights, source_col, text_col)
     rates = rates.select(*(F.col(c).alias(free_name(docs, f"mix_{c}")) for c in rates.columns))
     src, _, parts, sums = rates.columns
     copy, order = free_name(docs, copy_col), free_name(docs, order_col)
-    key = F.coalesce(col(id_col).cast("string"), F.lit(""))
+    nameless = F.concat(F.lit("text:"), F.md5(F.coalesce(col(text_col), F.lit("")).cast("binary")))
+    key = F.coalesce(col(id_col).cast("string"), nameless)
 
     def drawn(total: Column, part: Column) -> Column:
         u = uniform(F.concat_ws(":", key, F.lit(str(seed)), part.cast("string")))

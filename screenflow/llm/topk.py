@@ -34,7 +34,7 @@ FOUND = "query_id bigint, vec_id bigint, score bigint"
 
 
 def quantised(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """``id, v``: usable rows, one for each id (the least vector of a repeated id)."""
+    """``id, v``: usable rows, one for each id and quantised vector."""
     values = F.transform(col(vector_col), lambda x: x.cast("double"))
     usable = F.forall(col(vector_col), lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     rows = vectors.filter(col(id_col).isNotNull() & col(vector_col).isNotNull()).filter(usable)
@@ -42,7 +42,7 @@ def quantised(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     checked = F.when(too_large, F.raise_error(F.lit(f"components must be below {LARGEST // SCALE}"))).otherwise(
         F.transform(values, lambda x: F.floor(x * SCALE).cast("int"))
     )
-    return rows.select(col(id_col).cast("bigint").alias("id"), checked.alias("v")).groupBy("id").agg(F.min("v").alias("v"))
+    return rows.select(col(id_col).cast("bigint").alias("id"), checked.alias("v")).distinct()
 
 
 def build_block(table: pa.Table) -> pa.Table:
@@ -161,8 +161,7 @@ def search(k: int):
                 for query_id, vector in zip(row["query_ids"], row["queries"], strict=True):
                     query = np.array(vector, np.int64)
                     live = every.copy()
-                    own = np.searchsorted(ids, query_id)
-                    if own < len(ids) and ids[own] == query_id:
+                    for own in range(np.searchsorted(ids, query_id), np.searchsorted(ids, query_id, side="right")):
                         live[own // 64] &= ~(np.uint64(1) << np.uint64(own % 64))
                     score, shift = scores(slices, row["base"], query)
                     at = select_top(score, live, k)
@@ -181,14 +180,15 @@ def search(k: int):
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """``query_id, rank, vec_id, score``: the k rows with the largest inner products, ties to the smaller id.
 
-    Every row of ``vectors`` but the query's own is a candidate. Null ids and
-    vectors that are null or hold null or non-finite components take no part; a
-    repeated id counts once, with its least vector. Vectors meet queries of
+    Every row of ``vectors`` but the query's own is a candidate: rows of one id with
+    different vectors each are, equal ones count once, and a query that repeats an id
+    asks with its least vector. Null ids and vectors that are null or hold null or
+    non-finite components take no part. Vectors meet queries of
     their own length only. Components of 65,536 or more are an error. Empty
     tables give an empty result; other columns are not looked at.
     """
     rows = stored(quantised(vectors, id_col, vector_col), "quantised")
-    asked = stored(quantised(queries, id_col, vector_col), "queries")
+    asked = stored(quantised(queries, id_col, vector_col).groupBy("id").agg(F.min("v").alias("v")), "queries")
     n_blocks = -(-rows.count() // BLOCK_ROWS) or 1
     n_asked = -(-asked.count() // BLOCK_QUERIES) or 1
     placed = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(n_blocks)).cast("int"))

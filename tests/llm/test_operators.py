@@ -116,6 +116,12 @@ def test_top_k(spark):
     assert top_k(df.limit(0), df.limit(0)).count() == 0
 
 
+def test_top_k_takes_every_row_of_a_repeated_id(spark):
+    df = spark.createDataFrame([(0, [1.0, 1.0]), (2, [3.0, 1.0]), (2, [9.0, 9.0]), (3, [2.0, 2.0]), (0, [7.0, 7.0])], "vec_id bigint, embedding array<double>")
+    got = rows(top_k(df, df.filter("vec_id % 50 = 0")))
+    assert got == [(0, 1, 2, 18 * 65536), (0, 2, 2, 4 * 65536), (0, 3, 3, 4 * 65536)]
+
+
 def test_boundaries_are_the_best():
     rng = np.random.default_rng(5)
     for _ in range(20):
@@ -150,6 +156,17 @@ def test_mixing_is_repeatable(spark, docs, empty):
     assert mix_sources(empty).count() == 0
 
 
+def test_rows_without_id_draw_one_by_one(spark):
+    texts = [(None, f"text number {i}", "s") for i in range(1000)] + [(i, "x " * 40, "t") for i in range(100)]
+    df = spark.createDataFrame(texts, "doc_id bigint, text string, source string")
+    weights = spark.createDataFrame([("s", 1.0), ("t", 1.0)], "source string, weight double")
+    got = mix_sources(df, weights).filter("source = 's'").collect()
+    size = sum(len(t) + 1 for d, t, _ in texts if d is None)
+    rate = (size + 100 * 81) / 2 / size
+    assert abs(len(got) - 1000 * rate) < 5 * (1000 * rate) ** 0.5
+    assert len({r["order_key"] for r in got}) == len(got)
+
+
 def test_quality_columns_and_rejects(docs, empty):
     kept = quality.keep_good(docs)
     assert kept.columns == docs.columns
