@@ -46,7 +46,7 @@ TOGETHER = 1 << 13
 ASKED, KNOWN, TOLD = 0, 1, 2
 PAIRS = "shard int, state byte, low binary, high binary, docs binary"
 STRETCHES = "shard int, state byte, docs binary, rows binary, firsts binary, sizes binary, text binary, anchors binary"
-HITS = "doc_id bigint, row bigint, hits binary"
+HITS = "doc_id bigint, hits binary"
 
 
 class Rule(NamedTuple):
@@ -179,9 +179,8 @@ def find_pairs(rule: Rule, n_shards: int):
                     # Each document beside the whole name of its anchor.
                     shard = told_shard(d, n_shards)
                     order = np.argsort(shard, kind="stable")
-                    both = np.column_stack([d, named(h, n_shards).view(np.int64)])
-                    keys, pairs = packed_by(shard[order], [both[order]])
-                    packed = [[b""] * len(keys), [b""] * len(keys), *pairs]
+                    keys, (names, told) = packed_by(shard[order], [named(h, n_shards)[order], d[order]])
+                    packed = [names, [b""] * len(keys), told]
                 else:
                     shard = shard_of(h, n_shards)
                     order = np.lexsort((d, shard))
@@ -221,10 +220,9 @@ def share(table: pa.Table) -> pa.Table:
         twin |= elsewhere[at] == hashes
     shard = np.uint64(table.column("shard")[0].as_py())
     names = (hashes[twin] | shard << np.uint64(40)).view(np.int64)
-    answered = joined_rows(told.column("docs"), np.int64).reshape(-1, 2)
     return pa.table({
-        "doc_id": pa.array(np.concatenate([docs[twin], answered[:, 0]])),
-        "anchor": pa.array(np.concatenate([names, answered[:, 1]])),
+        "doc_id": pa.array(np.concatenate([docs[twin], joined_rows(told.column("docs"), np.int64)])),
+        "anchor": pa.array(np.concatenate([names, joined_rows(told.column("low"), np.int64)])),
     })
 
 
@@ -322,22 +320,23 @@ def confirm_shard(rule: Rule):
         row = np.concatenate([rows[which[starts]], spread(told.column("rows"), np.int64)])
         first = np.concatenate([firsts[which[starts]] + window[starts], spread(told.column("firsts"), np.uint32).astype(np.int64)])
         n = np.concatenate([runs, spread(told.column("sizes"), np.int32).astype(np.int64)])
-        # One value for each row of a document that this shard has hits for.
+        # One value for each row of a document that this shard has hits for: the row's digest, then the hits.
         order = np.lexsort((row, doc))
         doc, row, hits = doc[order], row[order], (first << 24 | n)[order]
         new = np.ones(len(doc), bool)
         new[1:] = (doc[1:] != doc[:-1]) | (row[1:] != row[:-1])
         starts = np.flatnonzero(new)
-        packed = [hits[i:j].tobytes() for i, j in zip(starts, [*starts[1:], len(hits)][: len(starts)], strict=True)]
-        return pa.table({"doc_id": doc[starts], "row": row[starts], "hits": pa.array(packed, pa.binary())})
+        packed = [row[i].tobytes() + hits[i:j].tobytes() for i, j in zip(starts, [*starts[1:], len(hits)][: len(starts)], strict=True)]
+        return pa.table({"doc_id": doc[starts], "hits": pa.array(packed, pa.binary())})
 
     return run
 
 
 def own_hits(batch: pa.RecordBatch) -> Iterator[list[int]]:
     """The hits of each row of a batch, out of those of all rows with its id."""
-    for row, found in zip(batch.column("row").to_pylist(), batch.column("hits").to_pylist(), strict=True):
-        yield [h for x in found or () if x["row"] == row for h in np.frombuffer(x["hits"], np.int64).tolist()]
+    for row, found in zip(batch.column("row").to_pylist(), batch.column("hits"), strict=True):
+        packed = [np.frombuffer(x, np.int64) for x in found.as_py() or ()]
+        yield [h for x in packed if x[0] == row for h in x[1:].tolist()]
 
 
 def covered(hits: list[int], window: int) -> list[tuple[int, int]]:
@@ -369,5 +368,5 @@ def earlier_windows(docs: DataFrame, rule: Rule, id_col: str = "doc_id", text_co
     body = F.when(F.col("anchors").isNotNull(), F.col("body"))
     stretches = candidates.select("doc_id", body.alias("body"), row.alias("row"), "anchors").mapInArrow(find_stretches(rule, n), STRETCHES)
     hits = stretches.groupBy("shard").applyInArrow(confirm_shard(rule), HITS)
-    by_doc = hits.groupBy("doc_id").agg(F.collect_list(F.struct("row", "hits")).alias("hits"))
+    by_doc = hits.groupBy("doc_id").agg(F.collect_list("hits").alias("hits"))
     return bodies.join(by_doc.hint("merge"), "doc_id", "left").select("doc_id", "body", row.alias("row"), "hits")
