@@ -1,10 +1,10 @@
 """Substring dedup by repeated-phrase automata.
 
-Passages of 13 words that at least two documents have are confirmed word by
-word, compiled into Aho-Corasick automata (one for each shard of the anchor
-space), and every document's candidate text streams through its shards'
-automata, which locate all occurrences. The automaton knows the earliest
-document of each passage; words that a later document's occurrences cover go.
+Passages of 13 words that recur in another document, by their hash, are compiled into
+Aho-Corasick automata, sharded by the anchors of the passages. The stretches of every
+document that hold a shared anchor stream through the automata of its shard, which
+locate all occurrences, word for word: they confirm a passage, tell its earliest
+document, and give all places in later ones. Words that those cover go.
 """
 
 from __future__ import annotations
@@ -60,38 +60,61 @@ def _character_pair(number: int) -> str:
     return chr(0x10000 + (number >> 15)) + chr(0x20000 + (number & 0x7FFF))
 
 
+def recurring(codes: np.ndarray, sizes: np.ndarray, docs: np.ndarray) -> np.ndarray:
+    """Places of the windows, each at least once, whose hash windows of two documents have.
+
+    ``codes``: the words of all lines, ``sizes``: words of each line, ``docs``: document of each line.
+    """
+    # The hash of a window is a difference of running sums, freed of its place by a power.
+    step = np.uint64(0x9E3779B97F4A7C15)
+    powers = np.multiply.accumulate(np.full(len(codes) + 1, step, np.uint64))
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed(codes.astype(np.uint64) + step) * powers[: len(codes)])])
+    ends = np.repeat(np.cumsum(sizes), sizes)
+    at = np.flatnonzero(np.arange(len(codes)) + WORDS <= ends)
+    hashes = (sums[at + WORDS] - sums[at]) * powers[len(codes) - at]
+    owner = np.repeat(docs, sizes)[at]
+    order = np.lexsort((owner, hashes))
+    at, hashes, owner = at[order], hashes[order], owner[order]
+    new = np.diff(hashes, prepend=~hashes[:1]) != 0
+    starts = np.flatnonzero(new)
+    last = np.concatenate([starts[1:], [len(at)]]).astype(np.int64)[: len(starts)] - 1
+    several = np.repeat(owner[starts] != owner[last], last - starts + 1)
+    # Different windows of one hash are all passages of their own.
+    for k in range(WORDS):
+        new[1:] |= codes[at[1:] + k] != codes[at[:-1] + k]
+    return at[new & several]
+
+
 def confirm(texts: list[bytes], docs: np.ndarray, anchors: np.ndarray):
-    """Windows that an earlier document's stretch holds, word for word."""
-    codes: dict[bytes, str] = {}
-    lines = []
-    for text in texts:
-        words = text.split()
-        for word in words:
-            if word not in codes:
-                codes[word] = _character_pair(len(codes))
-        lines.append("".join([codes[word] for word in words]))
-    earliest: dict[str, int] = {}
-    recurring: set[str] = set()
-    size = 2 * WORDS
-    for k in np.argsort(docs, kind="stable").tolist():
-        line, doc = lines[k], int(docs[k])
-        for at in range(0, len(line) - size + 1, 2):
-            passage = line[at : at + size]
-            if earliest.setdefault(passage, doc) != doc:
-                recurring.add(passage)
-    which, window = [], []
-    if recurring:
-        automaton = ahocorasick.Automaton()
-        for passage in recurring:
-            automaton.add_word(passage, earliest[passage])
-        automaton.make_automaton()
-        for k, line in enumerate(lines):
-            doc = int(docs[k])
-            for end, owner in automaton.iter(line):
-                if owner < doc:
-                    which.append(k)
-                    window.append((end + 1 - size) // 2)
-    return np.array(which, np.int64), np.array(window, np.int64)
+    """Windows that an earlier document's stretch holds, word for word.
+
+    Passages whose hash recurs in another document are compiled into an automaton. All
+    stretches stream through it: what it locates is equal word for word, and tells
+    each passage's earliest document and all its later places.
+    """
+    numbers: dict[bytes, int] = {}
+    lines = [[numbers.setdefault(word, len(numbers)) for word in text.split()] for text in texts]
+    sizes = np.array([len(line) for line in lines], np.int64)
+    codes = np.fromiter((x for line in lines for x in line), np.int64, int(sizes.sum()))
+    candidates = recurring(codes, sizes, docs)
+    if not len(candidates):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    pairs = [_character_pair(k) for k in range(len(numbers))]
+    automaton = ahocorasick.Automaton()
+    for k, at in enumerate(candidates.tolist()):
+        automaton.add_word("".join([pairs[x] for x in codes[at : at + WORDS].tolist()]), k)
+    automaton.make_automaton()
+    which, passage, window = [], [], []
+    for k, line in enumerate(lines):
+        for end, found in automaton.iter("".join([pairs[x] for x in line])):
+            which.append(k)
+            passage.append(found)
+            window.append(end // 2 + 1 - WORDS)
+    which, passage = np.array(which, np.int64), np.array(passage, np.int64)
+    earliest = np.full(len(candidates), np.iinfo(np.int64).max)
+    np.minimum.at(earliest, passage, docs[which])
+    later = earliest[passage] < docs[which]
+    return which[later], np.array(window, np.int64)[later]
 
 
 RULE = Rule(WORDS, 5, word_units, confirm, cut=False)
