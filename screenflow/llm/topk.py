@@ -7,8 +7,9 @@ component, are added by carry-save adders into slices of the score. The top rows
 are then selected from the most significant slice downward; rows that are still
 tied after the last slice have equal scores and are resolved by the smaller id.
 
-Work is dealt out as (block of rows, block of queries); each sends on its k best
-rows for each query.
+Index blocks move once and blocks of queries, which are far smaller, are sent to each of
+them; while there are fewer index blocks than tasks, each block is sent to several tasks with a
+share of the queries. A block sends on its k best rows for each query.
 """
 
 from __future__ import annotations
@@ -196,8 +197,15 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec
     part = F.pmod(F.xxhash64("id"), F.lit(n_asked)).cast("int")
     blocks = asked.groupBy(part.alias("part"), F.size("v").alias("dims")).agg(F.collect_list(F.struct("id", "v")).alias("q"))
     blocks = blocks.select("part", "dims", F.col("q.id").alias("query_ids"), F.col("q.v").alias("queries"))
-    work = index.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(n_asked - 1)))).join(blocks, ["part", "dims"])
-    work = work.repartition("part", "block")
-    best = work.drop("part", "block").mapInArrow(search(k), FOUND)
+    # A lane is a task's share of the queries; there is one if the index has blocks enough for all tasks.
+    tasks = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n_lanes = min(n_asked, -(-tasks // n_blocks))
+    sent = blocks.withColumn("lane", F.col("part") % n_lanes).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
+    lanes = index.withColumn("lane", F.explode(F.sequence(F.lit(0), F.lit(n_lanes - 1))))
+    # Repartitioned by number, as tasks that are large by work and small by bytes must not be put together.
+    keys = ["block", "lane", "dims"]
+    lanes, sent = (x.repartition(n_blocks * n_lanes, *keys) for x in (lanes, sent))
+    work = lanes.hint("merge").join(sent, keys)
+    best = work.drop("part", "block", "lane").mapInArrow(search(k), FOUND)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return best.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
