@@ -77,7 +77,8 @@ def pack(
     A token is a word. ``bucket`` is the boundary that the piece is padded to;
     (bucket, shard, batch) names a batch of at most ``budget`` padded tokens
     (one sequence at least). Texts are cut, never shortened. Null, empty and
-    blank texts have no tokens and no row. Repeated rows are packed once each; a
+    blank texts have no tokens and no row. Repeated rows are packed once each, and
+    which of their batches each goes to follows the table's split into tasks; a
     null id stays null. An empty table gives an empty result; other columns are
     not looked at.
     """
@@ -95,7 +96,8 @@ def pack(
     table = F.create_map(*(F.lit(x) for b, n in sizes.items() for x in (b, -(-n // SHARD_ROWS) or 1)))
     cut = rows.select("doc_id", F.inline(pieces(F.col("body"), F.col("n"), context)))
     bucket = F.element_at(F.filter(F.array(*(F.lit(b) for b in bounds)), lambda b: b >= F.col("n_tokens")), 1)
-    spread = F.xxhash64("doc_id", "piece", "text")
+    # The place in its task tells equal rows apart, so that they don't share a shard.
+    spread = F.xxhash64("doc_id", "piece", "text", F.monotonically_increasing_id())
     placed = cut.withColumn("bucket", bucket).withColumn("spread", spread)
     placed = placed.withColumn("shard", F.pmod("spread", table[F.col("bucket")]).cast("int"))
     group = Window.partitionBy("bucket", "shard")
