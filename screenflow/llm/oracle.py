@@ -8,7 +8,6 @@ against brute force and fixtures.
 from __future__ import annotations
 
 from screenflow.llm.mixing import LARGEST_MEAN, VALUES
-from screenflow.llm.quality import LEAST_DOCS, REACH, SLACK
 
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
@@ -37,16 +36,17 @@ select query_id, rank, vec_id, score from ranked where rank <= 5
 def fences(name: str, keys: str) -> str:
     """CTE ``keys, metric, docs, fence`` of the sketches merged to ``keys``."""
     group = f"{keys}, metric" if keys else "metric"
-    slack = " ".join(f"when '{m}' then {n}" for m, n in SLACK.items())
+    at = lambda q: f"min(case when below * 100 >= docs * {q} then bucket end)"
+    slack = "case metric when 'symbols' then 30 when 'capitals' then 100 when 'dup_lines' then 350 else 50 end"
     return f"""{name}_merged as (select {group}, bucket, sum(n) as n from sketch group by all),
 {name}_ranked as (
     select *, sum(n) over (partition by {group} order by bucket) as below, sum(n) over (partition by {group}) as docs
     from {name}_merged),
 {name}_found as (
-    select {group}, docs, min(case when below * 100 >= docs * 50 then bucket end) as m, min(case when below * 100 >= docs * 10 then bucket end) as l
+    select {group}, docs, {at(10)} as l, {at(50)} as m, {at(90)} as h
     from {name}_ranked group by all),
 {name} as (
-    select {group}, docs, {top('m')} + {REACH} * ({top('m')} - {top('l')}) + case metric {slack} end as fence from {name}_found)"""
+    select {group}, docs, greatest({top('m')} + 6 * ({top('m')} - {top('l')}), {top('h')}) + {slack} as fence from {name}_found)"""
 
 
 def top(b: str) -> str:
@@ -87,7 +87,7 @@ sketch as (select lang, source, metric, bucket, count(*) as n from bucketed grou
 {fences('everything', '')},
 limits as (
     select o.lang, o.source, o.metric,
-        case when o.docs >= {LEAST_DOCS} then o.fence when l.docs >= {LEAST_DOCS} then l.fence else e.fence end as fence
+        (o.fence * o.docs + (l.fence * l.docs + e.fence * 100) // (l.docs + 100) * 100) // (o.docs + 100) as fence
     from own o join language l on o.lang = l.lang and o.metric = l.metric join everything e on o.metric = e.metric),
 broken as (
     select m.doc_id, bool_or(m.v > t.fence) as above

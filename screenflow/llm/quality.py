@@ -4,10 +4,13 @@ Each metric of a document is an integer. Its distribution in a language and
 source is kept as a mergeable quantile sketch: counts by log-linear bucket
 (exact below 32, then 16 buckets for each power of two, a relative error of at
 most 1/16). Sketches merge by adding counts, so they combine on the map side, and
-roll up to the language and to everything for sources with too few documents.
-The threshold of a metric is its median plus a multiple of the distance from the
-lower decile, which the worse half of a source cannot move. Documents then meet
-their thresholds in a join.
+roll up to the language and to everything. The threshold of a metric is its median plus
+a multiple of the distance from the lower decile, which the worse half of a source cannot
+move, or its upper decile if that is more: most documents have no symbols or
+repeated lines at all, and a source in which a tenth has some gets a threshold from those.
+A source's thresholds are drawn towards its language's, and those towards everything's, by
+numbers of documents, so they move smoothly as a source grows. Documents then
+meet their thresholds in a join.
 """
 
 from __future__ import annotations
@@ -19,13 +22,13 @@ from pyspark.sql.window import Window
 from screenflow.llm.common import GAP, WORD, col, free_name, stored
 
 SYMBOLS = "#*$%&|<>"
-#: What a metric may exceed its adaptive threshold by: thousandths, and tenths of a character for word length.
-SLACK = {"symbols": 30, "capitals": 100, "dup_lines": 500, "word_length": 50}
+#: What a metric may exceed its quantiles by: thousandths, and tenths of a character for word length.
+SLACK = {"symbols": 30, "capitals": 100, "dup_lines": 350, "word_length": 50}
 METRICS = tuple(SLACK)
 #: Distances from the lower decile to the median that a document may be above the median.
 REACH = 6
-#: A group with fewer documents uses the next wider one: its language, then all documents.
-LEAST_DOCS = 100
+#: Documents that the next wider group (the language, then all documents) counts for in a group's threshold.
+PRIOR_DOCS = 100
 REPEAT_WINDOW = 5
 
 
@@ -114,9 +117,17 @@ def fences(counts: DataFrame, keys: list[str]) -> DataFrame:
     group = Window.partitionBy(*keys, "metric")
     ranked = merged.withColumn("below", F.sum("n").over(group.orderBy("bucket"))).withColumn("docs", F.sum("n").over(group))
     quantile = lambda q: F.min(F.when(F.col("below") * 100 >= F.col("docs") * q, F.col("bucket")))
-    found = ranked.groupBy(*keys, "metric", "docs").agg(bucket_top(quantile(50)).alias("middle"), bucket_top(quantile(10)).alias("low"))
+    found = ranked.groupBy(*keys, "metric", "docs").agg(
+        *(bucket_top(quantile(q)).alias(name) for name, q in (("low", 10), ("middle", 50), ("high", 90)))
+    )
     slack = F.create_map(*(F.lit(x) for pair in SLACK.items() for x in pair))
-    return found.select(*keys, "metric", "docs", (F.col("middle") + REACH * (F.col("middle") - F.col("low")) + slack[F.col("metric")]).cast("bigint").alias("fence"))
+    usual = F.greatest(F.col("middle") + REACH * (F.col("middle") - F.col("low")), F.col("high"))
+    return found.select(*keys, "metric", "docs", (usual + slack[F.col("metric")]).cast("bigint").alias("fence"))
+
+
+def drawn(fence: Column, docs: Column, wider: Column) -> Column:
+    """A group's fence, drawn towards the wider group's as if that were ``PRIOR_DOCS`` more documents."""
+    return F.floor((fence * docs + wider * PRIOR_DOCS) / (docs + PRIOR_DOCS))
 
 
 def thresholds(docs: DataFrame, lang_col: str = "lang", source_col: str = "source", text_col: str = "text") -> DataFrame:
@@ -126,7 +137,7 @@ def thresholds(docs: DataFrame, lang_col: str = "lang", source_col: str = "sourc
     language = fences(counts, ["lang"]).select("lang", "metric", F.col("docs").alias("lang_docs"), F.col("fence").alias("lang_fence"))
     every = fences(counts, []).select("metric", F.col("fence").alias("all_fence"))
     chosen = own.join(language, ["lang", "metric"]).join(every, "metric")
-    fence = F.when(F.col("docs") >= LEAST_DOCS, F.col("fence")).when(F.col("lang_docs") >= LEAST_DOCS, F.col("lang_fence")).otherwise(F.col("all_fence"))
+    fence = drawn(F.col("fence"), F.col("docs"), drawn(F.col("lang_fence"), F.col("lang_docs"), F.col("all_fence")))
     table = chosen.groupBy(F.col("lang").alias("q_lang"), F.col("source").alias("q_source")).agg(
         *(F.max(F.when(F.col("metric") == m, fence)).alias(f"q_max_{m}") for m in METRICS)
     )
