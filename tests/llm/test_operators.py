@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from screenflow.llm import anchors, phrases, quality
+from screenflow.llm import anchors, packing, phrases, quality, topk
 from screenflow.llm.html import extract_text, main_text
 from screenflow.llm.minmax import near_duplicates
 from screenflow.llm.mixing import mix_sources
@@ -89,6 +89,22 @@ def test_phrase_automata(docs, empty):
     assert remove_passages(empty).count() == 0
 
 
+def test_passages_are_told_apart_where_their_hashes_are_equal(monkeypatch):
+    """The automaton, not the hash, decides what recurs."""
+    rng = np.random.default_rng(4)
+    monkeypatch.setattr(phrases, "mixed", np.ones_like)
+    base = [b"abcdefg"[i : i + 1] * (1 + i % 2) for i in rng.integers(0, 7, 60)]
+    for _ in range(30):
+        texts = [b" ".join([*base[a : a + 20], *(b"xy"[i : i + 1] for i in rng.integers(0, 2, 16))]) for a in rng.integers(0, 50, 9)]
+        docs = rng.integers(-2, 5, 9)
+        first: dict[tuple, int] = {}
+        windows = [(j, i, tuple(t.split()[i : i + 13])) for j, t in enumerate(texts) for i in range(len(t.split()) - 12)]
+        for j, _, w in windows:
+            first[w] = min(first.get(w, docs[j]), docs[j])
+        which, at = phrases.confirm(texts, docs, docs)
+        assert sorted(zip(which.tolist(), at.tolist(), strict=True)) == [(j, i) for j, i, w in windows if first[w] < docs[j]]
+
+
 def test_minmax(docs, empty):
     want = [(d, n, c, True if k is None else k) for d, n, c, k in brute.op9(TEXTS)]
     assert rows(near_duplicates(docs, shingle_words=2)) == sorted(want, key=key)
@@ -122,6 +138,19 @@ def test_top_k_takes_every_row_of_a_repeated_id(spark):
     assert got == [(0, 1, 2, 18 * 65536), (0, 2, 2, 4 * 65536), (0, 3, 3, 4 * 65536)]
 
 
+def test_top_k_over_many_blocks_and_lanes(spark, monkeypatch):
+    """Every block of queries meets every index block once, in whatever lane; an index block is sent once a lane."""
+    monkeypatch.setattr(topk, "BLOCK_ROWS", 40)
+    monkeypatch.setattr(topk, "BLOCK_QUERIES", 3)
+    vectors = [(i, [float((i * 7 + j * j) % 23 - 11) for j in range(2 + i % 2)]) for i in range(400)]
+    df = spark.createDataFrame(vectors, "vec_id bigint, embedding array<double>")
+    want = []
+    for q, v in vectors[::10]:
+        ranked = sorted((-65536 * sum(a * b for a, b in zip(v, w, strict=True)), i) for i, w in vectors if i != q and len(w) == len(v))[:5]
+        want += [(q, r, i, -int(s)) for r, (s, i) in enumerate(ranked, 1)]
+    assert rows(top_k(df, df.filter("vec_id % 10 = 0"))) == want
+
+
 def test_boundaries_are_the_best():
     rng = np.random.default_rng(5)
     for _ in range(20):
@@ -148,6 +177,14 @@ def test_pack_gives_texts_back(docs, empty):
     assert pack(empty).count() == 0
 
 
+def test_equal_rows_are_spread_over_shards(spark, monkeypatch):
+    """Half of the rows are copies of one: no shard gets much more than its share."""
+    monkeypatch.setattr(packing, "SHARD_ROWS", 500)
+    df = spark.createDataFrame([(1, "same text") if i % 2 else (i, f"text {i}") for i in range(10000)], "doc_id bigint, text string")
+    sizes = [r["count"] for r in pack(df).groupBy("bucket", "shard").count().collect()]
+    assert sum(sizes) == 10000 and len(sizes) == 20 and max(sizes) < 650
+
+
 def test_mixing_is_repeatable(spark, docs, empty):
     weights = spark.createDataFrame([("s", 1.0)], "source string, weight double")
     got = rows(mix_sources(docs, weights))
@@ -174,6 +211,20 @@ def test_quality_columns_and_rejects(docs, empty):
     assert quality.keep_good(empty).count() == 0
 
 
+def _thresholds(spark, groups):
+    """Thresholds by source; a group is a source and (documents, share of them with symbols)."""
+    texts = [("en", s, "word " * 20 + ("| # " * 10 if i < n * part else "")) for s, (n, part) in groups.items() for i in range(n)]
+    return {r["q_source"]: r for r in quality.thresholds(spark.createDataFrame(texts, "lang string, source string, text string")).collect()}
+
+
+def test_thresholds_follow_the_source_and_move_smoothly(spark):
+    got = _thresholds(spark, {"code": (400, 0.95), "prose": (4000, 0.0), "some": (400, 0.05), "little code": (20, 0.95)})
+    assert got["prose"]["q_max_symbols"] <= got["some"]["q_max_symbols"] < got["little code"]["q_max_symbols"] < got["code"]["q_max_symbols"]
+    sizes = [60, 99, 100, 101, 140]
+    limits = [_thresholds(spark, {"code": (n, 0.95), "prose": (900, 0.0)})["code"]["q_max_symbols"] for n in sizes]
+    assert limits == sorted(limits) and limits[3] - limits[1] <= 4 < limits[4] - limits[0]
+
+
 def test_sketch_buckets(spark):
     values = [*range(200), 1000, 4095, 4096, 10**6]
     got = spark.createDataFrame([(v,) for v in values], "v bigint").select("v", quality.bucket(F.col("v")).alias("b")).withColumn("top", quality.bucket_top(F.col("b"))).collect()
