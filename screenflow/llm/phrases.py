@@ -10,6 +10,7 @@ document, and give all places in later ones. Words that those cover go.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import ahocorasick
 import numpy as np
@@ -55,11 +56,6 @@ def word_units(data: np.ndarray, offsets: np.ndarray):
     return mixed(np.add.reduceat(parts, first)), np.searchsorted(first, offsets), first, last + 1
 
 
-def _character_pair(number: int) -> str:
-    """A word's number as two characters of different ranges, so that matches begin at words."""
-    return chr(0x10000 + (number >> 15)) + chr(0x20000 + (number & 0x7FFF))
-
-
 def recurring(codes: np.ndarray, sizes: np.ndarray, docs: np.ndarray) -> np.ndarray:
     """Places of the windows, each at least once, whose hash windows of two documents have.
 
@@ -92,29 +88,32 @@ def confirm(texts: list[bytes], docs: np.ndarray, anchors: np.ndarray):
     stretches stream through it: what it locates is equal word for word, and tells
     each passage's earliest document and all its later places.
     """
-    numbers: dict[bytes, int] = {}
-    lines = [[numbers.setdefault(word, len(numbers)) for word in text.split()] for text in texts]
-    sizes = np.array([len(line) for line in lines], np.int64)
-    codes = np.fromiter((x for line in lines for x in line), np.int64, int(sizes.sum()))
+    lines = [text.split() for text in texts]
+    sizes = np.fromiter(map(len, lines), np.int64, len(lines))
+    numbers = {word: k for k, word in enumerate(dict.fromkeys(chain.from_iterable(lines)))}
+    codes = np.fromiter(map(numbers.__getitem__, chain.from_iterable(lines)), np.int64, int(sizes.sum()))
     candidates = recurring(codes, sizes, docs)
     if not len(candidates):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    pairs = [_character_pair(k) for k in range(len(numbers))]
-    automaton = ahocorasick.Automaton()
+    # Letters are numbers of words, so that a match begins and ends at words.
+    letters = tuple(codes.tolist())
+    automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
     for k, at in enumerate(candidates.tolist()):
-        automaton.add_word("".join([pairs[x] for x in codes[at : at + WORDS].tolist()]), k)
+        automaton.add_word(letters[at : at + WORDS], k)
     automaton.make_automaton()
-    which, passage, window = [], [], []
-    for k, line in enumerate(lines):
-        for end, found in automaton.iter("".join([pairs[x] for x in line])):
-            which.append(k)
-            passage.append(found)
-            window.append(end // 2 + 1 - WORDS)
-    which, passage = np.array(which, np.int64), np.array(passage, np.int64)
+    ends = np.cumsum(sizes)
+    located: list[tuple[int, int]] = []
+    counts = []
+    for start, end in zip((ends - sizes).tolist(), ends.tolist(), strict=True):
+        before = len(located)
+        located.extend(automaton.iter(letters[start:end]))
+        counts.append(len(located) - before)
+    last, passage = np.array(located, np.int64).T
+    which = np.repeat(np.arange(len(lines)), counts)
     earliest = np.full(len(candidates), np.iinfo(np.int64).max)
     np.minimum.at(earliest, passage, docs[which])
     later = earliest[passage] < docs[which]
-    return which[later], np.array(window, np.int64)[later]
+    return which[later], last[later] + 1 - WORDS
 
 
 RULE = Rule(WORDS, 5, word_units, confirm, cut=False)
