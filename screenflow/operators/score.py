@@ -96,15 +96,26 @@ class TermTableScorer:
     def label(
         self, rows: DataFrame, stage: StageSpec, settings: Settings, system_prompt: str = ""
     ) -> DataFrame:
-        threshold = self.screen_threshold if stage.name == "screen" else self.classify_threshold
-        matched = match_terms(_with_preset(rows), self.lexicon, settings.cols)
-        scored = score_matches(matched, self.lexicon, stage.name, threshold)
-        return scored.select(
-            *[c for c in rows.columns if c not in settings.cols and c != PRESET],
-            F.coalesce(PRESET, "label").alias("label"),
-            _unless_preset(F.col("prob_true")).alias("prob_true"),
-            _unless_preset(F.col("rationale")).alias("rationale"),
-        )
+        return self.label_stages(rows, [stage], settings).drop("stage")
+
+    def label_stages(self, rows: DataFrame, stages: Sequence[StageSpec], settings: Settings) -> DataFrame:
+        """Each row once for each ``stage`` that it names; the texts meet the terms once for all."""
+        scored = match_terms(_with_preset(rows), self.lexicon, settings.cols)
+        for stage in stages:
+            threshold = self.screen_threshold if stage.name == "screen" else self.classify_threshold
+            labels = F.struct(
+                F.lit(stage.name).alias("stage"),
+                F.coalesce(PRESET, "label").alias("label"),
+                _unless_preset(F.col("prob_true")).alias("prob_true"),
+                _unless_preset(F.col("rationale")).alias("rationale"),
+            )
+            scored = (
+                score_matches(scored, self.lexicon, stage.name, threshold)
+                .withColumn(f"_of_{stage.name}", labels)
+                .drop("support", "against", "label", "prob_true", "rationale")
+            )
+        kept = [c for c in rows.columns if c not in settings.cols and c != PRESET]
+        return scored.select(*kept, F.inline(F.array(*[f"_of_{s.name}" for s in stages])))
 
 
 def requests(texts: pd.Series, token_budget: int | None) -> Iterator[pd.Series]:

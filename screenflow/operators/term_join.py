@@ -4,7 +4,8 @@ The counterpart of `signals` for lexicons that are too large for literals of a p
 A text is cut into words by place, and its runs of consecutive words, of each length
 that some term has, meet the terms by equality: no phrase is looked for twice, no
 common word meets the phrases that merely contain it, and nothing of the lexicon is
-in the plan. Texts stay where they are. If the stored term table is small, the planner
+in the plan but the first words of the terms of a length, if they are few: then only
+runs that begin with one are formed. Texts stay where they are. If the stored term table is small, the planner
 broadcasts it by its size and only matches are shuffled; if not, distinct runs are, and
 the adaptive skew join splits frequent ones.
 """
@@ -12,7 +13,9 @@ the adaptive skew join splits frequent ones.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, field
+from functools import reduce
+from operator import add
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -34,9 +37,14 @@ from screenflow.operators.signals import (
 from screenflow.sources.scratch import stored
 from screenflow.spec import TEXT_COLS
 
-KEY, CONTENT, MATCHES, N_TAGS = "_key", "_content", "_matches", "_n_tags"
+KEY, CONTENT, N_TAGS, CONDITIONS = "_key", "_content", "_n_tags", "_conditions"
+POLARITIES = ("screen", "classify")
 #: The field of whole hashtags and their parts, which only the lone-hashtag rule reads.
 TAG_FIELD = "#"
+#: Up to as many first words of the terms of a length stand in the plan and save all other runs.
+MAX_FIRST_WORDS = 1_000
+#: What makes two matches of a text one, whatever their fields.
+ENTRY = ("term", "signal", "screen", "classify", "weight")
 
 
 def normal_terms(table: DataFrame) -> DataFrame:
@@ -67,6 +75,8 @@ class TermTable:
     words: DataFrame | None = None
     longest_word: int = 0
     hashtag_signal: str | None = None
+    #: First words of the terms of a length, where they are at most `MAX_FIRST_WORDS`.
+    first_words: dict[int, tuple[str, ...]] = field(default_factory=dict)
 
     @classmethod
     def store(
@@ -74,18 +84,25 @@ class TermTable:
     ) -> TermTable:
         """Write the normal terms of ``(signal, term, screen, classify, weight)`` rows once.
 
-        Only the distinct lengths of terms, in words, reach the driver. With ``tag_words``
-        (``word``), tags made up of these and the lexicon's words count for their parts.
+        Only the distinct lengths of terms, in words, and a few first words reach the driver.
+        With ``tag_words`` (``word``), tags made up of these and the lexicon's words count for
+        their parts.
         """
         terms = stored(normal_terms(table), "terms")
-        lengths = tuple(sorted(r["n_words"] for r in terms.select("n_words").distinct().collect()))
+        firsts = terms.select("n_words", F.substring_index("term", " ", 1).alias("word")).distinct()
+        counts = {r["n_words"]: r["n"] for r in firsts.groupBy("n_words").agg(F.count(F.lit(1)).alias("n")).collect()}
+        few = [n for n, count in counts.items() if count <= MAX_FIRST_WORDS]
+        first_words: dict[int, list[str]] = {n: [] for n in few}
+        for r in firsts.filter(F.col("n_words").isin(few)).collect() if few else []:
+            first_words[r["n_words"]].append(r["word"])
         words, longest = None, 0
         if tag_words is not None:
             own = terms.select(F.explode(F.split("term", " ")).alias("word"))
             more = tag_words.select(F.lower("word").alias("word")).filter("word <> ''")
             words = stored(own.union(more).distinct(), "tag-words")
             longest = words.agg(F.max(F.length("word")).alias("n")).first()["n"] or 0
-        return cls(terms, lengths, words, longest, hashtag_signal)
+        few_words = {n: tuple(sorted(found)) for n, found in first_words.items()}
+        return cls(terms, tuple(sorted(counts)), words, longest, hashtag_signal, few_words)
 
 
 def tag_parts(tags: DataFrame, lexicon: TermTable) -> DataFrame:
@@ -127,27 +144,68 @@ def word_lists(df: DataFrame, lexicon: TermTable, fields: Sequence[str]) -> Data
     return lists.union(tagged.select(KEY, CONTENT, F.lit(TAG_FIELD), F.array("tag")))
 
 
+def runs_of(words: str, lexicon: TermTable, n: int) -> Column:
+    """The runs of ``n`` consecutive words that may be terms; null in place of the others."""
+
+    def run(word: Column, at: Column) -> Column:
+        joined = F.concat(word, *[x for k in range(1, n) for x in (F.lit(" "), F.get(words, at + k))])
+        return F.when(word.isin(*lexicon.first_words[n]), joined) if n in lexicon.first_words else joined
+
+    if n == 1 and n not in lexicon.first_words:
+        return F.col(words)
+    return F.transform(words, run)
+
+
+def _facts(bit: dict[str, int], hashtag_signal: str | None) -> list[Column]:
+    """What each stage has to know of the entries of a text; ``_places`` holds their fields."""
+    texts = sum(b for name, b in bit.items() if name != TAG_FIELD)
+    has = lambda b: F.col("_places").bitwiseAND(F.lit(b)) > 0
+    times = reduce(add, [F.when(has(b), F.lit(FIELD_WEIGHTS.get(name, 1.0))).otherwise(0.0) for name, b in bit.items() if name != TAG_FIELD], F.lit(0.0))
+    facts = [F.collect_set(F.when(has(bit[TAG_FIELD]) & (F.col("signal") == hashtag_signal), F.col("term"))).alias(CONDITIONS)] if hashtag_signal else []
+    for stage in POLARITIES:
+        side = lambda sign: has(texts) & (F.col(stage) == sign)  # noqa: E731, B023
+        facts += [
+            F.sum(F.when(side(1), F.col("weight"))).alias(f"_support_{stage}"),
+            F.sum(F.when(side(-1), F.col("weight"))).alias(f"_against_{stage}"),
+            F.sum(times * F.col("weight") * F.col(stage)).alias(f"_evidence_{stage}"),
+            F.bit_or(F.when(side(1), F.col("_places").bitwiseAND(F.lit(texts))).otherwise(0)).alias(f"_fields_{stage}"),
+            F.collect_set(F.when(side(1), F.col("term"))).alias(f"_hits_{stage}"),
+        ]
+    return facts
+
+
+def fact_columns(df: DataFrame) -> list[str]:
+    """The columns that `match_terms` added."""
+    added = {SILENT, N_TAGS, CONDITIONS, *(f"_{x}_{p}" for p in POLARITIES for x in ("support", "against", "evidence", "fields", "hits"))}
+    return [c for c in df.columns if c in added]
+
+
 def match_terms(df: DataFrame, lexicon: TermTable, cols: Sequence[str] = TEXT_COLS, key: str = "url") -> DataFrame:
-    """Replace the texts by ``_matches``, the distinct terms found per field with their signals.
+    """Replace the texts by what the stages need to know of the distinct terms found per field.
 
-    Also adds whether the transcript says nothing and the number of hashtags. Rows are
+    That is sums of weights, the fields and the terms themselves, all by aggregates of flat
+    rows. Also adds whether the transcript says nothing and the number of hashtags. Rows are
     told apart by key and content, so copies of a key with other texts keep their own
     matches; a null key counts as empty.
     """
     fields = [c for c in cols if c in df.columns]
     texts = [named(f) for f in fields]
     rows = df.withColumn(KEY, F.coalesce(named(key).cast("string"), F.lit(""))).withColumn(CONTENT, F.xxhash64(F.lit(0), *texts))
-    one = F.col("n") == 1
-    runs = F.transform(F.sequence(F.lit(1), F.size("words") - F.col("n") + 1), lambda i: F.array_join(F.slice("words", i, F.col("n")), " "))
+    # Whole hashtags and their parts are looked up as single words.
+    single = F.array_compact(runs_of("words", lexicon, 1)) if 1 in lexicon.lengths else F.array().cast("array<string>")
+    longer = [F.array_compact(runs_of("words", lexicon, n)) for n in lexicon.lengths if n > 1]
+    runs = F.when(F.col("field") == TAG_FIELD, single).otherwise(F.flatten(F.array(single, *longer)))
     found = (
         word_lists(rows, lexicon, fields)
-        .withColumn("n", F.explode(F.array(*[F.lit(n) for n in lexicon.lengths] or [F.lit(1)])))
-        .filter((F.size("words") >= F.col("n")) & ((F.col("field") != TAG_FIELD) | one))
-        .select(KEY, CONTENT, "field", F.explode(F.array_distinct(F.when(one, F.col("words")).otherwise(runs))).alias("term"))
+        .select(KEY, CONTENT, "field", F.explode(F.array_distinct(runs)).alias("term"))
         .join(lexicon.terms.drop("n_words"), "term")
     )
-    match = F.struct("term", "signal", "field", "screen", "classify", "weight")
-    matches = found.groupBy(KEY, CONTENT).agg(F.array_sort(F.collect_set(match)).alias(MATCHES))
+    # One row for each entry of a text, with a bit for each field that has it; both groupings
+    # use the exchange by text.
+    bit = {name: 1 << k for k, name in enumerate([*fields, TAG_FIELD])}
+    place = reduce(lambda other, name: F.when(F.col("field") == name, F.lit(bit[name])).otherwise(other), bit, F.lit(0))
+    entries = found.withColumn("_bit", place).repartition(KEY, CONTENT).groupBy(KEY, CONTENT, *ENTRY).agg(F.bit_or("_bit").alias("_places"))
+    matches = entries.groupBy(KEY, CONTENT).agg(*_facts(bit, lexicon.hashtag_signal))
     if TRANSCRIPT in fields:
         silent = ~nonblank(named(TRANSCRIPT)) | has_lyrics(_low(TRANSCRIPT))
     else:
@@ -161,43 +219,19 @@ def match_terms(df: DataFrame, lexicon: TermTable, cols: Sequence[str] = TEXT_CO
 def score_matches(df: DataFrame, lexicon: TermTable, stage: str, threshold: float) -> DataFrame:
     """Add ``support, against, label, prob_true, rationale`` of a stage to `match_terms` output."""
     polarity = "screen" if stage == "screen" else "classify"
-    in_texts = F.filter(MATCHES, lambda m: m["field"] != TAG_FIELD)
-    total = lambda xs, value: F.aggregate(xs, F.lit(0.0), lambda a, m: a + value(m))
-
-    def side(sign: int) -> Column:
-        mine = F.filter("_in_texts", lambda m: m[polarity] == sign)
-        once = F.array_distinct(F.transform(mine, lambda m: F.struct(m["term"], m["signal"], m["screen"], m["classify"], m["weight"].alias("weight"))))
-        return F.coalesce(total(once, lambda m: m["weight"]), F.lit(0.0))
-
-    field_weight = F.lit(1.0)
-    positive = F.filter("_in_texts", lambda m: m[polarity] == 1)
-
-    def evidence(m: Column) -> Column:
-        weight = field_weight
-        for field, times in FIELD_WEIGHTS.items():
-            weight = F.when(m["field"] == field, F.lit(times)).otherwise(weight)
-        return weight * m["weight"] * m[polarity]
-
-    distinct = lambda name: F.array_sort(F.array_distinct(F.transform(positive, lambda m: m[name])))
-    scored = df.withColumn("_in_texts", in_texts).withColumns(
-        {
-            "support": side(1),
-            "against": side(-1),
-            "_evidence": F.coalesce(total(F.col("_in_texts"), evidence), F.lit(0.0)),
-            "_hits": F.coalesce(distinct("term"), F.array().cast("array<string>")),
-            "_fields": F.coalesce(F.size(distinct("field")), F.lit(0)),
-        }
-    )
+    number = lambda name: F.coalesce(F.col(f"_{name}_{polarity}"), F.lit(0.0))
+    hits = F.coalesce(F.array_sort(f"_hits_{polarity}"), F.array().cast("array<string>"))
+    scored = df.withColumns({"support": number("support"), "against": number("against"), "_hits": hits})
     lone = F.lit(False)
     if lexicon.hashtag_signal and stage != "screen":
-        conditions = F.filter(MATCHES, lambda m: (m["field"] == TAG_FIELD) & (m["signal"] == lexicon.hashtag_signal))
-        named_ = F.coalesce(F.size(F.array_distinct(F.transform(conditions, lambda m: m["term"]))), F.lit(0))
+        named_ = F.coalesce(F.size(CONDITIONS), F.lit(0))
         lone = (F.col(N_TAGS) >= MANY_HASHTAGS) & (named_ == 1) & (F.size("_hits") == 1)
-    passes = passes_stage(stage, threshold, F.col("support"), F.col("against"), F.col("_fields"), F.col(SILENT), lone)
+    agreeing = F.coalesce(F.bit_count(f"_fields_{polarity}"), F.lit(0))
+    passes = passes_stage(stage, threshold, F.col("support"), F.col("against"), agreeing, F.col(SILENT), lone)
     return scored.withColumns(
         {
             "label": F.when(passes, F.lit("TRUE")).otherwise(F.lit("FALSE")),
-            "prob_true": probability(F.col("_evidence"), threshold),
+            "prob_true": probability(number("evidence"), threshold),
             "rationale": rationale(F.col("_hits")),
         }
-    ).drop("_in_texts", "_evidence", "_hits", "_fields")
+    ).drop("_hits")

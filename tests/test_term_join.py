@@ -9,7 +9,8 @@ from screenflow.functions.hashtags import break_words, compound_parts
 from screenflow.lexicon import MAX_TERMS, MENTAL_HEALTH
 from screenflow.operators.score import SignalScorer, TermTableScorer
 from screenflow.operators.signals import signal_scores
-from screenflow.operators.term_join import TermTable, match_terms, normal_terms, score_matches
+from screenflow.operators import term_join
+from screenflow.operators.term_join import TermTable, match_terms, normal_terms, runs_of, score_matches
 from screenflow.spec import CLASSIFY, SCREEN, Settings
 from tests.conftest import optimized
 
@@ -84,6 +85,46 @@ def test_large_terms_join_without_a_broadcast(spark, stored, conf):
     assert sorted(tuple(r) for r in TermTableScorer(stored).label(rows, CLASSIFY, Settings("m", "m")).collect()) == want
 
 
+def test_both_stages_meet_the_terms_once(spark, stored):
+    texts = ["adhd and my diagnosis", "#adhdawareness ocd", None, "my adhd my adhd"]
+    rows = spark.createDataFrame([(f"u{i % 5}", texts[i % 4], texts[i % 3], None) for i in range(24)], f"url string, {FIELDS}")
+    scorer, settings = TermTableScorer(stored), Settings("m", "m")
+    both = scorer.label_stages(rows, [SCREEN, CLASSIFY], settings)
+    want = [(r["url"], s.name, *tuple(r)[1:]) for s in (SCREEN, CLASSIFY) for r in scorer.label(rows, s, settings).collect()]
+    assert sorted(map(str, (tuple(r) for r in both.collect()))) == sorted(map(str, want))
+    assert optimized(both).count("Join Inner, (term#") == 1
+
+
+def test_a_text_that_holds_every_term(spark):
+    """Entries are summed in flat rows: no array of them is compared with itself."""
+    n = 5000
+    terms = spark.range(n).select(
+        F.concat(F.lit("s"), F.col("id") % 2).alias("signal"), F.concat(F.lit("w"), F.col("id")).alias("term"), F.lit(1).alias("screen"),
+        F.when(F.col("id") % 4 == 0, -1).otherwise(1).alias("classify"), F.lit(0.5).alias("weight"),
+    )
+    table = TermTable.store(terms.union(terms.withColumn("signal", F.lit("more")).limit(2)))
+    text = " ".join(f"w{i}" for i in range(n))
+    matched = match_terms(spark.createDataFrame([("a", text, text, text)], f"url string, {FIELDS}"), table)
+    assert "struct" not in matched.drop("url").schema.simpleString().removeprefix("struct")
+    [r] = score_matches(matched, table, "classify", 2.0).collect()
+    assert (r["support"] + r["against"], r["against"]) == ((n + 2) * 0.5, n // 4 * 0.5 + 0.5)
+    assert len(r["rationale"].split(", ")) == n - n // 4
+
+
+def test_only_runs_that_may_be_terms_are_formed(spark, monkeypatch):
+    terms = [("s", t, 1, 1, 1.0) for t in ("sad", "mental health", "mental state of mind", "state of")]
+    rows = spark.createDataFrame([("a", "a mental state of mind, sad; a state of mental", None, None), ("b", "mental", None, None)], f"url string, {FIELDS}")
+    few = TermTable.store(spark.createDataFrame(terms, TERMS))
+    words = rows.select(F.split("description", "[^a-z]+").alias("w"))
+    formed = [words.select(F.array_compact(runs_of("w", few, n))).first()[0] for n in few.lengths]
+    assert formed == [["sad"], ["mental state", "state of", "state of"], ["mental state of mind"]]
+    monkeypatch.setattr(term_join, "MAX_FIRST_WORDS", 0)
+    many = TermTable.store(spark.createDataFrame(terms, TERMS))
+    assert len(words.select(F.array_compact(runs_of("w", many, 2))).first()[0]) == 9
+    got = [sorted(map(tuple, TermTableScorer(t).label(rows, CLASSIFY, Settings("m", "m")).collect())) for t in (few, many)]
+    assert got[0] == got[1] and got[0][0][3] == "signals: mental state of mind, sad, state of"
+
+
 def ways(text, words):
     """Every way to cut ``text`` into words."""
     if not text:

@@ -126,10 +126,13 @@ def corpus_terms(spark: SparkSession, folder: str) -> DataFrame:
     """A lexicon out of the tables: words of the documents, pairs of the conversations, triples of the benchmark."""
 
     def runs(table: str, n: int) -> DataFrame:
-        words = F.filter(F.split(F.lower(F.coalesce("text", F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-        texts = spark.read.parquet(f"{folder}/{table}.parquet").select(words.alias("w")).filter(F.size("w") >= n)
-        at = F.sequence(F.lit(1), F.size("w") - n + 1)
-        return texts.select(F.explode(F.transform(at, lambda i: F.array_join(F.slice("w", i, n), " "))).alias("term"))
+        words = F.split(F.lower(F.coalesce("text", F.lit(""))), r"[^\p{L}\p{N}]+")
+        texts = spark.read.parquet(f"{folder}/{table}.parquet")
+        if n == 1:
+            return texts.select(F.explode(F.array_distinct(words)).alias("term")).filter("term <> ''")
+        run = lambda word, at: F.concat(word, *[x for k in range(1, n) for x in (F.lit(" "), F.get("w", at + k))])
+        terms = F.array_compact(F.transform("w", run))
+        return texts.select(F.filter(words, lambda w: w != "").alias("w")).select(F.explode(F.array_distinct(terms)).alias("term"))
 
     terms = runs("documents", 1).union(runs("conversations", 2)).union(runs("benchmark", 3)).distinct()
     return terms.filter("length(term) > 2").selectExpr("*", *[f"{e} as {c}" for c, e in CORPUS_TERMS.items()])
