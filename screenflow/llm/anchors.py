@@ -24,7 +24,7 @@ Documents without id take no part: nothing is removed from or because of them.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from typing import NamedTuple
 
 import numpy as np
@@ -43,6 +43,8 @@ _STEP = np.uint64(0x9E3779B97F4A7C15)
 TOGETHER_BYTES = 1 << 20
 #: Stretches confirmed at once; those of one anchor stay together.
 TOGETHER = 1 << 13
+#: Pairs packed and sent at once, as each copy of them takes memory.
+SENT = 1 << 18
 ASKED, KNOWN, TOLD = 0, 1, 2
 PAIRS = "shard int, state byte, low binary, high binary, docs binary"
 STRETCHES = "shard int, state byte, docs binary, rows binary, firsts binary, sizes binary, text binary, anchors binary"
@@ -120,9 +122,19 @@ def parts(offsets: np.ndarray, window: int, cut: bool) -> Iterator[tuple[int, in
         i = j
 
 
-def batch_anchors(rule: Rule, data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
-    """Runs of windows with one anchor in a batch: row, first window in the row, windows, first byte, end byte, hash."""
-    found: list[list[np.ndarray]] = [[np.zeros(0, np.int64)] for _ in range(5)] + [[np.zeros(0, np.uint64)]]
+#: What `batch_anchors` gives for each run of windows with one anchor.
+ROW, FIRST, WINDOWS, BEGIN, END, HASH = range(6)
+
+
+def batch_anchors(
+    rule: Rule, data: np.ndarray, offsets: np.ndarray, columns: Sequence[int] = range(6), keep: Callable | None = None
+) -> list[np.ndarray]:
+    """Runs of windows with one anchor in a batch: row, first window in the row, windows, first byte, end byte, hash.
+
+    Only the ``columns`` asked for are gathered, of those runs that ``keep`` finds among the
+    rows and hashes of a piece: a batch has far more runs than are needed at once.
+    """
+    found: list[list[np.ndarray]] = [[np.zeros(0, np.uint64 if k == HASH else np.int64)] for k in columns]
     for i, j, start, stop in parts(offsets, rule.window, rule.cut):
         units, at, begin, end = rule.units(data[start:stop], np.clip(offsets[i : j + 1], start, stop) - start)
         ends = np.repeat(at[1:], np.diff(at))
@@ -131,11 +143,18 @@ def batch_anchors(rule: Rule, data: np.ndarray, offsets: np.ndarray) -> list[np.
             first, last, hashes = anchors(units[k:stop_unit], np.minimum(ends[k:stop_unit], stop_unit) - k, rule.window, rule.gram)
             first, last = first + k, last + k
             row = np.searchsorted(at, first, side="right") - 1
+            if keep is not None:
+                kept = np.flatnonzero(keep(row + i, hashes))
+                first, last, hashes, row = first[kept], last[kept], hashes[kept], row[kept]
             before = start - int(offsets[i])
             values = (row + i, first - at[row] + before, last - first + 1, begin[first] + start, end[last + rule.window - 1] + start, hashes)
-            for out, value in zip(found, values, strict=True):
-                out.append(value)
-    return [np.concatenate(x) for x in found]
+            for out, column in zip(found, columns, strict=True):
+                out.append(values[column])
+    whole = []
+    for out in found:
+        whole.append(np.concatenate(out))
+        out.clear()
+    return whole
 
 
 def shard_of(hashes: np.ndarray, n: int) -> np.ndarray:
@@ -156,6 +175,17 @@ def told_shard(docs: np.ndarray, n: int) -> np.ndarray:
     return (n + (mixed(docs.view(np.uint64)) % np.uint64(n)).astype(np.int64)).astype(np.int32)
 
 
+def in_parts(shard: np.ndarray, order: np.ndarray) -> Iterator[np.ndarray]:
+    """``order``, which sorts by shard, in parts of about ``SENT`` entries that cut no shard."""
+    i = 0
+    while i < len(order):
+        j = len(order)
+        if j - i > SENT:
+            j = i + int(np.searchsorted(shard[order[i:]], shard[order[i + SENT]], side="right"))
+        yield order[i:j]
+        i = j
+
+
 def find_pairs(rule: Rule, n_shards: int):
     """Packed (anchor, document) pairs of every batch, by shard."""
 
@@ -163,35 +193,36 @@ def find_pairs(rule: Rule, n_shards: int):
         for batch in batches:
             data, offsets = binary_column(batch.column("body"))
             ids = batch.column("doc_id").fill_null(0).to_numpy(zero_copy_only=False)
-            row, *_, hashes = batch_anchors(rule, data, offsets)
+            row, hashes = batch_anchors(rule, data, offsets, (ROW, HASH))
             docs = ids[row]
             order = np.lexsort((docs, hashes))
             hashes, docs = hashes[order], docs[order]
+            del row, order
             new_hash = np.diff(hashes, prepend=~hashes[:1]) != 0
             new = new_hash | (np.diff(docs, prepend=docs[:1]) != 0)
             hashes, docs, new_hash = hashes[new], docs[new], new_hash[new]
             starts = np.flatnonzero(new_hash)
             several = np.diff([*starts, len(hashes)]) > 1
             known = np.repeat(several, np.diff([*starts, len(hashes)]))
-            for state, keep in ((ASKED, ~known), (KNOWN, known & new_hash), (TOLD, known)):
+            new_hash &= known
+            for state, keep in ((ASKED, ~known), (KNOWN, new_hash), (TOLD, known)):
                 h, d = hashes[keep], docs[keep]
-                if state == TOLD:
-                    # Each document beside the whole name of its anchor.
-                    shard = told_shard(d, n_shards)
-                    order = np.argsort(shard, kind="stable")
-                    keys, (names, told) = packed_by(shard[order], [named(h, n_shards)[order], d[order]])
-                    packed = [names, [b""] * len(keys), told]
-                else:
-                    shard = shard_of(h, n_shards)
-                    order = np.lexsort((d, shard))
-                    low, high = h.astype(np.uint32), (h >> np.uint64(32)).astype(np.uint8)
-                    keys, packed = packed_by(shard[order], [low[order], high[order], d[order]])
-                    if state == KNOWN:
-                        packed[2] = [b""] * len(keys)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys, pa.int32()), pa.array([state] * len(keys), pa.int8()), *(pa.array(x, pa.binary()) for x in packed)],
-                    ["shard", "state", "low", "high", "docs"],
-                )
+                shard = told_shard(d, n_shards) if state == TOLD else shard_of(h, n_shards)
+                order = np.argsort(shard, kind="stable") if state == TOLD else np.lexsort((d, shard))
+                for part in in_parts(shard, order):
+                    if state == TOLD:
+                        # Each document beside the whole name of its anchor.
+                        keys, (names, told) = packed_by(shard[part], [named(h[part], n_shards), d[part]])
+                        packed = [names, [b""] * len(keys), told]
+                    else:
+                        mine = h[part]
+                        keys, packed = packed_by(shard[part], [mine.astype(np.uint32), (mine >> np.uint64(32)).astype(np.uint8), d[part]])
+                        if state == KNOWN:
+                            packed[2] = [b""] * len(keys)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(keys, pa.int32()), pa.array([state] * len(keys), pa.int8()), *(pa.array(x, pa.binary()) for x in packed)],
+                        ["shard", "state", "low", "high", "docs"],
+                    )
 
     return run
 
@@ -254,16 +285,19 @@ def find_stretches(rule: Rule, n_shards: int):
             wanted = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
             lengths = np.asarray(lists.value_lengths().fill_null(0))
             owner = np.repeat(np.arange(len(ids), dtype=np.uint64), lengths)
-            row, first, n, begin, end, hashes = batch_anchors(rule, data, offsets)
-            shard = shard_of(hashes, n_shards)
             shared = np.sort(wanted ^ mixed(owner + _STEP))
-            mine = named(hashes, n_shards) ^ mixed(row.astype(np.uint64) + _STEP)
-            keep = np.zeros(len(mine), bool)
-            if len(shared):
-                keep = shared[np.minimum(np.searchsorted(shared, mine), len(shared) - 1)] == mine
-            kept = np.flatnonzero(keep)
-            kept = kept[np.argsort(ids[row[kept]], kind="stable")]
-            row, first, n, begin, end, hashes, shard = (x[kept] for x in (row, first, n, begin, end, hashes, shard))
+            del wanted, owner
+
+            def is_shared(row: np.ndarray, hashes: np.ndarray, shared=shared) -> np.ndarray:
+                if not len(shared):
+                    return np.zeros(len(row), bool)
+                mine = named(hashes, n_shards) ^ mixed(row.astype(np.uint64) + _STEP)
+                return shared[np.minimum(np.searchsorted(shared, mine), len(shared) - 1)] == mine
+
+            row, first, n, begin, end, hashes = batch_anchors(rule, data, offsets, keep=is_shared)
+            order = np.argsort(ids[row], kind="stable")
+            row, first, n, begin, end, hashes = (x[order] for x in (row, first, n, begin, end, hashes))
+            shard = shard_of(hashes, n_shards)
             docs, rows = ids[row], digests[row]
             raw = data.tobytes()
             earliest: dict[bytes, int] = {}
