@@ -164,10 +164,12 @@ def _facts(bit: dict[str, int], hashtag_signal: str | None) -> list[Column]:
     facts = [F.collect_set(F.when(has(bit[TAG_FIELD]) & (F.col("signal") == hashtag_signal), F.col("term"))).alias(CONDITIONS)] if hashtag_signal else []
     for stage in POLARITIES:
         side = lambda sign: has(texts) & (F.col(stage) == sign)  # noqa: E731, B023
+        # An unknown addend makes the sum of a row 0.
+        total = lambda of, value: F.when(F.bool_or(of & value.isNull()), F.lit(0.0)).otherwise(F.sum(F.when(of, value)))
         facts += [
-            F.sum(F.when(side(1), F.col("weight"))).alias(f"_support_{stage}"),
-            F.sum(F.when(side(-1), F.col("weight"))).alias(f"_against_{stage}"),
-            F.sum(times * F.col("weight") * F.col(stage)).alias(f"_evidence_{stage}"),
+            total(side(1), F.col("weight")).alias(f"_support_{stage}"),
+            total(side(-1), F.col("weight")).alias(f"_against_{stage}"),
+            total(has(texts), times * F.col("weight") * F.col(stage)).alias(f"_evidence_{stage}"),
             F.bit_or(F.when(side(1), F.col("_places").bitwiseAND(F.lit(texts))).otherwise(0)).alias(f"_fields_{stage}"),
             F.collect_set(F.when(side(1), F.col("term"))).alias(f"_hits_{stage}"),
         ]

@@ -111,6 +111,15 @@ def test_a_text_that_holds_every_term(spark):
     assert len(r["rationale"].split(", ")) == n - n // 4
 
 
+def test_an_unknown_weight_makes_the_sum_nothing(spark):
+    table = TermTable.store(spark.createDataFrame([("s", "sad", 1, -1, None), ("s", "low", 1, 1, 3.0), ("s", "odd", None, 1, 1.0)], TERMS))
+    rows = spark.createDataFrame([("a", "sad low", None, None), ("b", "low odd", None, None), ("c", "low", None, None)], f"url string, {FIELDS}")
+    got = score_matches(match_terms(rows, table), table, "screen", 1.0).collect()
+    assert {r["url"]: (r["support"], r["against"], round(r["prob_true"], 3)) for r in got} == {
+        "a": (0.0, 0.0, 0.378), "b": (3.0, 0.0, 0.378), "c": (3.0, 0.0, 0.996),
+    }
+
+
 def test_only_runs_that_may_be_terms_are_formed(spark, monkeypatch):
     terms = [("s", t, 1, 1, 1.0) for t in ("sad", "mental health", "mental state of mind", "state of")]
     rows = spark.createDataFrame([("a", "a mental state of mind, sad; a state of mental", None, None), ("b", "mental", None, None)], f"url string, {FIELDS}")
