@@ -17,6 +17,7 @@ from dataclasses import dataclass, field
 from functools import reduce
 from operator import add
 
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,7 +35,8 @@ from screenflow.operators.signals import (
     probability,
     rationale,
 )
-from screenflow.sources.scratch import stored
+from screenflow.operators.term_chunks import BODY, BUCKET, CHUNK, LINE, PLACE, answers, askers, buckets_of, chunks_of, sieve_of, summed, term_cells
+from screenflow.sources.scratch import shuffles_dropped, stored
 from screenflow.spec import TEXT_COLS
 
 KEY, CONTENT, N_TAGS, CONDITIONS = "_key", "_content", "_n_tags", "_conditions"
@@ -77,6 +79,8 @@ class TermTable:
     hashtag_signal: str | None = None
     #: First words of the terms of a length, where they are at most `MAX_FIRST_WORDS`.
     first_words: dict[int, tuple[str, ...]] = field(default_factory=dict)
+    #: Bits of a slot, the slots that some term has, and the number of terms; only if the first words of a length are too many.
+    sieve: tuple[int, Broadcast, int] | None = None
 
     @classmethod
     def store(
@@ -84,10 +88,16 @@ class TermTable:
     ) -> TermTable:
         """Write the normal terms of ``(signal, term, screen, classify, weight)`` rows once.
 
-        Only the distinct lengths of terms, in words, and a few first words reach the driver.
+        Only the distinct lengths of terms, in words, a few first words and a sieve of at most
+        32 MB reach the driver.
         With ``tag_words`` (``word``), tags made up of these and the lexicon's words count for
         their parts.
         """
+        with shuffles_dropped(table.sparkSession):
+            return cls._store(table, hashtag_signal, tag_words)
+
+    @classmethod
+    def _store(cls, table: DataFrame, hashtag_signal: str | None, tag_words: DataFrame | None) -> TermTable:
         terms = stored(normal_terms(table), "terms")
         firsts = terms.select("n_words", F.substring_index("term", " ", 1).alias("word")).distinct()
         counts = {r["n_words"]: r["n"] for r in firsts.groupBy("n_words").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -102,7 +112,12 @@ class TermTable:
             words = stored(own.union(more).distinct(), "tag-words")
             longest = words.agg(F.max(F.length("word")).alias("n")).first()["n"] or 0
         few_words = {n: tuple(sorted(found)) for n, found in first_words.items()}
-        return cls(terms, tuple(sorted(counts)), words, longest, hashtag_signal, few_words)
+        sieve = None
+        if len(few) < len(counts):
+            n_terms = terms.count()
+            bits, slots = sieve_of(terms, n_terms)
+            sieve = bits, terms.sparkSession.sparkContext.broadcast(slots), n_terms
+        return cls(terms, tuple(sorted(counts)), words, longest, hashtag_signal, few_words, sieve)
 
 
 def tag_parts(tags: DataFrame, lexicon: TermTable) -> DataFrame:
@@ -182,32 +197,61 @@ def fact_columns(df: DataFrame) -> list[str]:
     return [c for c in df.columns if c in added]
 
 
-def match_terms(df: DataFrame, lexicon: TermTable, cols: Sequence[str] = TEXT_COLS, key: str = "url") -> DataFrame:
-    """Replace the texts by what the stages need to know of the distinct terms found per field.
+def _place(bit: dict[str, int]) -> Column:
+    return reduce(lambda other, name: F.when(F.col("field") == name, F.lit(bit[name])).otherwise(other), bit, F.lit(0))
 
-    That is sums of weights, the fields and the terms themselves, all by aggregates of flat
-    rows. Also adds whether the transcript says nothing and the number of hashtags. Rows are
-    told apart by key and content, so copies of a key with other texts keep their own
-    matches; a null key counts as empty.
-    """
-    fields = [c for c in cols if c in df.columns]
-    texts = [named(f) for f in fields]
-    rows = df.withColumn(KEY, F.coalesce(named(key).cast("string"), F.lit(""))).withColumn(CONTENT, F.xxhash64(F.lit(0), *texts))
+
+def _flat_matches(lists: DataFrame, lexicon: TermTable, bit: dict[str, int]) -> DataFrame:
+    """The facts of each text that has terms, by a row for each match."""
     # Whole hashtags and their parts are looked up as single words.
     single = F.array_compact(runs_of("words", lexicon, 1)) if 1 in lexicon.lengths else F.array().cast("array<string>")
     longer = [F.array_compact(runs_of("words", lexicon, n)) for n in lexicon.lengths if n > 1]
     runs = F.when(F.col("field") == TAG_FIELD, single).otherwise(F.flatten(F.array(single, *longer)))
     found = (
-        word_lists(rows, lexicon, fields)
-        .select(KEY, CONTENT, "field", F.explode(F.array_distinct(runs)).alias("term"))
+        lists.select(KEY, CONTENT, "field", F.explode(F.array_distinct(runs)).alias("term"))
         .join(lexicon.terms.drop("n_words"), "term")
     )
     # One row for each entry of a text, with a bit for each field that has it; both groupings
     # use the exchange by text.
+    entries = found.withColumn("_bit", _place(bit)).repartition(KEY, CONTENT).groupBy(KEY, CONTENT, *ENTRY).agg(F.bit_or("_bit").alias("_places"))
+    return entries.groupBy(KEY, CONTENT).agg(*_facts(bit, lexicon.hashtag_signal))
+
+
+def _chunk_matches(lists: DataFrame, lexicon: TermTable, bit: dict[str, int], n: int) -> DataFrame:
+    """The same facts by ``n`` chunks of texts; terms that hit are one text, a term in a line."""
+    chunk = F.pmod(F.xxhash64(KEY, CONTENT), F.lit(n)).cast("int")
+    lines = lists.select(chunk.alias(CHUNK), KEY, CONTENT, _place(bit).alias(PLACE), F.array_join("words", " ").alias(LINE)).repartitionById(n, F.col(CHUNK))
+    bits, slots, n_terms = lexicon.sieve
+    n_buckets = buckets_of(n_terms, n)
+    ask = askers(lexicon.lengths, bits, slots, bit[TAG_FIELD], n_buckets)
+    asked = lines.groupBy(CHUNK).applyInArrow(ask, f"{BUCKET} int, {CHUNK} int, {BODY} binary").repartitionById(n_buckets, F.col(BUCKET))
+    named_ = [(F.col("signal") == lexicon.hashtag_signal).cast("int").alias("named")] if lexicon.hashtag_signal else []
+    terms = lexicon.terms.select("term", *named_, "weight", *POLARITIES)
+    cells = terms.mapInArrow(term_cells(n_buckets, terms.columns[1:]), f"{BUCKET} int, {BODY} binary").repartitionById(n_buckets, F.col(BUCKET))
+    answered = asked.groupBy(BUCKET).cogroup(cells.groupBy(BUCKET)).applyInArrow(answers(terms.columns[1:]), f"{CHUNK} int, {BODY} binary").repartitionById(n, F.col(CHUNK))
+    weights = {b: FIELD_WEIGHTS.get(name, 1.0) for name, b in bit.items() if name != TAG_FIELD}
+    sum_up = summed(weights, bit[TAG_FIELD], POLARITIES, CONDITIONS if lexicon.hashtag_signal else None, KEY, CONTENT)
+    facts = [f"{CONDITIONS} string"] if lexicon.hashtag_signal else []
+    for p in POLARITIES:
+        facts += [f"_support_{p} double", f"_against_{p} double", f"_evidence_{p} double", f"_fields_{p} int", f"_hits_{p} string"]
+    schema = ", ".join([f"{KEY} string", f"{CONTENT} bigint", *facts])
+    return lines.groupBy(CHUNK).cogroup(answered.groupBy(CHUNK)).applyInArrow(sum_up, schema)
+
+
+def match_terms(df: DataFrame, lexicon: TermTable, cols: Sequence[str] = TEXT_COLS, key: str = "url") -> DataFrame:
+    """Replace the texts by what the stages need to know of the distinct terms found per field.
+
+    That is sums of weights, the fields and the terms themselves. Also adds whether the transcript says nothing and the number of hashtags. Rows are
+    told apart by key and content, so copies of a key with other texts keep their own
+    matches; a null key counts as empty.
+    """
+    fields = [c for c in cols if c in df.columns]
+    texts = [named(f) for f in fields]
+    rows = df.withColumn(KEY, F.coalesce(named(key).cast("string"), F.lit(""))).withColumn(CONTENT, F.xxhash64(F.lit(0), *texts))
+    # A bit for each field, and one for the hashtags.
     bit = {name: 1 << k for k, name in enumerate([*fields, TAG_FIELD])}
-    place = reduce(lambda other, name: F.when(F.col("field") == name, F.lit(bit[name])).otherwise(other), bit, F.lit(0))
-    entries = found.withColumn("_bit", place).repartition(KEY, CONTENT).groupBy(KEY, CONTENT, *ENTRY).agg(F.bit_or("_bit").alias("_places"))
-    matches = entries.groupBy(KEY, CONTENT).agg(*_facts(bit, lexicon.hashtag_signal))
+    lists = word_lists(rows, lexicon, fields)
+    matches = _flat_matches(lists, lexicon, bit) if lexicon.sieve is None else _chunk_matches(lists, lexicon, bit, chunks_of(df, texts))
     if TRANSCRIPT in fields:
         silent = ~nonblank(named(TRANSCRIPT)) | has_lyrics(_low(TRANSCRIPT))
     else:
@@ -215,7 +259,10 @@ def match_terms(df: DataFrame, lexicon: TermTable, cols: Sequence[str] = TEXT_CO
     n_tags = F.size(hashtags(_low(DESCRIPTION))) if DESCRIPTION in fields else F.lit(0)
     kept = [named(c) for c in df.columns if c not in fields]
     facts = rows.select(*kept, KEY, CONTENT, silent.alias(SILENT), n_tags.alias(N_TAGS))
-    return facts.join(matches, [KEY, CONTENT], "left").drop(KEY, CONTENT)
+    found = facts.join(matches, [KEY, CONTENT], "left").drop(KEY, CONTENT)
+    if lexicon.sieve is None:
+        return found
+    return found.withColumns({c: F.split(c, "\n") for c in fact_columns(found) if c == CONDITIONS or c.startswith("_hits_")})
 
 
 def score_matches(df: DataFrame, lexicon: TermTable, stage: str, threshold: float) -> DataFrame:

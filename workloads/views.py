@@ -7,10 +7,14 @@ twice: with the library in `queries`, and in plain SQL in `oracle`.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from screenflow.lexicon import MENTAL_HEALTH, TAG_WORDS
+from screenflow.operators.term_chunks import Words, cut_small, distinct_runs
 
 VIDEOS = {
     "url": "concat('doc:', doc_id)",
@@ -126,13 +130,16 @@ def corpus_terms(spark: SparkSession, folder: str) -> DataFrame:
     """A lexicon out of the tables: words of the documents, pairs of the conversations, triples of the benchmark."""
 
     def runs(table: str, n: int) -> DataFrame:
-        words = F.split(F.lower(F.coalesce("text", F.lit(""))), r"[^\p{L}\p{N}]+")
+        low = F.lower(F.coalesce("text", F.lit("")))
         texts = spark.read.parquet(f"{folder}/{table}.parquet")
-        if n == 1:
-            return texts.select(F.explode(F.array_distinct(words)).alias("term")).filter("term <> ''")
-        run = lambda word, at: F.concat(word, *[x for k in range(1, n) for x in (F.lit(" "), F.get("w", at + k))])
-        terms = F.array_compact(F.transform("w", run))
-        return texts.select(F.filter(words, lambda w: w != "").alias("w")).select(F.explode(F.array_distinct(terms)).alias("term"))
+        lines = texts.select(F.trim(F.regexp_replace(low, r"[^\p{L}\p{N}]+", " ")).alias("line"))
+
+        def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in cut_small(batches):
+                words = Words.of(batch["line"])
+                yield pa.record_batch({"term": distinct_runs(words, words.begins(n), n)[1]})
+
+        return lines.mapInArrow(distinct, "term string")
 
     terms = runs("documents", 1).union(runs("conversations", 2)).union(runs("benchmark", 3)).distinct()
     return terms.filter("length(term) > 2").selectExpr("*", *[f"{e} as {c}" for c, e in CORPUS_TERMS.items()])
