@@ -106,6 +106,19 @@ def cut_small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch.slice(start, step)
 
 
+def gathered(batches: Iterator[pa.RecordBatch], n_rows: int) -> Iterator[pa.RecordBatch]:
+    """Batches put together until they have so many rows."""
+    some, n = [], 0
+    for batch in batches:
+        some.append(batch)
+        n += len(batch)
+        if n >= n_rows:
+            yield pa.concat_batches(some)
+            some, n = [], 0
+    if n:
+        yield pa.concat_batches(some)
+
+
 def distinct_runs(words: Words, begins: np.ndarray, n: int) -> tuple[np.ndarray, pa.Array]:
     """A place of each distinct run of ``n`` words among those that begin there, and the runs as texts."""
     code, n_words = words.ids[begins], len(words.vocabulary)
@@ -132,7 +145,7 @@ def sieve_of(terms: DataFrame, n_terms: int) -> tuple[int, bytes]:
     block_bits = min(BLOCK_BITS, bits)
 
     def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in gathered(batches, BUCKET_TERMS):
             slot = _sorted_set(slots_of(term_hashes(batch["term"]), bits))
             block, place = slot >> block_bits, slot & ((1 << block_bits) - 1)
             yield pa.record_batch({"block": block.astype(np.int32), "place": place.astype(np.int32)})
@@ -204,7 +217,7 @@ def term_cells(n_buckets: int, names: Sequence[str]) -> Callable[[Iterator[pa.Re
     """``_bucket, body``: terms with their numbers, packed by the bucket of their hash."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in gathered(batches, BUCKET_TERMS):
             bucket = (term_hashes(batch["term"]) % np.uint64(n_buckets)).astype(np.int64)
             found = [(b, packed(batch["term"].take(pa.array(at)), [batch[c].take(pa.array(at)) for c in names])) for b, at in _cells(bucket)]
             yield pa.record_batch({BUCKET: pa.array([b for b, _ in found], pa.int32()), BODY: pa.array([x for _, x in found], pa.binary())})
@@ -397,5 +410,5 @@ def chunks_of(df: DataFrame, texts: Sequence[Column]) -> int:
 
 
 def buckets_of(n_terms: int, n_chunks: int) -> int:
-    """How many buckets hold the lexicon: few terms in each, and few chunks' requests."""
-    return max(n_chunks, -(-n_terms // BUCKET_TERMS))
+    """How many buckets hold the lexicon: few terms in each, and what two chunks ask for."""
+    return max(-(-n_chunks // 2), -(-n_terms // BUCKET_TERMS))

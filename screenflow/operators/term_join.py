@@ -141,13 +141,17 @@ def _low(field: str) -> Column:
     return F.lower(F.coalesce(named(field), F.lit("")))
 
 
-def word_lists(df: DataFrame, lexicon: TermTable, fields: Sequence[str]) -> DataFrame:
-    """``_key, _content, field, words``: the words of every field by place, then those of tags."""
+def word_lists(df: DataFrame, lexicon: TermTable, fields: Sequence[str], lines: bool = False) -> DataFrame:
+    """``_key, _content, field, words``: the words of every field by place, then those of tags.
+
+    The words are an array, or with ``lines`` a text with one space between two of them.
+    """
     texts = [F.struct(F.lit(f).alias("field"), _low(f).alias("low")) for f in fields]
     each = df.select(KEY, CONTENT, F.inline(F.array(*texts))).filter("low <> ''")
     if TRANSCRIPT in fields:
         each = each.filter(~((F.col("field") == TRANSCRIPT) & has_lyrics(F.col("low"))))
-    lists = each.select(KEY, CONTENT, "field", F.split("low", BETWEEN_WORDS).alias("words"))
+    cut = F.regexp_replace("low", BETWEEN_WORDS, " ") if lines else F.split("low", BETWEEN_WORDS)
+    lists = each.select(KEY, CONTENT, "field", cut.alias("words"))
     if DESCRIPTION not in fields or (lexicon.words is None and lexicon.hashtag_signal is None):
         return lists
     tagged = df.select(KEY, CONTENT, F.explode(hashtags(_low(DESCRIPTION))).alias("tag")).distinct()
@@ -155,8 +159,8 @@ def word_lists(df: DataFrame, lexicon: TermTable, fields: Sequence[str]) -> Data
         tagged = stored(tagged, "tags")
         parts = tagged.join(tag_parts(tagged, lexicon), "tag").select(KEY, CONTENT, "parts")
         for field in (DESCRIPTION, TAG_FIELD):
-            lists = lists.union(parts.select(KEY, CONTENT, F.lit(field), "parts"))
-    return lists.union(tagged.select(KEY, CONTENT, F.lit(TAG_FIELD), F.array("tag")))
+            lists = lists.union(parts.select(KEY, CONTENT, F.lit(field), F.array_join("parts", " ") if lines else "parts"))
+    return lists.union(tagged.select(KEY, CONTENT, F.lit(TAG_FIELD), "tag" if lines else F.array("tag")))
 
 
 def runs_of(words: str, lexicon: TermTable, n: int) -> Column:
@@ -220,7 +224,7 @@ def _flat_matches(lists: DataFrame, lexicon: TermTable, bit: dict[str, int]) ->
 def _chunk_matches(lists: DataFrame, lexicon: TermTable, bit: dict[str, int], n: int) -> DataFrame:
     """The same facts by ``n`` chunks of texts; terms that hit are one text, a term in a line."""
     chunk = F.pmod(F.xxhash64(KEY, CONTENT), F.lit(n)).cast("int")
-    lines = lists.select(chunk.alias(CHUNK), KEY, CONTENT, _place(bit).alias(PLACE), F.array_join("words", " ").alias(LINE)).repartitionById(n, F.col(CHUNK))
+    lines = lists.select(chunk.alias(CHUNK), KEY, CONTENT, _place(bit).alias(PLACE), F.col("words").alias(LINE)).repartitionById(n, F.col(CHUNK))
     bits, slots, n_terms = lexicon.sieve
     n_buckets = buckets_of(n_terms, n)
     ask = askers(lexicon.lengths, bits, slots, bit[TAG_FIELD], n_buckets)
@@ -250,7 +254,7 @@ def match_terms(df: DataFrame, lexicon: TermTable, cols: Sequence[str] = TEXT_CO
     rows = df.withColumn(KEY, F.coalesce(named(key).cast("string"), F.lit(""))).withColumn(CONTENT, F.xxhash64(F.lit(0), *texts))
     # A bit for each field, and one for the hashtags.
     bit = {name: 1 << k for k, name in enumerate([*fields, TAG_FIELD])}
-    lists = word_lists(rows, lexicon, fields)
+    lists = word_lists(rows, lexicon, fields, lines=lexicon.sieve is not None)
     matches = _flat_matches(lists, lexicon, bit) if lexicon.sieve is None else _chunk_matches(lists, lexicon, bit, chunks_of(df, texts))
     if TRANSCRIPT in fields:
         silent = ~nonblank(named(TRANSCRIPT)) | has_lyrics(_low(TRANSCRIPT))
