@@ -342,7 +342,7 @@ def summed(weights: dict[int, float], tag_place: int, stages: Sequence[str], con
         lines = lines.combine_chunks()
         entries = pa.concat_tables([unpacked(b, names) for b in cells[BODY].to_pylist()] or [nothing]).combine_chunks()
         keys = lines.select([key, content]).append_column("at", pa.array(np.arange(len(lines))))
-        rows = keys.group_by([key, content], use_threads=False).aggregate([("at", "min"), ("at", "list")])
+        rows = keys.group_by([key, content], use_threads=False).aggregate([("at", "list")])
         n_rows = len(rows)
         row_of = np.zeros(len(lines), np.int64)
         members = rows["at_list"].combine_chunks()

@@ -6,7 +6,6 @@ import re
 import numpy as np
 import pyarrow as pa
 import pytest
-from pyspark.sql import functions as F
 
 from screenflow.lexicon import MENTAL_HEALTH
 from screenflow.operators import term_chunks, term_join
